@@ -167,7 +167,7 @@ def invoice_hash(number, vendor, date, gstin, pan, hsn, taxable, total) -> Colum
 
 def row_hash(*cols: ColumnOrName) -> Column:
     """Stable whole-row hash (no session salt, T13)."""
-    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in cols]), 256)
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(_c(c).cast("string"), F.lit("\u0002")) for c in cols]), 256)
 
 
 # --------------------------------------------------------------- status

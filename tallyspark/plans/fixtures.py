@@ -138,3 +138,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit("NEFT")).when(k % 3 == 1, F.lit("RTGS")).otherwise(F.lit("")).alias("Method_of_Payment"),
         F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("SC-"), (k % 1000).cast("string"))).alias("SCID"),
     )
+
+
+def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main pipeline over B1: mapped columns, skipped blank numbers, parsed amounts,
+    discrepancies, extracted fields and a stable row hash."""
+    from ..operators.normalize import map_columns
+    from ..operators.rules import to_validations
+    inv = invoices(spark, sf_dir)
+    return to_validations(inv, map_columns(inv), session_id="s1", source_file="invoices")

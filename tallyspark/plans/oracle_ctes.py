@@ -96,3 +96,38 @@ register("ledger", ("invoices",), f"""
          CASE order_key % 3 WHEN 0 THEN 'NEFT' WHEN 1 THEN 'RTGS' ELSE '' END AS "Method_of_Payment",
          CASE WHEN order_key % 6 = 0 THEN '' ELSE 'SC-' || CAST(order_key % 1000 AS VARCHAR) END AS "SCID"
   FROM invoices LEFT JOIN customer ON c_custkey = o_custkey""")
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+_GST = r"(?i)\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b"
+_INV_COLS = ["invoice_id", "invoice_number", "vendor_name", "gst_number", "order_date", "invoice_date_raw",
+             "net_c", "tax_c", "amount_raw", "lines", "location", "o_custkey", "order_key", "supp_key"]
+
+
+def _pd(x: str) -> str:
+    n = (f"(CASE WHEN lower(trim(CAST({x} AS VARCHAR), {_WS})) IN ('nan','none','null','nat','') THEN NULL "
+         f"ELSE trim(CAST({x} AS VARCHAR), {_WS}) END)")
+    fmts = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y/%m/%d"]
+    return "CAST(coalesce(" + ", ".join(f"try_strptime({n}, '{f}')" for f in fmts) + ") AS DATE)"
+
+
+register("validations", ("invoices",), f"""
+  SELECT invoice_number, vendor_name, amount, 'processed' AS status,
+         nullif(concat_ws('; ',
+             CASE WHEN amount IS NULL THEN 'Invalid or missing amount' WHEN amount <= 0 THEN 'Zero or negative amount' END,
+             CASE WHEN lower(coalesce(vendor_name, '')) IN ('', 'nan', 'unknown') THEN 'Missing vendor information' END), '')
+           AS discrepancies,
+         'invoices' AS file_path, hash_value, 'production_s1' AS processed_by,
+         coalesce(nullif(upper(regexp_extract(gst_number, '{_GST}', 0)), ''),
+                  nullif(upper(regexp_extract(vendor_name, '{_GST}', 0)), ''), '') AS gst_no,
+         coalesce({_pd('order_date')}, {_pd('invoice_date_raw')}) AS inv_date,
+         CAST(NULL AS DATE) AS due_date, 'USD' AS inv_currency,
+         coalesce(CASE WHEN lower(trim(location, {_WS})) IN ('nan','none','null','nat','') THEN NULL
+                       ELSE trim(location, {_WS}) END, '') AS location,
+         '' AS mop, '' AS account_head
+  FROM (SELECT trim(invoice_number, {_WS}) AS invoice_number, trim(vendor_name, {_WS}) AS vendor_name,
+               TRY_CAST(regexp_replace(amount_raw, '[^0-9.\\-]', '', 'g') AS DECIMAL(18,2)) AS amount,
+               sha256(concat_ws(chr(1), {", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(2))" for c in _INV_COLS)})) AS hash_value,
+               gst_number, order_date, invoice_date_raw, location
+        FROM invoices) t
+  WHERE lower(coalesce(invoice_number, '')) NOT IN ('', 'nan')""")
