@@ -147,3 +147,19 @@ def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.rules import to_validations
     inv = invoices(spark, sf_dir)
     return to_validations(inv, map_columns(inv), session_id="s1", source_file="invoices")
+
+
+def delta_frame(df: DataFrame) -> DataFrame:
+    """B1 rows in the column names of the composite-key delta export (FIXTURES A5)."""
+    return df.select(
+        F.col("invoice_number").alias("Invoice No"), F.col("vendor_name").alias("Vendor Name"),
+        F.col("invoice_date_raw").alias("Invoice Date"), F.coalesce("gst_number", F.lit("")).alias("GSTIN"),
+        F.coalesce(F.substring("gst_number", 3, 10), F.lit("")).alias("PAN"),
+        F.col("lines").cast("string").alias("HSN Code"), _cents_text("net_c").alias("Taxable Value"),
+        F.col("amount_raw").alias("Total Amount"), "invoice_id")
+
+
+def run_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6: events as dated runs (run_date = date(ts), run_type = event_type)."""
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.to_date("ts").alias("run_date"), F.col("event_type").alias("run_type"), "user_id", "value")

@@ -131,3 +131,12 @@ register("validations", ("invoices",), f"""
                gst_number, order_date, invoice_date_raw, location
         FROM invoices) t
   WHERE lower(coalesce(invoice_number, '')) NOT IN ('', 'nan')""")
+
+
+_DELTA = """SELECT invoice_number AS "Invoice No", vendor_name AS "Vendor Name", invoice_date_raw AS "Invoice Date",
+       coalesce(gst_number, '') AS "GSTIN", coalesce(substr(gst_number, 3, 10), '') AS "PAN",
+       CAST(lines AS VARCHAR) AS "HSN Code", """ + _cents("net_c") + """ AS "Taxable Value",
+       amount_raw AS "Total Amount", invoice_id FROM {src}"""
+register("dcur", ("snap_cur",), _DELTA.format(src="snap_cur"))
+register("dprev", ("snap_prev",), _DELTA.format(src="snap_prev"))
+register("runs", (), """SELECT event_id, CAST(ts AS DATE) AS run_date, event_type AS run_type, user_id, value FROM events""")

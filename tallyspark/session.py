@@ -33,6 +33,7 @@ def build_session(master: str = "local[8]", app: str = "tallyspark",
     """Session for tests and the bench (local mode)."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
     for k, v in {**BASE_CONF, **(extra or {})}.items():
