@@ -163,3 +163,22 @@ def run_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B6: events as dated runs (run_date = date(ts), run_type = event_type)."""
     return table(spark, sf_dir, "events").select(
         "event_id", F.to_date("ts").alias("run_date"), F.col("event_type").alias("run_type"), "user_id", "value")
+
+
+B3_BLANKED = ["Inv Created By", "Due Date", "State", "Currency", "SCID", "Narration"]
+
+
+def ledger_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 main side: the ledger with the fill fields blanked where k % 7 = 0."""
+    led = ledger(spark, sf_dir)
+    k7 = F.floor(F.col("InvID").cast("long") / 100000) % 7 == 0
+    return led.withColumns({c: F.when(k7, F.lit("")).otherwise(F.col(f"`{c}`")) for c in B3_BLANKED})
+
+
+def creator_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10-style creator map (``Invoice No``, ``Inv Created By``) from orders' customers."""
+    inv = invoices(spark, sf_dir)
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return (inv.where(F.col("order_key") % 3 != 0).join(cust, "o_custkey")
+            .select(F.col("invoice_number").alias("Invoice No"), F.col("c_name").alias("Inv Created By"),
+                    "invoice_id"))
