@@ -182,3 +182,42 @@ def creator_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (inv.where(F.col("order_key") % 3 != 0).join(cust, "o_custkey")
             .select(F.col("invoice_number").alias("Invoice No"), F.col("c_name").alias("Inv Created By"),
                     "invoice_id"))
+
+
+DASH_AS_OF = "2001-07-15"
+
+
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8-style dashboard rows derived from the ledger: typed values, row status
+    PASS / WARNING / FAIL, GST check text, due alert against ``DASH_AS_OF``."""
+    from ..functions import constants as K
+    from ..functions import exprs as X
+    led = ledger(spark, sf_dir)
+    amt = X.parse_amount("Total")
+    d = X.parse_date("PurchaseInvDate")
+    due = X.parse_date(F.col("`Due Date`"))
+    status = (F.when(amt.isNull() | X.is_blank("PartyName") | (amt <= 0), F.lit("FAIL"))
+               .when(d.isNull(), F.lit("WARNING")).otherwise(F.lit("PASS")))
+    gst = (F.when(X.is_blank("GSTNO"), F.lit("⚠️ Missing")).when(F.col("GSTNO").rlike(K.GSTIN_RE), F.lit("✅ Valid"))
+            .otherwise(F.lit("❌ Invalid")))
+    creator = F.when(X.is_blank(F.col("`Inv Created By`")), F.lit("Unknown")).otherwise(
+        X.clean_creator(F.col("`Inv Created By`"), title=False))
+    return led.select(
+        F.col("InvID").alias("Invoice_ID"), F.col("PurchaseInvNo").alias("Invoice_Number"),
+        F.col("PartyName").alias("Vendor_Name"), amt.alias("Amount"), d.alias("Invoice_Date"), due.alias("Due_Date"),
+        X.due_alert(due, DASH_AS_OF).alias("Due_Date_Notification"),
+        F.coalesce(X.null_tokens("Currency"), F.lit("INR")).alias("Invoice_Currency"),
+        X.derive_location("State", "GSTNO").alias("Location"), creator.alias("Invoice_Creator_Name"),
+        status.alias("Validation_Status"), gst.alias("GST_Validation_Result"))
+
+
+def processing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11-style processing log from events: session, operation, status, message."""
+    e = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("session_id"),
+        F.when(et.isin("click", "purchase"), F.lit("invoice_insert")).otherwise(F.lit("file_read")).alias("operation"),
+        F.when(et == "error", F.lit("failed")).when(F.col("value") > 90, F.lit("warning"))
+         .otherwise(F.lit("success")).alias("status"),
+        et.alias("message"), F.col("props").alias("details"), F.col("ts").alias("timestamp"))

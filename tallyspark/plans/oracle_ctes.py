@@ -147,3 +147,35 @@ register("ledger_b3", ("ledger",), "SELECT * REPLACE (" + ", ".join(
     for c in ["Inv Created By", "Due Date", "State", "Currency", "SCID", "Narration"]) + ") FROM ledger")
 register("creator_src", ("invoices",), """SELECT invoice_number AS "Invoice No", c_name AS "Inv Created By", invoice_id
   FROM invoices JOIN customer ON c_custkey = o_custkey WHERE order_key % 3 <> 0""")
+
+
+def _nt(x: str) -> str:
+    return (f"(CASE WHEN lower(trim(CAST({x} AS VARCHAR), {_WS})) IN ('nan','none','null','nat','') THEN NULL "
+            f"ELSE trim(CAST({x} AS VARCHAR), {_WS}) END)")
+
+
+_AMT = """TRY_CAST(regexp_replace("Total", '[^0-9.\\-]', '', 'g') AS DECIMAL(18,2))"""
+_DUE = _pd('"Due Date"')
+_CRS = f"""trim(regexp_replace(coalesce("Inv Created By", ''), '\\s*\\(.*\\)$', ''), {_WS})"""
+register("dashboard", ("ledger",), f"""
+  SELECT "InvID" AS "Invoice_ID", "PurchaseInvNo" AS "Invoice_Number", "PartyName" AS "Vendor_Name",
+         {_AMT} AS "Amount", {_pd('"PurchaseInvDate"')} AS "Invoice_Date", {_DUE} AS "Due_Date",
+         CASE WHEN {_DUE} IS NULL THEN '' WHEN date_diff('day', DATE '2001-07-15', {_DUE}) < 0 THEN 'OVERDUE'
+              WHEN date_diff('day', DATE '2001-07-15', {_DUE}) <= 2 THEN 'YES' ELSE 'NO' END AS "Due_Date_Notification",
+         coalesce({_nt('"Currency"')}, 'INR') AS "Invoice_Currency",
+         coalesce({_nt('"State"')}, CASE WHEN length({_nt('"GSTNO"')}) >= 2 THEN substr({_nt('"GSTNO"')}, 1, 2) END, '')
+           AS "Location",
+         CASE WHEN {_nt('"Inv Created By"')} IS NULL THEN 'Unknown'
+              WHEN {_CRS} = '' OR lower({_CRS}) IN ('n/a','na','null','none','unknown','system') THEN 'System Generated'
+              ELSE {_CRS} END AS "Invoice_Creator_Name",
+         CASE WHEN {_AMT} IS NULL OR {_nt('"PartyName"')} IS NULL OR {_AMT} <= 0 THEN 'FAIL'
+              WHEN {_pd('"PurchaseInvDate"')} IS NULL THEN 'WARNING' ELSE 'PASS' END AS "Validation_Status",
+         CASE WHEN {_nt('"GSTNO"')} IS NULL THEN '⚠️ Missing' WHEN regexp_matches("GSTNO", '{_GST}') THEN '✅ Valid'
+              ELSE '❌ Invalid' END AS "GST_Validation_Result"
+  FROM ledger""")
+register("proc_log", (), """
+  SELECT event_id AS id, 'S' || CAST(user_id % 10 AS VARCHAR) AS session_id,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'invoice_insert' ELSE 'file_read' END AS operation,
+         CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 90 THEN 'warning' ELSE 'success' END AS status,
+         event_type AS message, props AS details, ts AS timestamp
+  FROM events""")
