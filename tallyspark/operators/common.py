@@ -44,3 +44,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     from pyspark.sql import Window as W
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+
+
+def running_total(df: DataFrame, group: str, order: str, value: str, name: str = "running") -> DataFrame:
+    """Exact running sum of ``value`` per ``group`` in ``order`` without putting a whole
+    group into one task: range-partition on (group, order), sum inside each range
+    partition, then add the totals of the earlier partitions of the same group (a small
+    table: at most one row per partition and group).  The range split is checkpointed
+    so that both branches see the same partition ids even after a task retry."""
+    from pyspark.sql import Window as W
+    from ..session import cut_lineage
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    s = cut_lineage(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()))
+    w_local = W.partitionBy("_pid", group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    local = s.withColumn("_local", F.sum(value).over(w_local))
+    tot = s.groupBy(group, "_pid").agg(F.sum(value).alias("_t"))
+    w_off = W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
+    # off has at most (#partitions x #groups per partition) rows: bounded by the partition count
+    return (local.join(F.broadcast(off), [group, "_pid"])
+            .withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid"))

@@ -16,3 +16,90 @@ def write_status_sheets(report: DataFrame, path: str, status: str = "Status") ->
     (report.withColumn("status", F.col(status)).write.mode("overwrite")
      .partitionBy("status").parquet(path))
     return report.sparkSession.read.parquet(path)
+
+
+def write_validation_report(rows: DataFrame, path: str, newest: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """All rows newest first, and a second output with the rows that have discrepancies;
+    one cached input, two writes."""
+    rows = rows.cache()
+    rows.orderBy(F.desc(newest)).write.mode("overwrite").parquet(f"{path}/validation_report")
+    rows.where(F.col("discrepancies").isNotNull()).orderBy(F.desc(newest)).write.mode("overwrite").parquet(
+        f"{path}/discrepancy_report")
+    rows.unpersist()
+    spark = rows.sparkSession
+    return spark.read.parquet(f"{path}/validation_report"), spark.read.parquet(f"{path}/discrepancy_report")
+
+
+VALIDATION_DEFAULTS = {  # fixed values: column defaults of the validations table
+    "status": "pending", "inv_currency": "USD", "inv_created_by": "System", "vendor_advance": 0.0,
+}
+
+
+def append_validations(rows: DataFrame, path: str, session_id: str, created_at) -> DataFrame:
+    """Append rows with the table defaults; the row key is the content hash."""
+    out = rows
+    for c, v in VALIDATION_DEFAULTS.items():
+        lit = F.lit(v).cast("double") if isinstance(v, float) else F.lit(v)
+        out = out.withColumn(c, F.coalesce(F.col(c), lit) if c in rows.columns else lit)
+    out = out.withColumn("session_id", F.lit(session_id)).withColumn("created_at", F.lit(created_at).cast("timestamp"))
+    out.write.mode("append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def append_processing_log(log: DataFrame, path: str) -> DataFrame:
+    log.select("session_id", "operation", "status", "message", "details", "timestamp").write.mode("append").parquet(path)
+    return log.sparkSession.read.parquet(path)
+
+
+def save_snapshot(df: DataFrame, path: str, run_date, key_candidates: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Write the dated snapshot partition (dynamic overwrite: re-running a date replaces
+    it) plus a one-row metadata table (rows, columns, detected keys)."""
+    from .diff import detect_keys
+    snap = df.withColumn("run_date", F.lit(str(run_date)).cast("date"))
+    snap.write.mode("overwrite").partitionBy("run_date").parquet(f"{path}/data")
+    spark = df.sparkSession
+    stored = spark.read.parquet(f"{path}/data")
+    keys = detect_keys(stored.where(F.col("run_date") == F.lit(str(run_date)).cast("date")), key_candidates)
+    meta = (keys.where("list_ok").agg(F.sort_array(F.collect_list("column_name")).alias("detected_keys"),
+                                      F.max("total_rows").alias("rows"))
+            .select(F.lit(str(run_date)).cast("date").alias("run_date"),
+                    F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(len(df.columns)).alias("columns"),
+                    "detected_keys"))
+    meta.write.mode("overwrite").parquet(f"{path}/metadata/run_date={run_date}")
+    return stored, spark.read.parquet(f"{path}/metadata")
+
+
+def publish_latest(df: DataFrame, path: str, placeholder: dict | None = None) -> tuple[DataFrame, bool]:
+    """Publish today's result for the dashboard and verify the copy by row count;
+    an empty input publishes one placeholder row."""
+    spark = df.sparkSession
+    if placeholder is not None and df.limit(1).count() == 0:
+        df = spark.createDataFrame([placeholder], df.schema)
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    agg = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return out, out.count() == agg
+
+
+def bundle_stop(files: DataFrame, batch: str, name: str, size: str, cap: int) -> DataFrame:
+    """Invoice documents: take files in name order until the first overflow (prefix rule)."""
+    from .common import running_total
+    return running_total(files, batch, name, size, "_cum").where(F.col("_cum") <= cap).drop("_cum")
+
+
+def bundle_skip(files: DataFrame, batch: str, name: str, size: str, cap: int) -> DataFrame:
+    """Reports: skip a file that would overflow and continue with the next (greedy,
+    sequential per batch -> ``applyInPandas``).  Files larger than the cap are dropped
+    before the shuffle; a batch is one mail's candidate list."""
+    import pandas as pd
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(name, kind="stable")
+        total, keep = 0, []
+        for s in pdf[size].tolist():
+            ok = total + s <= cap
+            keep.append(ok)
+            total += s if ok else 0
+        return pdf[keep]
+
+    return files.where(F.col(size) <= cap).groupBy(batch).applyInPandas(pack, schema=files.schema)

@@ -221,3 +221,40 @@ def processing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "error", F.lit("failed")).when(F.col("value") > 90, F.lit("warning"))
          .otherwise(F.lit("success")).alias("status"),
         et.alias("message"), F.col("props").alias("details"), F.col("ts").alias("timestamp"))
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.to_date("ts").alias("run_date"), F.col("event_type").alias("run_type"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 run_log: one run per (date(events.ts), event_type)."""
+    from ..operators.ledger import run_log_from
+    return run_log_from(run_events(spark, sf_dir))
+
+
+def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ledger import upsert_run_windows
+    return upsert_run_windows(None, run_log(spark, sf_dir))
+
+
+HISTORY_START = "2024-01-01"
+
+
+def history_run_date() -> "F.Column":
+    return F.date_add(F.lit(HISTORY_START).cast("date"), (F.col("order_key") % 30).cast("int"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 invoice_snapshots: B1 invoices spread over 30 run dates."""
+    from ..operators.ledger import history_rows
+    return history_rows(invoices(spark, sf_dir), history_run_date())
+
+
+def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachment-like files: one per document, batched by language, sized by text length."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("batch"),
+                    F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".pdf")).alias("name"),
+                    F.col("n_chars").alias("size"), "doc_id")

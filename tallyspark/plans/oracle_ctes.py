@@ -179,3 +179,34 @@ register("proc_log", (), """
          CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 90 THEN 'warning' ELSE 'success' END AS status,
          event_type AS message, props AS details, ts AS timestamp
   FROM events""")
+
+
+register("run_log", (), """
+  SELECT min(event_id) AS id, run_date - 3 AS start_date, run_date AS end_date, run_date, max(ts) AS run_timestamp,
+         run_type, run_date - 3 AS cumulative_start, run_date AS cumulative_end, 1 AS total_days_validated,
+         false AS archived, CAST(NULL AS DATE) AS archived_date, max(ts) AS created_at
+  FROM (SELECT event_id, ts, CAST(ts AS DATE) AS run_date, event_type AS run_type FROM events)
+  GROUP BY run_date, run_type""")
+register("run_windows", ("run_log",), """
+  SELECT id, start_date, end_date, run_date, run_type, cumulative_start, cumulative_end, total_days_validated,
+         archived, archived_date, created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY start_date, end_date, run_date ORDER BY created_at DESC, id DESC) AS rn
+    FROM run_log) WHERE rn = 1""")
+_HD = _pd("invoice_date_raw")
+_HA = "TRY_CAST(regexp_replace(amount_raw, '[^0-9.\\-]', '', 'g') AS DECIMAL(18,2))"
+register("history", ("invoices",), f"""
+  SELECT invoice_id AS id, invoice_number AS invoice_no, vendor_name, CAST({_HD} AS VARCHAR) AS invoice_date,
+         gst_number AS gstin, '' AS pan, '' AS hsn_code, {_HA} AS taxable_value, {_HA} AS total_amount,
+         sha256(concat_ws('|', coalesce(invoice_number, ''), coalesce(vendor_name, ''), coalesce(CAST({_HD} AS VARCHAR), ''),
+                coalesce(gst_number, ''), '', '', coalesce(CAST({_HA} AS VARCHAR), '0'),
+                coalesce(CAST({_HA} AS VARCHAR), '0'))) AS hash,
+         CAST(DATE '2024-01-01' + CAST(order_key % 30 AS INTEGER) AS DATE) AS run_date, 'standard' AS run_type,
+         CAST(DATE '2024-01-01' + CAST(order_key % 30 AS INTEGER) AS DATE) AS batch_start,
+         CAST(DATE '2024-01-01' + CAST(order_key % 30 AS INTEGER) AS DATE) AS batch_end,
+         CAST(DATE '2024-01-01' + CAST(order_key % 30 AS INTEGER) AS DATE) AS cumulative_start,
+         CAST(DATE '2024-01-01' + CAST(order_key % 30 AS INTEGER) AS DATE) AS cumulative_end,
+         false AS archived, CAST(NULL AS DATE) AS archived_date
+  FROM invoices""")
+register("doc_files", (), """
+  SELECT lang AS batch, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.pdf' AS name, n_chars AS size, doc_id
+  FROM documents""")
