@@ -258,3 +258,55 @@ def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("batch"),
                     F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".pdf")).alias("name"),
                     F.col("n_chars").alias("size"), "doc_id")
+
+
+def _fmt_date(c) -> "F.Column":
+    return F.date_format(c, "dd/MM/yyyy")
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: documents with a labelled invoice header (invoice of order doc_id div 2; none
+    when doc_id % 10 = 9).  Four header layouts by doc_id % 4; layout 1 puts Grand Total
+    before Total and Due Date before Date (T19); layout 2 writes the total without cents."""
+    from ..operators.common import first_per_key
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    inv = first_per_key(invoices(spark, sf_dir), ["order_key"], ["invoice_id"])
+    j = docs.join(inv, (F.floor(F.col("doc_id") / 2) == F.col("order_key")) & (F.col("doc_id") % 10 != 9), "left")
+    cents = F.col("net_c") + F.col("tax_c")
+    amt = F.format_number((cents / 100).cast("decimal(18,2)"), 2)
+    whole = F.format_number(F.floor(cents / 100).cast("decimal(18,0)"), 0)
+    line = lambda label, v: F.concat(F.lit(label + ": "), F.coalesce(v.cast("string"), F.lit("")))
+    no = line("Invoice No", F.col("invoice_number"))
+    iid = line("Invoice ID", F.col("invoice_id"))
+    dt = line("Date", _fmt_date(F.col("order_date")))
+    due = line("Due Date", _fmt_date(F.date_add("order_date", 30)))
+    gst = line("GSTIN", F.col("gst_number"))
+    rest = [line("Currency", F.lit("INR")), line("Location", F.col("location")), line("Payment Method", F.lit("NEFT")),
+            line("Account Head", F.lit("Purchases")),
+            line("SCID", F.concat(F.lit("SC-"), (F.col("order_key") % 1000).cast("string")))]
+    total = F.concat(F.lit("Total: ₹ "), amt)
+    grand = F.concat(F.lit("Grand Total: ₹ "), amt)
+    tds = line("TDS", _cents_text(F.floor(F.col("net_c") / 100)))
+    vat = line("VAT", _cents_text("tax_c"))
+    lay = F.col("doc_id") % 4
+    header = (F.when(lay == 0, F.concat_ws("\n", no, iid, dt, due, gst, *rest, total, tds, vat, grand))
+               .when(lay == 1, F.concat_ws("\n", no, iid, due, dt, gst, *rest, grand, tds, vat, total))
+               .when(lay == 2, F.concat_ws("\n", no, iid, dt, gst, F.concat(F.lit("Total: "), whole)))
+               .otherwise(F.concat_ws("\n", no, total)))
+    text = F.when(F.col("order_key").isNull(), F.col("text")).otherwise(F.concat_ws("\n", header, F.col("text")))
+    return j.select("doc_id", "lang", text.alias("text"))
+
+
+def doc_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachment names: the B4 invoice number in the name, a generic invoice-like name,
+    or an unrelated name, by doc_id % 3; small files every 7th document."""
+    from ..operators.common import first_per_key
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    inv = first_per_key(invoices(spark, sf_dir), ["order_key"], ["invoice_id"]).select("order_key", "invoice_number")
+    j = docs.join(inv, F.floor(F.col("doc_id") / 2) == F.col("order_key"), "left")
+    name = (F.when((F.col("doc_id") % 3 == 0) & (F.coalesce(F.col("invoice_number"), F.lit("")) != ""),
+                   F.concat(F.col("invoice_number"), F.lit("_scan.pdf")))
+             .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("invoice_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+             .otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))))
+    size = F.when(F.col("doc_id") % 7 == 0, F.lit(500)).otherwise(F.col("n_chars") + 1024)
+    return j.select("doc_id", name.alias("name"), size.alias("size"))

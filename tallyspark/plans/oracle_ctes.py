@@ -63,6 +63,9 @@ def with_ctes(body: str, *names: str) -> str:
     if not order:
         return body
     parts = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {parts},\n{stripped[5:]}"
     return f"WITH {parts}\n{body}"
 
 
@@ -210,3 +213,36 @@ register("history", ("invoices",), f"""
 register("doc_files", (), """
   SELECT lang AS batch, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.pdf' AS name, n_chars AS size, doc_id
   FROM documents""")
+
+
+def _line(label: str, v: str) -> str:
+    return f"'{label}: ' || coalesce(CAST({v} AS VARCHAR), '')"
+
+
+_AMTF = "format('{:,.2f}', CAST((net_c + tax_c) / 100 AS DECIMAL(18,2)))"
+_WHOLEF = "format('{:,d}', CAST((net_c + tax_c) // 100 AS BIGINT))"
+_NO, _IID = _line("Invoice No", "invoice_number"), _line("Invoice ID", "invoice_id")
+_DT = _line("Date", "strftime(order_date, '%d/%m/%Y')")
+_DUE_L = _line("Due Date", "strftime(CAST(order_date + 30 AS DATE), '%d/%m/%Y')")
+_GST_L = _line("GSTIN", "gst_number")
+_REST = ", ".join([_line("Currency", "'INR'"), _line("Location", "location"), _line("Payment Method", "'NEFT'"),
+                   _line("Account Head", "'Purchases'"), _line("SCID", "'SC-' || CAST(order_key % 1000 AS VARCHAR)")])
+_TOT, _GRAND = f"'Total: ₹ ' || {_AMTF}", f"'Grand Total: ₹ ' || {_AMTF}"
+_TDS_L, _VAT_L = _line("TDS", _cents("net_c // 100")), _line("VAT", _cents("tax_c"))
+register("first_inv", ("invoices",), """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY invoice_id) AS rn FROM invoices) WHERE rn = 1""")
+register("inv_texts", ("first_inv",), f"""
+  SELECT doc_id, lang, CASE WHEN order_key IS NULL THEN text ELSE concat_ws(chr(10),
+    CASE doc_id % 4
+      WHEN 0 THEN concat_ws(chr(10), {_NO}, {_IID}, {_DT}, {_DUE_L}, {_GST_L}, {_REST}, {_TOT}, {_TDS_L}, {_VAT_L}, {_GRAND})
+      WHEN 1 THEN concat_ws(chr(10), {_NO}, {_IID}, {_DUE_L}, {_DT}, {_GST_L}, {_REST}, {_GRAND}, {_TDS_L}, {_VAT_L}, {_TOT})
+      WHEN 2 THEN concat_ws(chr(10), {_NO}, {_IID}, {_DT}, {_GST_L}, 'Total: ' || {_WHOLEF})
+      ELSE concat_ws(chr(10), {_NO}, {_TOT}) END, text) END AS text
+  FROM documents LEFT JOIN first_inv ON doc_id // 2 = order_key AND doc_id % 10 <> 9""")
+register("doc_names", ("first_inv",), """
+  SELECT doc_id,
+         CASE WHEN doc_id % 3 = 0 AND coalesce(invoice_number, '') <> '' THEN invoice_number || '_scan.pdf'
+              WHEN doc_id % 3 = 1 THEN 'invoice_' || CAST(doc_id AS VARCHAR) || '.pdf'
+              ELSE 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' END AS name,
+         CASE WHEN doc_id % 7 = 0 THEN 500 ELSE n_chars + 1024 END AS size
+  FROM documents LEFT JOIN first_inv ON doc_id // 2 = order_key""")
