@@ -25,16 +25,14 @@ DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM
 
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (order, supplier): exact cents of net and tax over its lines.
-
-    Decimal arithmetic keeps the cents exact (no binary-float rounding)."""
+    """Per (order, supplier): exact cents of net and tax over its lines."""
     li = table(spark, sf_dir, "lineitem")
-    net = F.expr("cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) * 100")
-    tax = net * F.col("l_tax").cast("decimal(4,2)")
+    # prices have 2 decimals, rates are whole percents: exact integer arithmetic, rounded half up
+    base = "cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as int))"
+    net = F.expr(f"({base} + 50) div 100")
+    tax = F.expr(f"({base} * cast(round(l_tax * 100) as int) + 5000) div 10000")
     return (li.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("v"))
-              .agg(F.sum(F.round(net, 0).cast("bigint")).alias("net_c"),
-                   F.sum(F.round(tax, 0).cast("bigint")).alias("tax_c"),
-                   F.count(F.lit(1)).alias("lines")))
+              .agg(F.sum(net).alias("net_c"), F.sum(tax).alias("tax_c"), F.count(F.lit(1)).alias("lines")))
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:

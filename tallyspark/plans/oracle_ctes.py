@@ -13,9 +13,10 @@ _DATE_CASES = " ".join(
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "inv_lines": ((), """
   SELECT l_orderkey AS k, l_suppkey AS v,
-         sum(CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * 100, 0) AS BIGINT)) AS net_c,
-         sum(CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * 100
-                        * CAST(l_tax AS DECIMAL(4,2)), 0) AS BIGINT)) AS tax_c,
+         sum((CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS INTEGER)) + 50) // 100)
+           AS net_c,
+         sum((CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS INTEGER))
+              * CAST(round(l_tax * 100) AS INTEGER) + 5000) // 10000) AS tax_c,
          count(*) AS lines
   FROM lineitem GROUP BY l_orderkey, l_suppkey"""),
     "invoices": (("inv_lines",), f"""
