@@ -64,3 +64,24 @@ def running_total(df: DataFrame, group: str, order: str, value: str, name: str =
     # off has at most (#partitions x #groups per partition) rows: bounded by the partition count
     return (local.join(F.broadcast(off), [group, "_pid"])
             .withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid"))
+
+
+def top_k_per_group(df: DataFrame, group: str, order: list[Column | str], k: Column | int) -> DataFrame:
+    """First ``k`` rows per group.  ``row_number() <= k`` with a literal ``k`` gets a partial
+    ``WindowGroupLimit`` below the shuffle (each map task ships <= k rows per group)."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy(group).orderBy(*order)
+    kk = F.lit(k) if isinstance(k, int) else k
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
+
+
+def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:
+    """Distinct values in order of first occurrence: ``min(pos)`` per value (partial
+    aggregation), ordered by that position."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(pos).alias("first_pos")).orderBy("first_pos")
+
+
+def common_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    """Column names present on both sides, in the order of ``a`` (schema only)."""
+    other = set(b.columns)
+    return [c for c in a.columns if c in other]
