@@ -68,16 +68,33 @@ def parse_date(x: ColumnOrName) -> Column:
                         for f in K.DATE_FORMATS]).cast("date")
 
 
+# numeric text as the casts accept it; a failed cast is an exception inside the JVM, so
+# values of another shape never reach the cast
+NUM_RE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+SPECIAL_RE = r"(?i)^[+-]?(nan|inf|infinity)$"
+
+
+def to_double(x: ColumnOrName) -> Column:
+    """Strict text -> double (``pd.to_numeric`` shapes: plain, exponent, nan/inf)."""
+    s = strip(_c(x).cast("string"))
+    return F.when(s.rlike(NUM_RE) | s.rlike(SPECIAL_RE), s.try_cast("double"))
+
+
+def to_decimal(x: ColumnOrName, dtype: str = "decimal(18,2)") -> Column:
+    s = strip(_c(x).cast("string"))
+    return F.when(s.rlike(NUM_RE), s.try_cast(dtype))
+
+
 def parse_amount(x: ColumnOrName) -> Column:
     """Keep digits, '.', '-' and read as decimal(18,2); NULL when that fails (T4 kept)."""
     cleaned = F.regexp_replace(_c(x).cast("string"), r"[^0-9.\-]", "")
-    return cleaned.try_cast("decimal(18,2)")
+    return to_decimal(cleaned)
 
 
 def parse_number_or_zero(x: ColumnOrName) -> Column:
     """Lenient report variant: remove commas, float or 0.0 (``18%`` -> 0, T31)."""
     s = F.replace(strip(_c(x).cast("string")), F.lit(","), F.lit(""))
-    return F.coalesce(s.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return F.coalesce(to_decimal(s), F.lit(0).cast("decimal(18,2)"))
 
 
 def amount_out_of_range(a: ColumnOrName) -> Column:

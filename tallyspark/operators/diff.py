@@ -29,7 +29,7 @@ def canonical(df: DataFrame, c: str) -> Column:
         s = v.cast("string")
     else:
         txt = X.strip(v.cast("string"))
-        s = F.coalesce(txt.try_cast("decimal(38,6)").cast("string"), txt)
+        s = F.coalesce(X.to_decimal(txt, "decimal(38,6)").cast("string"), txt)
     return F.coalesce(s, F.lit(""))
 
 

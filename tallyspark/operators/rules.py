@@ -31,7 +31,7 @@ def required_columns(df: DataFrame, required: list[str] = K.REQUIRED_COLUMNS) ->
 
 
 def is_numeric_text(x) -> F.Column:
-    return X.strip(x.cast("string")).try_cast("double").isNotNull()
+    return X.to_double(x).isNotNull()
 
 
 def with_duplicate_counts(df: DataFrame, number: str, name: str = "_dup_n") -> DataFrame:
@@ -49,7 +49,7 @@ def apply_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "Purch
         checks.append(F.when(F.col("_dup_n") > 1, F.lit(ISSUE_DUPLICATE)))
     if amount in df.columns:
         a = col(amount)
-        num = X.strip(a.cast("string")).try_cast("double")
+        num = X.to_double(a)
         checks.append(F.when(a.isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)))
         checks.append(F.when(num < 0, F.lit(ISSUE_NEGATIVE)))
     if date in df.columns:
@@ -74,7 +74,7 @@ def duplicates(df: DataFrame, number: str = "PurchaseInvNo") -> DataFrame:
 
 def bad_amounts(df: DataFrame, amount: str = "Total") -> DataFrame:
     a = col(amount)
-    num = X.strip(a.cast("string")).try_cast("double")
+    num = X.to_double(a)
     problem = F.when(a.isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)).when(num < 0, F.lit(ISSUE_NEGATIVE))
     return df.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
@@ -119,7 +119,7 @@ def profile_quality(df: DataFrame, number: str, amount: str) -> DataFrame:
     """One row: empty numbers, repeats beyond the first (NULL counts as one value, T11),
     invalid amounts (NULL included, T15) and negatives, rows and columns."""
     n = col(number)
-    num = X.strip(col(amount).cast("string")).try_cast("double")
+    num = X.to_double(col(amount))
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.lit(len(df.columns)).alias("total_columns"),

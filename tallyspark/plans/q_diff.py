@@ -27,7 +27,7 @@ FROM snap_cur c FULL OUTER JOIN snap_prev p ON c.invoice_id = p.invoice_id"""
 
 def _diff(spark, sf):
     cur, prev = FX.snapshot_pair(spark, sf)
-    return D.snapshot_diff(cur, prev, key="invoice_id", order="invoice_id")
+    return D.snapshot_diff(FX.stored(cur), FX.stored(prev), key="invoice_id", order="invoice_id")
 
 
 @query("snapshot_diff", _DIFF_SQL, SNAP)
@@ -98,7 +98,7 @@ WHERE p.rn IS NULL OR c.rn IS NULL OR {' OR '.join(f'c.{k} <> p.{k}' for k in _D
 @query("delta_with_reason", _DELTA_SQL, ("dcur", "dprev"))
 def delta_with_reason(spark, sf):
     cur, prev = FX.snapshot_pair(spark, sf)
-    return D.delta_with_reason(FX.delta_frame(cur), FX.delta_frame(prev), order="invoice_id")
+    return D.delta_with_reason(FX.stored(FX.delta_frame(cur)), FX.stored(FX.delta_frame(prev)), order="invoice_id")
 
 
 @query("detect_keys", " UNION ALL ".join(

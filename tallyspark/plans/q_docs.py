@@ -60,7 +60,7 @@ SELECT res.*, l."PurchaseInvNo", l."PartyName",
             ELSE '' END AS "Flagged"
 FROM res LEFT JOIN ledger l ON CAST(l."InvID" AS BIGINT) = res.matched_row""", ("inv_texts", "ledger"))
 def match_text_to_ledger(spark, sf):
-    led = FX.ledger(spark, sf)
+    led = FX.stored(FX.ledger(spark, sf))
     res = DOC.match_text_to_ledger(FX.invoice_texts(spark, sf), led)
     return DOC.attach_matched_rows(res, led, fields=["PurchaseInvNo", "PartyName"])
 

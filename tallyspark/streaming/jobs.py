@@ -21,7 +21,7 @@ def row_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "Purchas
               vendor: str = "PartyName", gst: str = "GSTNO", amount: str = "Total") -> DataFrame:
     """The single-row rules of ``operators.rules.apply_rules`` (no cross-row duplicate rule)."""
     from ..operators.rules import ISSUE_BAD_AMOUNT, ISSUE_BAD_DATE, ISSUE_MISSING, ISSUE_NEGATIVE
-    num = X.strip(col(amount).cast("string")).try_cast("double")
+    num = X.to_double(col(amount))
     checks = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in (number, date, vendor, gst, amount)]
     checks += [F.when(col(amount).isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)),
                F.when(num < 0, F.lit(ISSUE_NEGATIVE)),
