@@ -50,12 +50,12 @@ def running_total(df: DataFrame, group: str, order: str, value: str, name: str =
     """Exact running sum of ``value`` per ``group`` in ``order`` without putting a whole
     group into one task: range-partition on (group, order), sum inside each range
     partition, then add the totals of the earlier partitions of the same group (a small
-    table: at most one row per partition and group).  The range split is checkpointed
-    so that both branches see the same partition ids even after a task retry."""
+    table: at most one row per partition and group).  The range split is written as a
+    staged table so that both branches see the same partition ids even after a retry."""
     from pyspark.sql import Window as W
-    from ..session import cut_lineage
+    from ..session import stage_table
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    s = cut_lineage(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()))
+    s = stage_table(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()), "ranges")
     w_local = W.partitionBy("_pid", group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = s.withColumn("_local", F.sum(value).over(w_local))
     tot = s.groupBy(group, "_pid").agg(F.sum(value).alias("_t"))

@@ -42,10 +42,27 @@ def amount_stats(df: DataFrame, amount: Column | str) -> DataFrame:
                   F.median(a).alias("median_amount"), F.max(a).alias("max_amount"), F.min(a).alias("min_amount"))
 
 
+def most_frequent(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """One row: the most frequent non-null value (tie -> smallest).  Counts come from a
+    partial ``groupBy`` and the winner from a distributed top-1, so no single task ever
+    holds the value -> count map of a high-cardinality column (``mode()`` would)."""
+    g = df.where(c.isNotNull()).groupBy(c.alias(name)).agg(F.count(F.lit(1)).alias("_n"))
+    return g.orderBy(F.desc("_n"), F.asc(name)).limit(1).select(name)
+
+
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """Combine one-row frames with disjoint columns into one row (union + max, no cross join)."""
+    u = one_row_frames[0]
+    for f in one_row_frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = [c for f in one_row_frames for c in f.columns]
+    return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def vendor_stats(df: DataFrame, vendor: str) -> DataFrame:
     """Distinct vendors and the most frequent one (tie -> smallest name)."""
-    return df.agg(F.count_distinct(col(vendor)).alias("unique_vendors"),
-                  F.mode(col(vendor), deterministic=True).alias("top_vendor"))
+    return side_by_side(df.agg(F.count_distinct(col(vendor)).alias("unique_vendors")),
+                        most_frequent(df, col(vendor), "top_vendor"))
 
 
 def trend_by_run(df: DataFrame, run_date: str, status: str) -> DataFrame:
@@ -75,10 +92,11 @@ def kpi_overview(df: DataFrame) -> DataFrame:
         F.count_if(s.contains("PASS")).alias("passed"), F.count_if(s.contains("WARNING")).alias("warnings"),
         F.count_if(s.contains("FAIL")).alias("failed"),
         F.count_distinct(col("Invoice_Currency")).alias("currencies"),
-        F.mode(col("Invoice_Currency"), deterministic=True).alias("primary_currency"),
-        F.count_distinct(loc).alias("locations"), F.mode(loc, deterministic=True).alias("primary_location"),
+        F.count_distinct(loc).alias("locations"),
         F.count_if(col("Due_Date_Notification").isin("YES", "OVERDUE")).alias("urgent_payments"),
         F.count_if((creator != "Unknown") & (creator != "")).alias("known_creators"))
+    a = side_by_side(a, most_frequent(df, col("Invoice_Currency"), "primary_currency"),
+                     most_frequent(df, loc, "primary_location"))
     return a.select("*", X.pct("passed", "total_invoices").alias("pass_rate"),
                     X.pct("warnings", "total_invoices").alias("warning_rate"),
                     X.pct("failed", "total_invoices").alias("fail_rate"),

@@ -311,11 +311,3 @@ def doc_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))))
     size = F.when(F.col("doc_id") % 7 == 0, F.lit(500)).otherwise(F.col("n_chars") + 1024)
     return j.select("doc_id", name.alias("name"), size.alias("size"))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Materialise a derived input once (reliable checkpoint in the shared folder), as a
-    stored snapshot/ledger table would be in production; operators that read an input in
-    several branches then scan it instead of re-deriving it from lineitem each time."""
-    from ..session import cut_lineage
-    return cut_lineage(df)

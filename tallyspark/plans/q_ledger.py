@@ -210,4 +210,6 @@ def bundle_under_cap(spark, sf):
 
 @query("bundle_skip_variant")
 def bundle_skip_variant(spark, sf):
-    return SK.bundle_skip(FX.files_from_documents(spark, sf).drop("doc_id"), "batch", "name", "size", 200000)
+    # the greedy skip rule is sequential per mail: a mail carries a bounded candidate list
+    files = FX.files_from_documents(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / 50)).drop("doc_id")
+    return SK.bundle_skip(files, "batch", "name", "size", 60000)
