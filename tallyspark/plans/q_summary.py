@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import summary as S
 from . import fixtures as FX
-from .q_core import AS_OF
-from .registry import query, s_num, s_parse_date, s_pct, s_strip
+from .registry import query, s_parse_date, s_pct, s_strip
 
 DASH = ("dashboard",)
 

@@ -7,7 +7,6 @@ existing ``SparkSession`` / ``DataFrame`` and returns a ``DataFrame``.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -106,8 +105,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint only behind a proven row bound; otherwise leave the choice to AQE
     (which still converts to a broadcast join when the measured shuffle output is small)."""
     return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def local_tmp_ok() -> str:
-    """Scratch for test fixtures written by tests only (never used by library code)."""
-    return tempfile.mkdtemp(prefix="tallyspark-test-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators.normalize import col
 
-ROW_RULES_NOTE = "row-level rules only: duplicate numbers need the whole table"
-
-
 def row_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "PurchaseInvDate",
               vendor: str = "PartyName", gst: str = "GSTNO", amount: str = "Total") -> DataFrame:
-    """The single-row rules of ``operators.rules.apply_rules`` (no cross-row duplicate rule)."""
+    """The single-row rules of ``operators.rules.apply_rules``.  The duplicate-number rule
+    needs the whole table, so a stream applies it in the batch report, not per arrival."""
     from ..operators.rules import ISSUE_BAD_AMOUNT, ISSUE_BAD_DATE, ISSUE_MISSING, ISSUE_NEGATIVE
     num = X.to_double(col(amount))
     checks = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in (number, date, vendor, gst, amount)]

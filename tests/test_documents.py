@@ -1,5 +1,4 @@
 """Documents: field extraction traps, containment match vs brute force, text_to_table."""
-from pyspark.sql import functions as F
 
 from tallyspark.operators import documents as DOC
 

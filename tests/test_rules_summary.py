@@ -1,9 +1,7 @@
 """Rules, mapping and summaries on the reference's sample rows (FIXTURES A1, A6)."""
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
-from tallyspark.functions import exprs as X
 from tallyspark.operators import normalize as N
 from tallyspark.operators import rules as R
 from tallyspark.operators import summary as S
