@@ -21,7 +21,9 @@ def test_dedupe_across_arrivals(spark):
     for i, drop in enumerate(DROPS):
         spark.createDataFrame(drop, S).write.parquet(f"{src}/{i}")
         J.dedupe(spark, f"{src}/*", schema, sink, ck, ["user_id", "event_type"])   # one run per arrival
-    assert sorted(r[0] for r in spark.read.parquet(sink).select("event_id").collect()) == [1, 3, 5, 6]
+    kept = sorted(r[0] for r in spark.read.parquet(sink).select("event_id").collect())
+    # within one micro-batch Spark keeps an arbitrary one of the duplicates 1 and 2
+    assert len(set(kept) & {1, 2}) == 1 and 4 not in kept and {3, 5, 6} <= set(kept) and len(kept) == 4
 
 
 def test_daily_windows_close_behind_watermark(spark):
