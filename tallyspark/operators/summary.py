@@ -7,7 +7,6 @@ lists rank the *aggregated* counts, never raw rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -25,14 +24,20 @@ def invoice_summary(df: DataFrame, date_col: str, amount_col: str) -> DataFrame:
         F.min(a).alias("min_amount"), F.max(a).alias("max_amount"))
 
 
+def with_totals(counts: DataFrame, **totals: Column) -> DataFrame:
+    """Attach one-row totals (aggregates over ``counts``) to every row: a broadcast join on
+    a constant key against a table of exactly one row (bounded by construction)."""
+    t = counts.agg(*[v.alias(k) for k, v in totals.items()]).withColumn("_one", F.lit(1))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(t), "_one").drop("_one")
+
+
 def status_summary(df: DataFrame, status: str = "Status") -> DataFrame:
     """Count and percentage per status, plus the success rate (share of VALID)."""
-    total = F.sum("count").over(W.partitionBy())
     counts = df.groupBy(col(status).alias("status")).agg(F.count(F.lit(1)).alias("count"))
-    valid = F.sum(F.when(F.col("status") == "VALID", F.col("count")).otherwise(0)).over(W.partitionBy())
-    # the window runs over the per-status counts (a handful of rows), not over raw rows
-    return counts.select("status", "count", X.pct("count", total).alias("percent"),
-                         X.pct(valid, total).alias("success_rate"))
+    j = with_totals(counts, _total=F.sum("count"),
+                    _valid=F.sum(F.when(F.col("status") == "VALID", F.col("count")).otherwise(0)))
+    return j.select("status", "count", X.pct("count", "_total").alias("percent"),
+                    X.pct("_valid", "_total").alias("success_rate"))
 
 
 def amount_stats(df: DataFrame, amount: Column | str) -> DataFrame:
@@ -169,9 +174,9 @@ def pass_rate_impact(df: DataFrame, status: str, amount: str) -> DataFrame:
     cls = F.when(s.contains("PASS"), "passed").when(s.contains("FAIL"), "failed").when(s.contains("WARNING"), "warning")
     g = df.where(cls.isNotNull()).groupBy(cls.alias("class")).agg(
         F.count(F.lit(1)).alias("invoices"), F.sum(col(amount)).alias("amount"))
-    tot = F.sum("invoices").over(W.partitionBy())
-    passed = F.sum(F.when(F.col("class") == "passed", F.col("invoices")).otherwise(0)).over(W.partitionBy())
-    return g.select("*", X.pct(passed, tot).alias("pass_rate"))
+    j = with_totals(g, _total=F.sum("invoices"),
+                    _passed=F.sum(F.when(F.col("class") == "passed", F.col("invoices")).otherwise(0)))
+    return j.select("class", "invoices", "amount", X.pct("_passed", "_total").alias("pass_rate"))
 
 
 def outcome_rollup(log: DataFrame, batch: str, ok: str) -> DataFrame:
