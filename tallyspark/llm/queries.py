@@ -52,4 +52,4 @@ FROM h LEFT JOIN m ON m.k = 1 AND m.page_id = h.page_id AND m.host = h.host AND
 """)
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
