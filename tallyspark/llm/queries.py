@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import exact_dedup, url_rules
+from ..session import scratch_path, stage_table, table
+from . import exact_dedup, secret_scan, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,24 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("kinds", "starts", "ends")
+
+
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS o FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN o = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN o <> page_id THEN o END AS refers_to FROM f
+""")
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_table(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.selectExpr("CAST(key AS long) AS page_id", "payload_bytes", "payload_digest", "record_type",
+                            "CAST(refers_to AS long) AS refers_to")
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -31,6 +49,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                    lambda cells: stage_table(cells, "toxic-cells")).drop("cell")
+
+
 #: The rules of the query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
