@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path, stage_table, table
-from . import exact_dedup, secret_scan, toxicity, url_rules, warc
+from . import exact_dedup, ngram_join, secret_scan, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +55,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     lambda cells: stage_table(cells, "toxic-cells")).drop("cell")
 
 
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 #: The rules of the query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
