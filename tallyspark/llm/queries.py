@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import exact_dedup, ngram_join, secret_scan, toxicity, url_rules, warc
+from . import exact_dedup, merge_dropout, ngram_join, secret_scan, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +28,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("kinds", "starts", "ends")
 
 
+@query()
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and what decoding them gives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = merge_dropout.encode_documents(docs).withColumn("pieces", F.col("ids"))
+    return merge_dropout.decode_documents(encoded, "pieces").select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 @query("""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
            FROM pages),
