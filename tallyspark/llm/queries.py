@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import exact_dedup, merge_dropout, ngram_join, secret_scan, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, merge_dropout, ngram_join, secret_scan, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("kinds", "starts", "ends")
 
 
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item found in it."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what decoding them gives."""
