@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import decontaminate, exact_dedup, license_scan, merge_dropout, ngram_join, secret_scan, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, license_scan, merge_dropout, ngram_join, secret_scan, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +57,11 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "CAST(refers_to AS long) AS refers_to")
 
 
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
