@@ -1,22 +1,50 @@
-"""Corpus pipeline over ``documents``: stages of the subpackage llm, each written as Parquet and read
-again before the next."""
+"""Corpus pipeline over ``documents``: filters, deduplication, decontamination and encoding.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``; it works on all rows that the stage before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact_dedup
+from tallyspark.llm import decontaminate, exact_dedup, merge_dropout, ngram_join, toxicity
 from tallyspark.session import stage_table, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.5 or more."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), lambda cells: stage_table(cells, "toxic-cells"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents linked by word 5-gram similarity of 0.8 or more, the one with the smallest doc_id."""
+    return ngram_join.drop_linked(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item within a tenth of its length in edits."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the piece ids of each text under merge-dropout, from which the text can be decoded."""
+    return merge_dropout.encode_documents(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("n-gram join", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("encoding", encode),
 ]
+#: Learned scores, edit distances and piece ids have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
