@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_table
+from .common import batch_rows
 
 #: Fixed values of the WARC format.
 VERSION, RESPONSE, REVISIT = "WARC/1.1", "response", "revisit"
@@ -96,7 +97,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
-    """Records of the archives under ``path`` (gzip or plain), with the columns of ``RECORD``."""
+    """Records of the archives under ``path`` (gzip or plain), with the columns of ``RECORD``.
+
+    Run it inside ``batch_rows(spark, 1)``: an Arrow batch then holds one archive."""
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,6 @@ def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive at a time
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD)
 
 
@@ -149,4 +151,5 @@ def archive_table(pages: DataFrame, path: str, key: str = "page_id", uri: str =
     copies = copies.select(F.col("record").alias("copy"), "original")
     records = rows.join(copies, F.col("record") == F.col("copy"), "left")
     write_archives(records, path, records_per_file=records_per_file)
-    return resolve(read_archives(pages.sparkSession, path))
+    with batch_rows(pages.sparkSession, 1):
+        return resolve(read_archives(pages.sparkSession, path))
