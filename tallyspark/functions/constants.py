@@ -58,6 +58,14 @@ MAP_BAD_WORDS = {
                "rate", "qty", "quantity", "price_per", "unit"],
 }
 
+# points of a scored candidate: (points, test, argument); "name": the header holds one of the words
+MAP_POINTS = {
+    "invoice_number": [(3, "name", ["no", "num", "id", "#"]), (2, "name", ["invoice", "voucher", "doc"]),
+                       (1, "numeric_below", 1.0), (1, "numeric_below", 0.5)],
+    "vendor": [(2, "name", ["vendor", "supplier", "party", "company"]), (2, "numeric_below", 1.0), (1, "length_from", 6.0)],
+    "amount": [(3, "name", ["grand"]), (2, "name", ["total"]), (1, "name", ["amount", "amt", "value"]), (3, "numeric_from", 0.6)],
+}
+
 # --- fixed values: patterns ---
 GSTIN_RE = r"(?i)\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b"
 EMAIL_RE = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"

@@ -68,6 +68,18 @@ def parse_date(x: ColumnOrName) -> Column:
                         for f in K.DATE_FORMATS]).cast("date")
 
 
+#: a time of day after a date, with fraction and zone
+_TIME_RE = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([AaPp][Mm]|Z|[+-]\d{2}:?\d{2})?$"
+
+
+def parse_date_any(x: ColumnOrName) -> Column:
+    """``parse_date`` of a value that may carry a time of day, or a name of the month."""
+    s = F.regexp_replace(null_tokens(x), _TIME_RE, "")
+    named = [F.when(s.rlike(r"(?i)^\d{1,2}[- ][a-z]{3}[- ]\d{4}$"),
+                    F.try_to_timestamp(F.initcap(F.lower(F.regexp_replace(s, "-", " "))), F.lit("d MMM yyyy"))).cast("date")]
+    return F.coalesce(parse_date(s), *named)
+
+
 # numeric text as the casts accept it; a failed cast is an exception inside the JVM, so
 # values of another shape never reach the cast
 NUM_RE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"

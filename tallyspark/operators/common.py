@@ -61,9 +61,10 @@ def running_total(df: DataFrame, group: str, order: str, value: str, name: str =
     tot = s.groupBy(group, "_pid").agg(F.sum(value).alias("_t"))
     w_off = W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
-    # off has at most (#partitions x #groups per partition) rows: bounded by the partition count
-    return (local.join(F.broadcast(off), [group, "_pid"])
-            .withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid"))
+    # off has a row per group and range partition; a NULL group is a group like any other
+    off = off.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_off")
+    return (local.join(off, local[group].eqNullSafe(off["_g"]) & (local["_pid"] == off["_p"]))
+            .withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid", "_g", "_p"))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column | str], k: Column | int) -> DataFrame:

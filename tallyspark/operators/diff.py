@@ -8,9 +8,11 @@ runs on one row per key, and blank keys never enter a shuffle join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions import constants as K
 from ..functions import exprs as X
@@ -18,42 +20,51 @@ from .common import first_per_key, key_present
 from .normalize import col
 
 
-def canonical(df: DataFrame, c: str) -> Column:
-    """Canonical comparison text: NULL -> '', trimmed; numbers (typed or text) in one
-    decimal form so ``10000`` equals ``10000.0`` (T12); dates ISO."""
+AMOUNT_NAME = re.compile(r"amount|amt|total|value|price|tax$|^[cis]gst|^vat", re.IGNORECASE)
+
+
+def canonical(df: DataFrame, c: str, amounts: list[str] | None = None) -> Column:
+    """Canonical comparison text: NULL -> '', trimmed; dates ISO; typed numbers, and text in amount
+    columns (named ones, else by header), in one decimal form, so ``10000`` equals ``10000.0`` (T12).
+    Other text is compared as it is: ``007`` and ``7`` are two codes."""
     t = df.schema[c].dataType
-    v = col(c)
-    if isinstance(t, (NumericType, DecimalType)) and not isinstance(t, StringType):
-        s = v.cast("decimal(38,6)").cast("string")
-    elif isinstance(t, (DateType, TimestampType, TimestampNTZType)):
-        s = v.cast("string")
-    else:
-        txt = X.strip(v.cast("string"))
-        s = F.coalesce(X.to_decimal(txt, "decimal(38,6)").cast("string"), txt)
-    return F.coalesce(s, F.lit(""))
-
-
-def snapshot_diff(current: DataFrame, previous: DataFrame, key: str, order: str | None = None,
-                  compare: list[str] | None = None) -> DataFrame:
+    txt = X.strip(col(c).cast("string"))
+    if isinstance(t, (DateType, TimestampType, TimestampNTZType)):
+        return F.coalesce(txt, F.lit(""))
+    if isinstance(t, NumericType) or (c in amounts if amounts is not None else AMOUNT_NAME.search(c)):
+        # 38 digits: at most 18 places; what does not fit is compared as text rather than rounded
+        number = F.when(txt.rlike(X.NUM_RE), txt.try_cast("decimal(38,18)"))
+        exact = F.when(F.length(F.regexp_extract(txt, r"\.(\d*)", 1)) <= 18, number.cast("string"))
+        return F.coalesce(exact, txt, F.lit(""))
+    return F.coalesce(txt, F.lit(""))
+
+
+def snapshot_diff(current: DataFrame, previous: DataFrame, key: str | None = None, order: str | None = None,
+                  compare: list[str] | None = None, amounts: list[str] | None = None) -> DataFrame:
     """One row per reported input row: ``change_type`` in added / modified / unchanged /
     deleted / unkeyed, and ``changed_columns`` for modified keys.
 
-    The first row per key on each side is compared over the common columns; every
-    current row of a modified key is reported (deleted: every previous row)."""
+    Without ``key`` the first fitting candidate is taken (:func:`choose_key`).  The first row per key on
+    each side (by ``order``, ties by content) is compared over the common columns; every current row of a
+    modified key is reported (deleted: every previous row).  Both sides meet in one aggregate."""
+    key = key or choose_key(current, previous)
+    if key is None:
+        raise ValueError("no column can serve as key")
     order = order or key
     common = [c for c in current.columns if c in set(previous.columns) and c != key]
     compare = [c for c in (compare or common) if c in common]
-    cur_k, prev_k = key_present([key]), key_present([key])
-    cur = current.where(cur_k)
-    prev = previous.where(prev_k)
+    cur_k = key_present([key])
+    cur, prev = current.where(cur_k), previous.where(cur_k)
 
-    def firsts(df: DataFrame, tag: str) -> DataFrame:
-        f = first_per_key(df, [key], [col(order)])
-        return f.select(col(key).alias("_k"), F.struct(*[canonical(df, c).alias(c) for c in compare]).alias(tag))
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        content = F.struct(*[canonical(df, c, amounts).alias(c) for c in compare], F.lit("").alias("_"))
+        return df.select(col(key).alias("_k"), F.lit(tag).alias("_side"), col(order).alias("_o"), content.alias("_v"))
 
-    j = firsts(cur, "_c").join(firsts(prev, "_p"), "_k", "full_outer")
+    both = side(cur, "c").unionByName(side(prev, "p"))
+    first = lambda tag: F.min(F.when(F.col("_side") == tag, F.struct("_o", "_v")))["_v"]
+    j = both.groupBy("_k").agg(first("c").alias("_c"), first("p").alias("_p"))
     changed = F.array_compact(F.array(*[
-        F.when(~F.col(f"_c.`{c}`").eqNullSafe(F.col(f"_p.`{c}`")), F.lit(c)) for c in compare])) if compare else F.array()
+        F.when(F.col(f"_c.`{c}`") != F.col(f"_p.`{c}`"), F.lit(c)) for c in compare])) if compare else F.array()
     status = (j.select(
         "_k",
         F.when(F.col("_p").isNull(), F.lit("added"))
@@ -95,17 +106,19 @@ def delta_with_reason(current: DataFrame, previous: DataFrame, keys: list[str] =
                       compare: list[str] = K.DELTA_COMPARE, order: str | None = None) -> DataFrame:
     """Composite-key delta: ``New Upload`` / ``Modified`` (reason lists the changed
     columns) / ``Deleted``; unchanged keys dropped.  Values compared as text, NULL as ''.
-    A repeated composite key keeps its first row (T10); ``dup_rows`` reports how many."""
+    A repeated composite key keeps its first row by ``order``, ties by content (T10); ``dup_rows``
+    reports how many.  Both sides meet in one aggregate."""
     cols = keys + compare
 
-    def prep(df: DataFrame, tag: str) -> DataFrame:
-        s = df.select(*[F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in cols],
-                      *([col(order).alias("_o")] if order else [F.lit(0).alias("_o")]))
-        n = s.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{tag}"))
-        f = first_per_key(s, keys, ["_o"]).drop("_o")
-        return f.join(n, keys).select(*keys, F.struct(*compare).alias(tag), f"_n{tag}")
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        text = {c: F.coalesce(col(c).cast("string"), F.lit("")) for c in cols}
+        return df.select(*[text[c].alias(c) for c in keys], F.lit(tag).alias("_side"),
+                         F.struct((col(order) if order else F.lit(0)).alias("_o"), F.struct(*[text[c].alias(c) for c in compare]).alias("_v")).alias("_r"))
 
-    j = prep(current, "_c").join(prep(previous, "_p"), keys, "full_outer")
+    is_c, is_p = F.col("_side") == "c", F.col("_side") == "p"
+    both = side(current, "c").unionByName(side(previous, "p"))
+    j = both.groupBy(*keys).agg(F.min(F.when(is_c, F.col("_r")))["_v"].alias("_c"), F.count_if(is_c).alias("_n_c"),
+                                F.min(F.when(is_p, F.col("_r")))["_v"].alias("_p"), F.count_if(is_p).alias("_n_p"))
     diffs = F.array_compact(F.array(*[
         F.when(F.col(f"_c.`{c}`") != F.col(f"_p.`{c}`"), F.lit(f"{c} changed")) for c in compare]))
     out = j.select(

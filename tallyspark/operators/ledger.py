@@ -2,10 +2,10 @@
 
 The reference keeps three SQL tables and mutates them with UPDATE / DELETE /
 INSERT OR REPLACE.  Here every maintenance step is a DataFrame -> DataFrame
-transform (a projection or a filter); ``persist`` writes the result as a
-Parquet table partitioned by ``run_date`` with dynamic partition overwrite, so
-only partitions that changed are rewritten.  Never read and overwrite the same
-path in one job: write to a fresh path and swap the table pointer.
+transform (a projection or a filter); ``persist`` writes a whole Parquet table
+partitioned by ``run_date``, ``replace_dates`` only the dates of a batch, and
+``rewrite`` applies a transform to the partitions it touches, in place: the new
+rows are staged, then overwrite those partitions, and emptied ones are removed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import exprs as X
+from ..session import stage_table
 
 RUN_WINDOW_KEY = ["start_date", "end_date", "run_date"]
 
@@ -148,9 +149,35 @@ def evolve_schema(df: DataFrame, columns: dict[str, tuple[str, object]]) -> Data
 
 
 def persist(df: DataFrame, path: str, partition_by: str | None = "run_date") -> DataFrame:
-    """Write as Parquet (dynamic partition overwrite) and return the table read back."""
-    w = df.write.mode("overwrite")
+    """Write a whole table as Parquet (partitions that ``df`` does not have go) and return it read back."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def replace_dates(new: DataFrame, path: str, partition_by: str = "run_date") -> DataFrame:
+    """Write only the dates that ``new`` has into a stored table, in the place of what they held."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    return new.sparkSession.read.parquet(path)
+
+
+def rewrite(spark, path: str, change, touched, partition_by: str = "run_date") -> DataFrame:
+    """Apply ``change`` (DataFrame -> DataFrame) to the partitions of a stored table that ``touched`` (a
+    condition on the partition column) selects, and return the table read back.
+
+    Only those partitions are read and written; one that ends up empty is removed.  The new rows are
+    staged first, so the table is never read while it is overwritten."""
+    table = spark.read.parquet(path)
+    before = table.where(touched)
+    after = stage_table(change(before), "rewrite")
+    emptied = before.select(partition_by).distinct().join(after.select(partition_by).distinct(), partition_by, "left_anti")
+    gone = [r[0] for r in emptied.collect()]  # partitions, not rows
+    if not after.isEmpty():
+        replace_dates(after.select(*table.columns), path, partition_by)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for value in gone:
+        folder = hadoop(f"{path}/{partition_by}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(table.schema).parquet(path)

@@ -53,7 +53,7 @@ def apply_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "Purch
         checks.append(F.when(a.isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)))
         checks.append(F.when(num < 0, F.lit(ISSUE_NEGATIVE)))
     if date in df.columns:
-        checks.append(F.when(col(date).isNotNull() & X.parse_date(col(date)).isNull(), F.lit(ISSUE_BAD_DATE)))
+        checks.append(F.when(col(date).isNotNull() & X.parse_date_any(col(date)).isNull(), F.lit(ISSUE_BAD_DATE)))
     return d.withColumn("issues", F.array_compact(F.array(*checks))).drop("_dup_n")
 
 
@@ -80,7 +80,7 @@ def bad_amounts(df: DataFrame, amount: str = "Total") -> DataFrame:
 
 
 def bad_dates(df: DataFrame, date: str = "PurchaseInvDate") -> DataFrame:
-    return df.where(col(date).isNotNull() & X.parse_date(col(date)).isNull())
+    return df.where(col(date).isNotNull() & X.parse_date_any(col(date)).isNull())
 
 
 def rule_report(df_with_issues: DataFrame) -> DataFrame:

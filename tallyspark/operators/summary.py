@@ -15,7 +15,7 @@ from .normalize import col
 
 def invoice_summary(df: DataFrame, date_col: str, amount_col: str) -> DataFrame:
     """Rows, columns, earliest/latest parsable date, sum/avg/min/max of valid amounts."""
-    d = X.parse_date(col(date_col))
+    d = X.parse_date_any(col(date_col))
     a = X.to_decimal(col(amount_col))
     return df.agg(
         F.count(F.lit(1)).alias("total_invoices"), F.lit(len(df.columns)).alias("columns_count"),

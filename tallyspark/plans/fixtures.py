@@ -311,3 +311,9 @@ def doc_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))))
     size = F.when(F.col("doc_id") % 7 == 0, F.lit(500)).otherwise(F.col("n_chars") + 1024)
     return j.select("doc_id", name.alias("name"), size.alias("size"))
+
+
+def remove_tree(spark, path: str) -> None:
+    """Delete a folder of a query's own scratch space, wherever it is stored."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -80,7 +80,7 @@ WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce
                                                     lambda p: trim(p, {_WS})), lambda p: p <> '')),
               lambda p: len(p) >= 2) AS kept FROM documents),
      h AS (SELECT doc_id, kept, CASE WHEN len(kept) = 0 THEN [] ELSE
-             list_reduce(kept[1:20], lambda acc, x: CASE WHEN len(x) > len(acc) THEN x ELSE acc END) END AS hdr FROM k),
+             list_reduce(kept, lambda acc, x: CASE WHEN len(x) > len(acc) THEN x ELSE acc END) END AS hdr FROM k),
      n AS (SELECT doc_id, kept, list_transform(hdr, lambda x, i: CASE WHEN x = '' OR regexp_full_match(x, '[0-9]+')
              THEN 'col_' || CAST(i - 1 AS VARCHAR) ELSE x END) AS header FROM h),
      r AS (SELECT doc_id, header, list_filter(kept, lambda x: len(x) = len(header)) AS rows FROM n)
@@ -141,13 +141,14 @@ def file_gate(spark, sf):
 
 @query("match_file_to_invoice", """
 WITH f AS (SELECT * FROM doc_names WHERE size >= 1024),
-     toks AS (SELECT doc_id, name, size, unnest(regexp_extract_all(name, '([A-Za-z0-9\\-]+)', 1)) AS tok FROM f),
-     hits AS (SELECT DISTINCT t.doc_id, t.name, t.size, i.invoice_number AS matched_invoice FROM toks t
-              JOIN invoices i ON t.tok = i.invoice_number WHERE i.invoice_number <> '')
+     num AS (SELECT DISTINCT invoice_number FROM invoices WHERE invoice_number <> ''),
+     hits AS (SELECT f.doc_id, f.name, f.size, invoice_number AS matched_invoice FROM f JOIN num ON contains(f.name, invoice_number))
 SELECT doc_id, name, size, matched_invoice, 'id_in_name' AS match_kind FROM hits
 UNION ALL
 SELECT doc_id, name, size, NULL, 'candidate' FROM f WHERE name NOT IN (SELECT name FROM hits)
-  AND regexp_matches(lower(name), 'inv(oice)?[-_]?\\d+')""", ("doc_names",))
+  AND regexp_matches(lower(name), 'inv(oice)?[-_]?\\d+')
+UNION ALL
+SELECT doc_id, name, size, NULL, 'too_small' FROM doc_names WHERE size < 1024""", ("doc_names",))
 def match_file_to_invoice(spark, sf):
     return RC.match_file_to_invoice(FX.doc_file_names(spark, sf), FX.invoices(spark, sf), "name", "invoice_number",
                                     size="size")
@@ -164,8 +165,8 @@ WITH f AS ({_FIELDS_SQL}),
      np AS (SELECT invoice, first AS file_order, count(*) AS new FROM fs GROUP BY 1, 2),
      cum AS (SELECT *, sum(new) OVER (PARTITION BY invoice ORDER BY file_order ROWS UNBOUNDED PRECEDING) AS c FROM np),
      stp AS (SELECT invoice, min(file_order) AS stop FROM cum WHERE c >= 5 GROUP BY 1)
-SELECT kv.invoice, field, arg_max(value, kv.file_order) AS value FROM kv LEFT JOIN stp USING (invoice)
-WHERE stp.stop IS NULL OR kv.file_order <= stp.stop GROUP BY 1, 2"""
+SELECT kv.invoice, field, arg_max(value, kv.file_order) AS value, any_value(stp.stop) AS stopped_at FROM kv
+LEFT JOIN stp USING (invoice) WHERE stp.stop IS NULL OR kv.file_order <= stp.stop GROUP BY 1, 2"""
 
 
 @query("merge_document_fields", _MERGE_SQL, TXT)

@@ -28,10 +28,9 @@ def append_history(spark, sf):
     first = L.history_rows(inv.where(F.col("order_key") % 30 < 20), d)
     second = L.history_rows(inv.where(F.col("order_key") % 30 >= 15), d)
     path = scratch_path(spark, "history")
-    stored = L.persist(first, path)
-    # the second batch re-runs dates 15..19: those partitions are replaced, not duplicated
-    merged = L.append_history(stored, second)
-    return L.persist(merged, scratch_path(spark, "history"))
+    L.persist(first, path)
+    # the second batch re-runs dates 15..19: those partitions are replaced, the others not touched
+    return L.replace_dates(second, path).select(*first.columns)
 
 
 def _archived(spark, sf):
@@ -80,12 +79,18 @@ def purge_archived(spark, sf):
 
 @query("active_only", f"SELECT id, run_date FROM history WHERE run_date >= DATE '{CUTOFF}'", ("history",))
 def active_only(spark, sf):
-    return L.active(_archived(spark, sf)[2]).select("id", "run_date")
+    path = scratch_path(spark, "history")
+    L.persist(FX.history(spark, sf), path)
+    due = F.col("run_date") < F.lit(CUTOFF).cast("date")
+    return L.active(L.rewrite(spark, path, lambda df: L.archive_before(df, CUTOFF, ARCHIVE_AS_OF, "run_date"), due)).select("id", "run_date")
 
 
 @query("retain_snapshots", "SELECT id, run_date FROM history WHERE run_date >= DATE '2024-02-15' - 30", ("history",))
 def retain_snapshots(spark, sf):
-    return L.retain_snapshots(FX.history(spark, sf), "2024-02-15").select("id", "run_date")
+    path = scratch_path(spark, "snapshots")
+    L.persist(FX.history(spark, sf), path)
+    old = F.col("run_date") < F.date_sub(F.lit("2024-02-15").cast("date"), 30)
+    return L.rewrite(spark, path, lambda df: L.retain_snapshots(df, "2024-02-15"), old).select("id", "run_date")
 
 
 @query("filter_run_range", """SELECT run_date, to_json([struct_pack(invoice_no := invoice_no, vendor_name := vendor_name,
@@ -193,19 +198,26 @@ def session_rows(spark, sf):
     return FX.validations(spark, sf).where(F.col("processed_by").contains("s1")).select("invoice_number", "processed_by")
 
 
+_FILES = "(SELECT nullif(batch, 'de') AS batch, name, size FROM doc_files)"  # some files have no batch
+
+
+def _files(spark, sf):
+    return FX.files_from_documents(spark, sf).drop("doc_id").withColumn("batch", F.nullif(F.col("batch"), F.lit("de")))
+
+
 _RUN = "sum(size) OVER (PARTITION BY batch ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("running_size", f"SELECT batch, name, size, {_RUN} AS running FROM doc_files", ("doc_files",))
+@query("running_size", f"SELECT batch, name, size, {_RUN} AS running FROM {_FILES}", ("doc_files",))
 def running_size(spark, sf):
     from ..operators.common import running_total
-    return running_total(FX.files_from_documents(spark, sf).drop("doc_id"), "batch", "name", "size")
+    return running_total(_files(spark, sf), "batch", "name", "size")
 
 
-@query("bundle_under_cap", f"SELECT batch, name, size FROM (SELECT *, {_RUN} AS r FROM doc_files) WHERE r <= 200000",
+@query("bundle_under_cap", f"SELECT batch, name, size FROM (SELECT *, {_RUN} AS r FROM {_FILES}) WHERE r <= 200000",
        ("doc_files",))
 def bundle_under_cap(spark, sf):
-    return SK.bundle_stop(FX.files_from_documents(spark, sf).drop("doc_id"), "batch", "name", "size", 200000)
+    return SK.bundle_stop(_files(spark, sf), "batch", "name", "size", 200000)
 
 
 @query("bundle_skip_variant")

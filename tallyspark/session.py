@@ -1,5 +1,5 @@
 """Session helpers: building a session, reading the input tables, shared scratch
-space and size-checked broadcasts.
+space, staged tables.
 
 Nothing here is specific to one operator; every operator module takes an
 existing ``SparkSession`` / ``DataFrame`` and returns a ``DataFrame``.
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every session of ours wants, on a laptop or a cluster.  Shuffle
 # partition counts are *not* set here for clusters: AQE coalesces small
@@ -81,10 +82,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -94,14 +101,3 @@ def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Exact, bounded size check: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the choice to AQE
-    (which still converts to a broadcast join when the measured shuffle output is small)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df

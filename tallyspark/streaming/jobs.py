@@ -23,7 +23,7 @@ def row_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "Purchas
     checks = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in (number, date, vendor, gst, amount)]
     checks += [F.when(col(amount).isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)),
                F.when(num < 0, F.lit(ISSUE_NEGATIVE)),
-               F.when(col(date).isNotNull() & X.parse_date(col(date)).isNull(), F.lit(ISSUE_BAD_DATE))]
+               F.when(col(date).isNotNull() & X.parse_date_any(col(date)).isNull(), F.lit(ISSUE_BAD_DATE))]
     return df.withColumn("issues", F.array_compact(F.array(*checks)))
 
 
