@@ -25,6 +25,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,14 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                        F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(counts.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32)
+
+
 def digests_and_counts(rows: DataFrame, width: int) -> DataFrame:
     """Rows with ``row, doc_id, digest, n`` and rows with ``block, part, counts`` (the task's bucket counts)."""
     names = ["row", "doc_id", "digest", "n", "block", "part", "counts"]
@@ -130,7 +139,7 @@ def digests_and_counts(rows: DataFrame, width: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for b in some.tolist():
             yield pa.record_batch([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())),
-                                   pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([blocks[b].tobytes()], pa.binary())], names)
+                                   pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(blocks[b])], pa.binary())], names)
 
     return rows.mapInArrow(run, "row long, doc_id long, digest long, n int, block int, part int, counts binary")
 
@@ -140,9 +149,9 @@ def summed_counts(parts: DataFrame) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, np.uint64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, np.uint32)
+            total += _unpack(c)
         return pd.DataFrame({"block": pdf["block"][:1], "part": pdf["part"][:1] // FAN,
-                             "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+                             "counts": [_pack(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))]})
 
     schema = "block int, part int, counts binary"
     most = parts.agg(F.max("part")).first()[0] or 0
@@ -153,7 +162,7 @@ def summed_counts(parts: DataFrame) -> np.ndarray:
             break
     out = np.zeros((1 << (BUCKET_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint32)
     for r in parts.toLocalIterator():  # a fixed 2 ** BUCKET_BITS counts in all
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["block"]] = _unpack(r["counts"])
     return out.reshape(-1)
 
 
@@ -211,16 +220,25 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough."""
+def verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough; only their documents are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent)
                     for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    needed = stage_table(pairs.select("a").union(pairs.select("b")).distinct(), "join-needed")
+    sets = stage_table(whole_sets(rows.join(needed, F.col("row") == F.col("a"), "left_semi"), width), "join-sets")
     x, y = (sets.select(F.col("row").alias(f"{s}_row"), F.col("grams").alias(s)) for s in "xy")
-    return pairs.join(x, F.col("a") == F.col("x_row")).join(y, F.col("b") == F.col("y_row")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(x, F.col("a") == F.col("x_row")).join(y, F.col("b") == F.col("y_row")).select("a", "b", "x", "y")
+    return stage_table(both.mapInArrow(run, "a long, b long"), "join-links")
+
+
+def _passes(percent: int):
+    """Length filter, and positional filter at a shared shingle: what is left of both sets must do."""
+    both, rest = F.col("n") + F.col("h_n"), F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos"))
+    return (F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent) & (rest * (100 + percent) >= both * percent)
 
 
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -238,20 +256,16 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = stage_table(members.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"),
                                                                             F.count(F.lit(1)).alias("size")), "join-classes")
     rep_of = members.join(classes, ["digest", "n"]).select("row", "rep")
-    found = stage_table(prefixes(rows, counts, width, percent), "join-prefixes")
-    shared = found.groupBy("token").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("token")
+    found = prefixes(rows, counts, width, percent)  # cheaper to make twice than to keep
+    shared = found.groupBy("token").count().where("count > 1").select("token")
     meeting = found.join(shared, "token").join(rep_of, "row").groupBy("token", "rep").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
     meeting = stage_table(meeting, "join-meeting")
-    similar = (F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
-
-    hubs = meeting.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi")).where("hub < hi").select("token", "hub")
-    sizes = classes.select(F.col("rep").alias("h_rep"), F.col("n").alias("h_n"))
-    tried = meeting.join(hubs, "token").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    tried = tried.join(sizes, F.col("a") == F.col("h_rep")).where(similar).select("a", "b")
-    tried = stage_table(tried, "join-tried")
-    in_play = meeting.join(hubs, "token", "left_semi").select("rep").distinct()
-    sets = stage_table(whole_sets(rows.join(in_play, F.col("row") == F.col("rep"), "left_semi"), width), "join-sets")
-    links = stage_table(verify(tried, sets, percent), "join-links")
+    # A pair that is similar enough passes at its first shared shingle, so passing at any one of them is asked.
+    hubs = meeting.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.max("rep").alias("hi")).where("hub.rep < hi")
+    hubs = hubs.select("token", F.col("hub.rep").alias("h_rep"), F.col("hub.n").alias("h_n"), F.col("hub.pos").alias("h_pos"))
+    tried = meeting.join(hubs, "token").where((F.col("rep") != F.col("h_rep")) & _passes(percent))
+    tried = stage_table(tried.select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct(), "join-tried")
+    links = verify(tried, rows, width, percent)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labelled = meeting.join(hubs.select("token"), "token", "left_semi").join(labels, F.col("rep") == F.col("node"), "left")
@@ -261,14 +275,12 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     mixed = stage_table(labelled.join(top.select("token", "main"), "token"), "join-mixed")
     outside = mixed.where("comp <> main").select(F.col("token").alias("h_token"), F.col("rep").alias("h_rep"), F.col("n").alias("h_n"),
                                                  F.col("pos").alias("h_pos"), F.col("comp").alias("h_comp"))
-    both = F.col("n") + F.col("h_n")
-    reachable = F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos")) * (100 + percent) >= both * percent
-    across = (mixed.join(outside, (F.col("token") == F.col("h_token")) & (F.col("comp") != F.col("h_comp")) & similar & reachable)
+    across = (mixed.join(outside, (F.col("token") == F.col("h_token")) & (F.col("comp") != F.col("h_comp")) & _passes(percent))
               .where("comp = main OR rep < h_rep")
               .select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct())
-    again = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    across = across.join(again, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = stage_table(verify(across, sets, percent), "join-links")
+    again = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))  # a hub is the smaller of its pairs
+    across = stage_table(across.join(again, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "join-across")
+    more = verify(across, rows, width, percent)
     labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
                         .union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
