@@ -4,7 +4,6 @@ Arrow batches, and 64-bit mixing."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +19,6 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch for what is run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, in place on a uint64 array."""
     x ^= x >> U64(30)

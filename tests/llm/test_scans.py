@@ -147,8 +147,7 @@ def test_round_trip(docs_of):
 
 def test_warc(spark, tmp_path):
     from tallyspark.llm import warc
-    from tallyspark.llm.common import batch_rows
-    from tallyspark.session import stage_table
+    from tallyspark.session import batch_rows, stage_table
     big, html = "<p>" + "x" * 200, "<html>\r\n\r\n WARC/1.1\r\nContent-Length: 3\r\n\r\n é " + "y" * 120
     pages = [(3, "http://a/", big), (1, "http://b/\r\nX: y", big), (1, "http://b/", big), (None, None, big), (7, "u", "short"), (8, "u", "short"),
              (9, None, None), (10, "u", html), (11, "u", html), (12, "u", ""), (13, "v", "z" * 300_000)]
