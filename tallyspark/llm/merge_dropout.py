@@ -15,15 +15,18 @@ unknown characters and the mark character itself go to byte pieces.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
+from operator import add
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import bounded_batches, slices
 
@@ -32,7 +35,8 @@ MARK = "▁"
 #: Spaces before a word go with it; white space other than blanks is part of words.
 CHUNK = re.compile(r" *[^ ]+| +")
 MASK = (1 << 64) - 1
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+NO_RANK, SHORT = 1 << 30, 96
 
 
 class Pieces:
@@ -77,50 +81,73 @@ def _mix(x: int) -> int:
 
 
 def word_key(word: str, key: int) -> int:
-    return _mix(int.from_bytes(word.encode("utf-8", "surrogatepass"), "little") % 0xFFFFFFFFFFFFFFC5 ^ key)
-
-
-def encode_word(word: str, vocabulary: Pieces, key: int, skip_below: int) -> list[int]:
-    """Piece ids of a chunk (blanks and a word); a candidate merge is skipped if its keyed hash is below
-    ``skip_below`` (0: no dropout)."""
-    rank = vocabulary.rank
-    parts = [MARK if c == " " else c if c != MARK else "" for c in word]  # "" becomes byte pieces
+    return hash((key, crc32(word.encode("utf-8", "surrogatepass"))))
+
+
+def skipped(seed: int, rank: int, place: int, skip_below: int) -> bool:
+    """The keyed hash of a candidate: a tuple of numbers hashes alike in every process."""
+    return hash((seed, rank, place)) & MASK < skip_below
+
+
+def merge_scan(parts: list[str], rank: dict[str, int], seed: int, skip_below: int) -> list[str]:
+    """The merge agenda of a short word, kept as one rank per pair of neighbours."""
+    if len(parts) < 2:
+        return parts
+    places, agenda = list(range(len(parts))), [rank.get(p, NO_RANK) if len(p) == 2 else NO_RANK for p in map(add, parts, parts[1:])]
+    while (r := min(agenda)) < NO_RANK:
+        i = agenda.index(r)
+        if skip_below and hash((seed, r, places[i])) & MASK < skip_below:
+            agenda[i] = NO_RANK
+            continue
+        a = parts[i] = parts[i] + parts.pop(i + 1)
+        del agenda[i], places[i + 1]
+        if i < len(agenda):
+            agenda[i] = rank.get(a + parts[i + 1], NO_RANK) if parts[i + 1] else NO_RANK
+        if i:
+            agenda[i - 1] = rank.get(parts[i - 1] + a, NO_RANK) if parts[i - 1] else NO_RANK
+        if not agenda:
+            break
+    return parts
+
+
+def merge_heap(parts: list[str], rank: dict[str, int], seed: int, skip_below: int) -> list[str]:
+    """The merge agenda of a long word, kept as a heap of (rank, place, joint length)."""
     n = len(parts)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    agenda = []
-    for i in range(n - 1):
-        if parts[i] and parts[i + 1] and (r := rank.get(parts[i] + parts[i + 1])) is not None:
-            agenda.append((r, i, len(parts[i]) + len(parts[i + 1])))
-    heapq.heapify(agenda)
-    seed = word_key(word, key) if skip_below else 0
+    agenda = [(rank[p], i, 2) for i, p in enumerate(map(add, parts, parts[1:])) if len(p) == 2 and p in rank]
+    heapify(agenda)
     while agenda:
-        r, i, size = heapq.heappop(agenda)
-        a, j = parts[i], right[i]
-        if not a or j >= n or len(a) + len(parts[j]) != size or rank.get(a + parts[j]) != r:
+        r, i, size = heappop(agenda)
+        j = right[i]
+        if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size or rank.get(parts[i] + parts[j]) != r:
             continue  # one of the two has been merged elsewhere
-        if skip_below:
-            x = seed + r * 0x9E3779B97F4A7C15 + i * 0xD1B54A32D192ED03 & MASK
-            if (x ^ x >> 29) * 0x94D049BB133111EB & MASK < skip_below:
-                continue
-        a += parts[j]
-        parts[i], parts[j] = a, ""
-        k = right[i] = right[j]
+        if skip_below and skipped(seed, r, i, skip_below):
+            continue
+        a = parts[i] = parts[i] + parts[j]
+        parts[j] = None
+        k, h = right[j], left[i]
+        right[i] = k
         if k < n:
             left[k] = i
             if parts[k] and (r := rank.get(a + parts[k])) is not None:
-                heapq.heappush(agenda, (r, i, len(a) + len(parts[k])))
-        h = left[i]
+                heappush(agenda, (r, i, len(a) + len(parts[k])))
         if h >= 0 and parts[h] and (r := rank.get(parts[h] + a)) is not None:
-            heapq.heappush(agenda, (r, h, len(parts[h]) + len(a)))
-    out, i = [], 0
-    while i < n:
-        found = vocabulary.ids.get(parts[i]) if parts[i] else None
-        if found is not None:
-            out.append(found)
-        else:
-            out.extend(vocabulary.byte_ids[b] for b in (parts[i] or MARK).encode())
-        i = right[i]
-    return out
+            heappush(agenda, (r, h, len(parts[h]) + len(a)))
+    return [p for p in parts if p is not None]
+
+
+def encode_word(word: str, vocabulary: Pieces, key: int, skip_below: int) -> list[int]:
+    """Piece ids of a chunk (blanks and a word); a candidate merge is skipped, until a neighbour changes, if
+    its keyed hash is below ``skip_below`` (0: no dropout)."""
+    parts = list(word.replace(" ", MARK))
+    if MARK in word:
+        parts = [p if c != MARK else "" for p, c in zip(parts, word)]  # "" becomes byte pieces
+    seed = word_key(word, key) if skip_below else 0
+    parts = (merge_scan if len(parts) <= SHORT else merge_heap)(parts, vocabulary.rank, seed, skip_below)
+    ids = list(map(vocabulary.ids.get, parts))
+    if None in ids:
+        ids = [x for p, i in zip(parts, ids) for x in ([i] if i is not None else [vocabulary.byte_ids[b] for b in (p or MARK).encode()])]
+    return ids
 
 
 class Encoder:
@@ -129,21 +156,22 @@ class Encoder:
     def __init__(self, model: str, seed: int, dropout: float):
         self.vocabulary, self.seed = pieces(model), seed
         self.skip_below = min(MASK, int(dropout * 2.0 ** 64))
-        self.words: dict[int, dict[str, bytes]] = {}
+        self.words: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
     def encode(self, text: str, variant: int) -> bytes:
         """Piece ids (int32) of a text; the dummy blank before it is part of the model's form."""
         if not text:
             return b""
-        known = self.words.setdefault(variant, {})
+        known, old = self.words.get(variant, ({}, {}))
         chunks = CHUNK.findall(" " + text)
-        new = [w for w in set(chunks) if w not in known]
-        if len(known) + len(new) > KEPT_WORDS:  # memory only
-            known.clear()
-            new = set(chunks)
+        distinct = set(chunks)
+        if len(known) + len(distinct) > KEPT_WORDS:  # memory only: words met lately are kept for another round
+            known, old = {}, known
+        self.words[variant] = known, old
         key = _mix(self.seed * 0x9E3779B97F4A7C15 + variant & MASK)
-        for w in new:
-            known[w] = np.array(encode_word(w, self.vocabulary, key, self.skip_below), np.int32).tobytes()
+        for w in distinct:
+            if w not in known:
+                known[w] = old[w] if w in old else np.array(encode_word(w, self.vocabulary, key, self.skip_below), np.int32).tobytes()
         return b"".join([known[w] for w in chunks])
 
 
@@ -175,7 +203,7 @@ def encode_documents(docs: DataFrame, text: str = "text", salt: str = "doc_id",
     own = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.pmod(F.xxhash64(F.col(f"`{salt}`")), F.lit(variants)).alias("__variant"),
                        F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("ids", "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("ids", ArrayType(IntegerType()))
     names = [*own, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +220,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> D
     """``docs`` with ``decoded`` in the place of the piece ids; null ids give an empty text."""
     own = [c for c in docs.columns if c not in (ids, "decoded")]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{ids}`").alias("__ids"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("decoded", "string")
+    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("decoded", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model).bytes
