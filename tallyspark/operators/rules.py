@@ -24,10 +24,11 @@ ISSUE_BAD_DATE = "invalid date"
 
 
 def required_columns(df: DataFrame, required: list[str] = K.REQUIRED_COLUMNS) -> DataFrame:
-    """Schema check on the driver: one row per required column with ``present``."""
-    present = set(df.columns)
-    return df.sparkSession.createDataFrame(
-        [(c, c in present) for c in required], "column_name string, present boolean")
+    """One row per required column: whether the frame has it, and in how many rows it is filled."""
+    filled = [(F.count_if(~X.is_blank(col(c))) if c in df.columns else F.count_if(F.lit(False))).alias(f"n{i}") for i, c in enumerate(required)]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), F.col(f"n{i}").alias("filled_rows"))
+            for i, c in enumerate(required)]
+    return df.agg(*filled).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def is_numeric_text(x) -> F.Column:
@@ -39,21 +40,26 @@ def with_duplicate_counts(df: DataFrame, number: str, name: str = "_dup_n") -> D
     return left_join_keyed(df, counts, [number])
 
 
+def row_checks(fields: list[str], date: str, amount: str) -> tuple[list[F.Column], list[F.Column]]:
+    """The rules that need one row only, in report order: missing values, and values that do not parse."""
+    missing = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in fields]
+    values = []
+    if amount in fields:
+        num = X.to_double(col(amount))
+        values += [F.when(col(amount).isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)), F.when(num < 0, F.lit(ISSUE_NEGATIVE))]
+    if date in fields:
+        values.append(F.when(col(date).isNotNull() & X.parse_date_any(col(date)).isNull(), F.lit(ISSUE_BAD_DATE)))
+    return missing, values
+
+
 def apply_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "PurchaseInvDate",
                 vendor: str = "PartyName", gst: str = "GSTNO", amount: str = "Total") -> DataFrame:
     """Adds ``issues: array<string>`` (empty when the row passes every rule)."""
     fields = [f for f in (number, date, vendor, gst, amount) if f in df.columns]
     d = with_duplicate_counts(df, number) if number in df.columns else df.withColumn("_dup_n", F.lit(None))
-    checks = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in fields]
-    if number in df.columns:
-        checks.append(F.when(F.col("_dup_n") > 1, F.lit(ISSUE_DUPLICATE)))
-    if amount in df.columns:
-        a = col(amount)
-        num = X.to_double(a)
-        checks.append(F.when(a.isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)))
-        checks.append(F.when(num < 0, F.lit(ISSUE_NEGATIVE)))
-    if date in df.columns:
-        checks.append(F.when(col(date).isNotNull() & X.parse_date_any(col(date)).isNull(), F.lit(ISSUE_BAD_DATE)))
+    missing, values = row_checks(fields, date, amount)
+    repeated = [F.when(F.col("_dup_n") > 1, F.lit(ISSUE_DUPLICATE))] if number in df.columns else []
+    checks = missing + repeated + values
     return d.withColumn("issues", F.array_compact(F.array(*checks))).drop("_dup_n")
 
 

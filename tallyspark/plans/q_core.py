@@ -52,9 +52,12 @@ def rule_report(spark, sf):
     return R.rule_report(R.apply_rules(FX.ledger(spark, sf)))
 
 
-@query("rule_required_columns")
+@query("rule_required_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {'false' if c == 'GSTNO' else 'true'} AS present, "
+    + ("count_if(false)" if c == "GSTNO" else f"count_if(NOT {s_blank(chr(34) + c + chr(34))})") + " AS filled_rows FROM ledger"
+    for c in K.REQUIRED_COLUMNS), LEDGER_CTE)
 def rule_required_columns(spark, sf):
-    return R.required_columns(FX.ledger(spark, sf))
+    return R.required_columns(FX.ledger(spark, sf).drop("GSTNO"))
 
 
 @query("rule_missing_values", " UNION ALL ".join(
@@ -141,9 +144,9 @@ def extract_invoice_date(spark, sf):
     return FX.validations(spark, sf).select("hash_value", "inv_date")
 
 
-@query("extract_currency", "SELECT hash_value, inv_currency FROM validations", ("validations",))
+@query("extract_currency", f"""SELECT "InvID", upper(coalesce({s_null_tokens('"Currency"')}, 'USD')) AS inv_currency FROM ledger""", LEDGER_CTE)
 def extract_currency(spark, sf):
-    return FX.validations(spark, sf).select("hash_value", "inv_currency")
+    return _ledger_first(spark, sf, K.CURRENCY_TOKENS, "inv_currency", upper=True, default=K.DEFAULT_CURRENCY_EXTRACT)
 
 
 @query("extract_location", "SELECT hash_value, location FROM validations", ("validations",))
@@ -151,8 +154,8 @@ def extract_location(spark, sf):
     return FX.validations(spark, sf).select("hash_value", "location")
 
 
-def _ledger_first(spark, sf, tokens, name, parse=False, upper=False, default=""):
-    led = N.clean_headers(FX.ledger(spark, sf), drop_empty_columns=False)
+def _ledger_first(spark, sf, tokens, name, parse=False, upper=False, default="", led=None):
+    led = N.clean_headers(FX.ledger(spark, sf) if led is None else led, drop_empty_columns=False)
     cols = N.header_cols(led.columns, tokens, exclude=K.DUE_DATE_TOKENS if tokens is K.INVOICE_DATE_TOKENS else None)
     v = (X.first_date(*[col(c) for c in cols]) if parse
          else X.first_text(*[col(c) for c in cols], upper=upper, default=default))
@@ -170,9 +173,12 @@ def extract_mop(spark, sf):
     return _ledger_first(spark, sf, K.MOP_TOKENS, "mop")
 
 
-@query("extract_account_head", """SELECT "InvID", '' AS account_head FROM ledger""", LEDGER_CTE)
+@query("extract_account_head", f"""SELECT "InvID", coalesce(CASE WHEN CAST("InvID" AS BIGINT) % 3 = 0 THEN NULL
+  ELSE {s_null_tokens('"PurchaseLEDGER"')} END, {s_null_tokens('"State"')}, '') AS account_head FROM ledger""", LEDGER_CTE)
 def extract_account_head(spark, sf):
-    return _ledger_first(spark, sf, K.ACCOUNT_TOKENS, "account_head")
+    # two account columns: the first one is blank in every third row
+    led = FX.ledger(spark, sf).withColumn("gl_code", F.when(F.col("InvID").cast("long") % 3 == 0, F.lit(" ")).otherwise(F.col("PurchaseLEDGER")))
+    return _ledger_first(spark, sf, K.ACCOUNT_TOKENS, "account_head", led=led.withColumn("cost_center", F.col("State")))
 
 
 @query("parse_dates", f"""SELECT invoice_id, invoice_date_raw, {s_parse_date('invoice_date_raw')} AS invoice_date
@@ -326,10 +332,27 @@ def column_profile(spark, sf):
     return N.column_profile(FX.ledger(spark, sf), ["PurchaseInvNo", "PartyName", "Total", "TaxableValue", "InvID"])
 
 
-@query("map_columns")
+def _share(c: str) -> str:
+    return f"avg(CASE WHEN {s_num(chr(34) + c + chr(34))} IS NOT NULL THEN 1.0 ELSE 0.0 END)"
+
+
+@query("map_columns", f"""
+WITH p AS (SELECT {_share('PurchaseInvNo')} AS inv, {_share('InvID')} AS id, {_share('PartyName')} AS party,
+                  avg(length(coalesce("PartyName", ''))) AS party_len, {_share('Total')} AS total, {_share('TaxableValue')} AS taxable,
+                  {_share('Narration')} AS note, avg(length(coalesce("Narration", ''))) AS note_len FROM ledger)
+SELECT 'invoice_number' AS target, 'voucher_ref' AS column_name, CAST(2 + (inv < 1)::INT + (inv < 0.5)::INT AS INT) AS score FROM p
+UNION ALL SELECT 'invoice_number', 'billing_key', CAST((id < 1)::INT + (id < 0.5)::INT AS INT) FROM p
+UNION ALL SELECT 'vendor', 'party_label', CAST(2 + 2 * (party < 1)::INT + (party_len >= 6)::INT AS INT) FROM p
+UNION ALL SELECT 'vendor', 'payee_note', CAST(2 * (note < 1)::INT + (note_len >= 6)::INT AS INT) FROM p
+UNION ALL SELECT 'amount', 'grand_amt', CAST(4 + 3 * (total >= 0.6)::INT AS INT) FROM p
+UNION ALL SELECT 'amount', 'base_value', CAST(1 + 3 * (taxable >= 0.6)::INT AS INT) FROM p""", LEDGER_CTE)
 def map_columns(spark, sf):
-    led = N.clean_headers(FX.ledger(spark, sf), drop_empty_columns=False)
-    return N.mapping_frame(spark, N.map_columns(led))
+    """Headers that no known name fits: candidates are scored by name and profile."""
+    led = FX.ledger(spark, sf).select(
+        F.col("PurchaseInvNo").alias("voucher_ref"), F.col("InvID").alias("billing_key"), F.col("PartyName").alias("party_label"),
+        F.col("Narration").alias("payee_note"), F.col("Total").alias("grand_amt"), F.col("TaxableValue").alias("base_value"),
+        F.col("TDS").alias("tds_value"), F.col("Voucherdate").alias("voucher_date"))
+    return N.column_candidates(led).select("target", "column_name", F.col("score").cast("int").alias("score"))
 
 
 @query("profile_quality", f"""SELECT count(*) AS total_rows, {len(__import__('tallyspark.plans.fixtures', fromlist=['x']).LEDGER_COLUMNS)} AS total_columns,

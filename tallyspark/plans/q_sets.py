@@ -22,12 +22,22 @@ def union_frames(spark, sf):
     return even.unionByName(odd, allowMissingColumns=True)
 
 
-@query("common_columns")
+_COMMON = ["invoice_id", "invoice_number", "vendor_name", "gst_number", "amount_raw"]
+
+
+@query("common_columns", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, (SELECT count({c}) FROM snap_cur) AS current_values, "
+    f"(SELECT count({c}) FROM snap_prev) AS previous_values" for i, c in enumerate(_COMMON)), ("snap_cur", "snap_prev"))
 def common_columns(spark, sf):
+    """Columns of both frames in the order of the first, with how many values each side has."""
     cur, prev = FX.snapshot_pair(spark, sf)
-    prev = prev.drop("lines").withColumn("extra", F.lit(1))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(C.common_columns(cur, prev))],
-                                 "position int, column_name string")
+    cur, prev = cur.select(*_COMMON, "lines"), prev.select("location", *reversed(_COMMON))
+    names = C.common_columns(cur, prev)
+    both = cur.select(*names, F.lit(1).alias("_c")).unionByName(prev.select(*names, F.lit(0).alias("_c")))
+    counts = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.count_if(F.col(c).isNotNull() & (F.col("_c") == 1)).alias(
+        "current_values"), F.count_if(F.col(c).isNotNull() & (F.col("_c") == 0)).alias("previous_values")) for i, c in enumerate(names)]
+    return both.agg(*[s.alias(f"s{i}") for i, s in enumerate(counts)]).select(
+        F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
 
 
 @query("ordered_dedupe", f"""SELECT creator, min(pos) AS first_pos FROM (

@@ -171,3 +171,10 @@ def bulk_update_rollup(spark, sf):
     from ..session import table
     e = table(spark, sf, "events").select(F.to_date("ts").alias("batch"), (F.col("event_type") != "error").alias("ok"))
     return S.outcome_rollup(e, "batch", "ok")
+
+
+@query("bulk_update_failed", """SELECT event_id, CAST(ts AS DATE) AS batch, user_id FROM events WHERE event_type = 'error'""")
+def bulk_update_failed(spark, sf):
+    from ..session import table
+    e = table(spark, sf, "events").select("event_id", F.to_date("ts").alias("batch"), "user_id", (F.col("event_type") != "error").alias("ok"))
+    return S.failed_rows(e, "ok").drop("ok")

@@ -11,20 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
-from ..operators.normalize import col
 
 def row_rules(df: DataFrame, number: str = "PurchaseInvNo", date: str = "PurchaseInvDate",
               vendor: str = "PartyName", gst: str = "GSTNO", amount: str = "Total") -> DataFrame:
     """The single-row rules of ``operators.rules.apply_rules``.  The duplicate-number rule
     needs the whole table, so a stream applies it in the batch report, not per arrival."""
-    from ..operators.rules import ISSUE_BAD_AMOUNT, ISSUE_BAD_DATE, ISSUE_MISSING, ISSUE_NEGATIVE
-    num = X.to_double(col(amount))
-    checks = [F.when(X.is_blank(col(f)), F.lit(ISSUE_MISSING.format(f))) for f in (number, date, vendor, gst, amount)]
-    checks += [F.when(col(amount).isNotNull() & num.isNull(), F.lit(ISSUE_BAD_AMOUNT)),
-               F.when(num < 0, F.lit(ISSUE_NEGATIVE)),
-               F.when(col(date).isNotNull() & X.parse_date_any(col(date)).isNull(), F.lit(ISSUE_BAD_DATE))]
-    return df.withColumn("issues", F.array_compact(F.array(*checks)))
+    from ..operators.rules import row_checks
+    missing, values = row_checks([number, date, vendor, gst, amount], date, amount)
+    return df.withColumn("issues", F.array_compact(F.array(*missing, *values)))
 
 
 def _drain(q) -> None:
