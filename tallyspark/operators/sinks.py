@@ -6,9 +6,13 @@ rewritten with dynamic partition overwrite so only touched partitions change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 
 def write_status_sheets(report: DataFrame, path: str, status: str = "Status") -> DataFrame:
     """One Parquet partition per status (VALID / INVALID / FLAGGED / UNKNOWN), written
@@ -20,12 +24,11 @@ def write_status_sheets(report: DataFrame, path: str, status: str = "Status") ->
 
 def write_validation_report(rows: DataFrame, path: str, newest: str = "created_at") -> tuple[DataFrame, DataFrame]:
     """All rows newest first, and a second output with the rows that have discrepancies;
-    one cached input, two writes."""
-    rows = rows.cache()
+    one staged input, two writes."""
+    rows = stage_table(rows, "report")
     rows.orderBy(F.desc(newest)).write.mode("overwrite").parquet(f"{path}/validation_report")
     rows.where(F.col("discrepancies").isNotNull()).orderBy(F.desc(newest)).write.mode("overwrite").parquet(
         f"{path}/discrepancy_report")
-    rows.unpersist()
     spark = rows.sparkSession
     return spark.read.parquet(f"{path}/validation_report"), spark.read.parquet(f"{path}/discrepancy_report")
 
@@ -56,7 +59,7 @@ def save_snapshot(df: DataFrame, path: str, run_date, key_candidates: list[str])
     it) plus a one-row metadata table (rows, columns, detected keys)."""
     from .diff import detect_keys
     snap = df.withColumn("run_date", F.lit(str(run_date)).cast("date"))
-    snap.write.mode("overwrite").partitionBy("run_date").parquet(f"{path}/data")
+    snap.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{path}/data")
     spark = df.sparkSession
     stored = spark.read.parquet(f"{path}/data")
     keys = detect_keys(stored.where(F.col("run_date") == F.lit(str(run_date)).cast("date")), key_candidates)
@@ -70,15 +73,21 @@ def save_snapshot(df: DataFrame, path: str, run_date, key_candidates: list[str])
 
 
 def publish_latest(df: DataFrame, path: str, placeholder: dict | None = None) -> tuple[DataFrame, bool]:
-    """Publish today's result for the dashboard and verify the copy by row count;
-    an empty input publishes one placeholder row."""
+    """Publish today's result for the dashboard and verify the copy by the row count seen while it was
+    written; an empty input publishes one placeholder row.  Readers see the old copy until the new one
+    is whole and takes its place by a rename."""
     spark = df.sparkSession
     if placeholder is not None and df.limit(1).count() == 0:
         df = spark.createDataFrame([placeholder], df.schema)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    agg = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return out, out.count() == agg
+    seen, fresh = Observation(), f"{path}-{uuid.uuid4().hex[:8]}.new"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(fresh)
+    if spark.read.parquet(fresh).count() != seen.get["n"]:
+        return spark.read.parquet(fresh), False
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(hadoop(path), True)
+    moved = store.rename(hadoop(fresh), hadoop(path))
+    return spark.read.parquet(path if moved else fresh), moved
 
 
 def bundle_stop(files: DataFrame, batch: str, name: str, size: str, cap: int) -> DataFrame:

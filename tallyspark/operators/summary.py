@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .common import running_total, top_k_per_group
 from .normalize import col
 
 
@@ -40,11 +41,21 @@ def status_summary(df: DataFrame, status: str = "Status") -> DataFrame:
                     X.pct("_valid", "_total").alias("success_rate"))
 
 
+def exact_median(df: DataFrame, a: Column, name: str) -> DataFrame:
+    """One row: the exact median, from counts per value and their running total over value ranges, so no
+    task holds all distinct values (as ``median()`` does)."""
+    counts = df.where(a.isNotNull()).groupBy(a.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
+    upto = with_totals(running_total(counts, "_g", "_v", "_n", "_upto"), _all=F.sum("_n"))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col("_v"))).cast("double")
+    return upto.agg(((at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2).alias(name))
+
+
 def amount_stats(df: DataFrame, amount: Column | str) -> DataFrame:
-    """Sum, mean, exact median, max, min (``median`` is exact, not ``percentile_approx``)."""
+    """Sum, mean, exact median, max, min."""
     a = F.col(amount) if isinstance(amount, str) else amount
-    return df.agg(F.sum(a).alias("total_amount"), F.round(F.avg(a), 2).alias("average_amount"),
-                  F.median(a).alias("median_amount"), F.max(a).alias("max_amount"), F.min(a).alias("min_amount"))
+    sums = df.agg(F.sum(a).alias("total_amount"), F.round(F.avg(a), 2).alias("average_amount"),
+                  F.max(a).alias("max_amount"), F.min(a).alias("min_amount"))
+    return side_by_side(sums, exact_median(df, a, "median_amount"))
 
 
 def most_frequent(df: DataFrame, c: Column, name: str) -> DataFrame:
@@ -55,6 +66,13 @@ def most_frequent(df: DataFrame, c: Column, name: str) -> DataFrame:
     return g.orderBy(F.desc("_n"), F.asc(name)).limit(1).select(name)
 
 
+def value_counts(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """``dimension, value, n`` of several columns in one pass: a row gives one value per dimension, and
+    partial aggregation counts them."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("value")) for d, c in dimensions.items()])
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """Combine one-row frames with disjoint columns into one row (union + max, no cross join)."""
     u = one_row_frames[0]
@@ -96,40 +114,29 @@ def kpi_overview(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_invoices"),
         F.count_if(s.contains("PASS")).alias("passed"), F.count_if(s.contains("WARNING")).alias("warnings"),
         F.count_if(s.contains("FAIL")).alias("failed"),
-        F.count_distinct(col("Invoice_Currency")).alias("currencies"),
-        F.count_distinct(loc).alias("locations"),
         F.count_if(col("Due_Date_Notification").isin("YES", "OVERDUE")).alias("urgent_payments"),
         F.count_if((creator != "Unknown") & (creator != "")).alias("known_creators"))
-    a = side_by_side(a, most_frequent(df, col("Invoice_Currency"), "primary_currency"),
-                     most_frequent(df, loc, "primary_location"))
+    # distinct values and the most frequent one (tie -> smallest) of both columns, from one count
+    counts = value_counts(df, {"currency": col("Invoice_Currency"), "location": loc}).where(F.col("value").isNotNull())
+    is_d = lambda d: F.col("dimension") == d
+    first = lambda d: F.min(F.when(is_d(d), F.struct((-F.col("n")).alias("n"), "value")))["value"]
+    a = side_by_side(a, counts.agg(F.count_if(is_d("currency")).alias("currencies"), F.count_if(is_d("location")).alias("locations"),
+                                   first("currency").alias("primary_currency"), first("location").alias("primary_location")))
     return a.select("*", X.pct("passed", "total_invoices").alias("pass_rate"),
                     X.pct("warnings", "total_invoices").alias("warning_rate"),
                     X.pct("failed", "total_invoices").alias("fail_rate"),
                     X.pct("known_creators", "total_invoices").alias("creator_coverage"))
 
 
-def top_k(df: DataFrame, column: Column | str, k: int | None, dimension: str) -> DataFrame:
-    """``value_counts`` of one column; with ``k`` the head is taken by a distributed
-    ``orderBy(...).limit(k)`` (per-partition top-k, then a merge), ties broken by value."""
-    c = F.col(column) if isinstance(column, str) else column
-    g = df.groupBy(c.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if k is not None:
-        g = g.orderBy(F.desc("n"), F.asc_nulls_first("value")).limit(k)
-    return g.select(F.lit(dimension).alias("dimension"), "value", "n")
-
-
 def top_k_values(df: DataFrame) -> DataFrame:
     """The dashboard's breakdowns: status, currency, alert, GST class (all values);
-    top 10 locations; top 8 creators."""
-    parts = [top_k(df, "Validation_Status", None, "status"), top_k(df, "Invoice_Currency", None, "currency"),
-             top_k(df, "Due_Date_Notification", None, "due_alert"),
-             top_k(df, X.gst_result_class("GST_Validation_Result"), None, "gst_class"),
-             top_k(df, X.location_head("Location"), 10, "location"),
-             top_k(df, "Invoice_Creator_Name", 8, "creator")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    top 10 locations; top 8 creators (ties by value).  One pass for either kind."""
+    whole = value_counts(df, {"status": col("Validation_Status"), "currency": col("Invoice_Currency"),
+                              "due_alert": col("Due_Date_Notification"), "gst_class": X.gst_result_class("GST_Validation_Result")})
+    counts = value_counts(df, {"location": X.location_head(col("Location")), "creator": col("Invoice_Creator_Name")})
+    best = top_k_per_group(counts, "dimension", [F.desc("n"), F.asc_nulls_first("value")], 10)
+    best = best.where((F.col("dimension") == "location") | (F.col("rank") <= 8))
+    return whole.unionByName(best.drop("rank"))
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
