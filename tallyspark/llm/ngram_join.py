@@ -36,6 +36,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 BUCKET_BITS, BLOCK_BITS, FAN = 22, 16, 64
+SLICE_BYTES = 2 << 20  # a slice's hashes take some 30 times its bytes
 BASE = U64(0x5851F42D4C957F2D)  # an odd multiplier
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
@@ -119,7 +120,7 @@ def digests_and_counts(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         waiting, held = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             digests, sizes = [], []
             for s in shingle_sets(*utf8(batch.column("text")), width):
                 digests.append(set_digest(s))
@@ -173,7 +174,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids = batch.column("row").to_numpy()
             seen, tokens, owner, size, pos = set(), [], [], [], []
             for r, s in zip(ids, shingle_sets(*utf8(batch.column("text")), width)):
@@ -194,7 +195,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = [s.tobytes() for s in shingle_sets(*utf8(batch.column("text")), width)]
             yield pa.record_batch([batch.column("row"), pa.array(sets, pa.binary())], ["row", "grams"])
 
