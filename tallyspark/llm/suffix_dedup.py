@@ -42,7 +42,7 @@ from .common import GOLDEN, U64, bounded_batches, mix64, slices, utf8
 from .ngram_join import _power_tables
 
 LEAST, GRAM = 50, 16
-SLICE_BYTES, PLACE_BITS = 2 << 20, 40
+SLICE_BYTES, SHAPE_BITS = 2 << 20, 12
 NO_ID = (1 << 63) - 1
 BLOCK, MEMORY_ROWS = 1 << 18, 1 << 21
 
@@ -108,17 +108,16 @@ def _slice_contexts(batch: pa.RecordBatch, least: int) -> tuple:
 
 
 def samples(rows: DataFrame, least: int) -> DataFrame:
-    """Contexts of the smallest id of a slice: ``gram, ctx, doc, row, place, shape`` (shape: how far the first
-    and the last window start before the place)."""
+    """Contexts of the smallest id of a slice: ``gram, ctx, doc, row, at`` (at: the place, and in its low
+    bits the shape, that is how far the first and the last window start before the place)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             own, doc, first, last, place, gram, ctx, order, mine = _slice_contexts(batch, least)
             k = order[mine]
-            yield pa.record_batch([pa.array(x) for x in (gram[k], ctx[k], doc[k], own[k], place[k].astype(np.int32),
-                                                         ((place - first) * 64 + place - last)[k].astype(np.int32))],
-                                  ["gram", "ctx", "doc", "row", "place", "shape"])
+            at = (place << SHAPE_BITS) + (place - first) * 64 + place - last
+            yield pa.record_batch([pa.array(x) for x in (gram[k], ctx[k], doc[k], own[k], at[k])], ["gram", "ctx", "doc", "row", "at"])
 
-    return rows.mapInArrow(run, "gram long, ctx long, doc long, row long, place int, shape int")
+    return rows.mapInArrow(run, "gram long, ctx long, doc long, row long, at long")
 
 
 def copies_in_slices(rows: DataFrame, least: int) -> DataFrame:
@@ -143,7 +142,7 @@ def copies_in_slices(rows: DataFrame, least: int) -> DataFrame:
 def meet(sampled: DataFrame, least: int) -> DataFrame:
     """Rows sorted by gram, context and id: whole copies (``start``, ``end`` set) and the contexts of grams that
     different documents have in different contexts (``start`` null)."""
-    names = ["gram", "ctx", "doc", "row", "place", "shape"]
+    names = ["gram", "ctx", "doc", "row", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in names]
@@ -151,7 +150,8 @@ def meet(sampled: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
             done = np.concatenate([done, np.zeros(batch.num_rows, bool)])
-            gram, ctx, doc, row, place, shape = cols
+            gram, ctx, doc, row, both = cols
+            place, shape = both >> SHAPE_BITS, both & ((1 << SHAPE_BITS) - 1)
             _, mine = _first_of(gram, ctx, doc)
             edge = np.append(True, gram[1:] != gram[:-1])
             at = np.flatnonzero(edge)
