@@ -1,16 +1,19 @@
 """License scan: known licence sentences, and ordered rules over the sequence in which they stand.
 
-A text is cut at the ends of sentences; a sentence that is not known is cut again at line ends (a
-licence line in text without full stops), while one that is wrapped over lines is met as a whole.
-Sentences are normalised (A-Z lowered, everything but letters, digits and points to single blanks)
-and mapped to identifiers; the identifiers of a text, in order, form a sequence.  Rules are tried in
-order, longer notices before the short ones they contain; a rule takes the sentences that it has
-matched out of the sequence.  Known sentences of other rules may stand between those of a rule.
+A text is normalised (A-Z lowered, everything but letters, digits and inner points to separators).  Line
+ends and the marks ``.!?:;`` become line breaks, all else blanks.  A known sentence is met where it begins
+and ends at a line break, whatever separates its words: titles, copyright lines, blank lines, comment
+marks, list numbers and wraps stand between or in sentences without hiding them.  A sentence may have a
+gap (``*``: one to twelve words) for a name.  The identifiers of a text, in order, form a sequence.  Rules are
+tried in order, longer notices before the short ones they contain; a rule takes the sentences that it
+has matched out of the sequence.  Known sentences of other rules may stand between those of a rule.
 DataFrame functions only, one row per document, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ SENTENCES = {
     "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
                   "documentation files the software to deal in the software without restriction including without limitation the "
                   "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
-                  "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
-                  "and this permission notice shall be included in all copies or substantial portions of the software"],
+                  "persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit_notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+                   "the software"],
     "as_is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the "
               "warranties of merchantability fitness for a particular purpose and noninfringement"],
     "apache2_line": ["licensed under the apache license version 2.0", "released under the apache license version 2.0",
@@ -34,7 +38,7 @@ SENTENCES = {
     "apache2_copy": ["you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
     "gpl3_line": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license "
                   "version 3", "released under the gnu general public license version 3", "spdx license identifier gpl 3.0 only"],
-    "gpl3_later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+    "gpl3_later": ["* is free software you can redistribute it and or modify it under the terms of the gnu general public "
                    "license as published by the free software foundation either version 3 of the license or at your option any later "
                    "version", "spdx license identifier gpl 3.0 or later"],
     "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied "
@@ -48,33 +52,116 @@ SENTENCES = {
     "bsd_grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the "
                   "following conditions are met"],
     "bsd_line": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
+    "bsd_source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following "
+                   "disclaimer"],
+    "bsd_binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+                   "disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd_names": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this "
+                  "software without specific prior written permission",
+                  "neither the name of * nor the names of * may be used to endorse or promote products derived from this software "
+                  "without specific prior written permission",
+                  "the name of * may not be used to endorse or promote products derived from this software without specific prior "
+                  "written permission", "the names of * may not be used to endorse or promote products derived from this software "
+                  "without specific prior written permission"],
+    "bsd_ads": ["all advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd2_line": ["licensed under the bsd 2 clause license", "released under the bsd 2 clause license", "spdx license identifier bsd 2 clause"],
+    "bsd_style_line": ["use of this source code is governed by a bsd style license that can be found in the license file"],
+    "apache2_title": ["apache license version 2.0 january 2004"],
+    "gpl3_title": ["gnu general public license version 3 29 june 2007"],
+    "gpl2_title": ["gnu general public license version 2 june 1991"],
+    "gpl2_line": ["licensed under the gnu general public license version 2", "released under the gnu general public license version 2",
+                  "this work is licensed under the gnu general public license version 2", "spdx license identifier gpl 2.0 only",
+                  "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+                  "license version 2 as published by the free software foundation"],
+    "gpl2_later": ["* is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+                   "published by the free software foundation either version 2 of the license or at your option any later version",
+                   "spdx license identifier gpl 2.0 or later"],
+    "lgpl3_title": ["gnu lesser general public license version 3 29 june 2007"],
+    "lgpl3_later": ["* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+                    "as published by the free software foundation either version 3 of the license or at your option any later version",
+                    "spdx license identifier lgpl 3.0 or later"],
+    "lgpl21_title": ["gnu lesser general public license version 2.1 february 1999"],
+    "lgpl21_later": ["* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+                     "as published by the free software foundation either version 2.1 of the license or at your option any later version",
+                     "spdx license identifier lgpl 2.1 or later"],
+    "agpl3_title": ["gnu affero general public license version 3 19 november 2007"],
+    "agpl3_later": ["* is free software you can redistribute it and or modify it under the terms of the gnu affero general public license "
+                    "as published by the free software foundation either version 3 of the license or at your option any later version",
+                    "spdx license identifier agpl 3.0 or later"],
+    "mpl2_title": ["mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
+    "mpl2_notice": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+                  "provided that the above copyright notice and this permission notice appear in all copies",
+                  "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+                  "provided that the above copyright notice and this permission notice appear in all copies", "spdx license identifier isc"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+                   "and redistribute it freely subject to the following restrictions", "spdx license identifier zlib"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
+    "bsl_title": ["boost software license version 1.0 august 17th 2003", "distributed under the boost software license version 1.0",
+                  "spdx license identifier bsl 1.0"],
+    "cc0_title": ["cc0 1.0 universal", "creative commons cc0 1.0 universal", "licensed under cc0 1.0", "spdx license identifier cc0 1.0"],
+    "cc_by_title": ["creative commons attribution 4.0 international public license", "spdx license identifier cc by 4.0"],
+    "cc_by_sa_title": ["creative commons attribution sharealike 4.0 international public license", "spdx license identifier cc by sa 4.0"],
+    "cc_by_nc_title": ["creative commons attribution noncommercial 4.0 international public license", "spdx license identifier cc by nc 4.0"],
     "reserved": ["all rights reserved"],
 }
-#: Ordered rules: licence and the sentences that it needs, in this order.
-RULES = [
-    ("MIT", ["mit_grant", "as_is"]), ("MIT", ["mit_grant"]), ("MIT", ["mit_line"]),
-    ("Apache-2.0", ["apache2_notice", "apache2_copy"]), ("Apache-2.0", ["apache2_notice"]), ("Apache-2.0", ["apache2_line"]),
+#: Licences and the sentences that they need, in this order; the first that fit take their sentences.
+LICENSES = [
+    ("MIT", ["mit_grant", "mit_notice", "as_is"]), ("MIT", ["mit_grant", "as_is"]), ("MIT", ["mit_grant", "mit_notice"]),
+    ("MIT", ["mit_grant"]), ("MIT", ["mit_line"]),
+    ("Apache-2.0", ["apache2_title"]), ("Apache-2.0", ["apache2_notice", "apache2_copy"]), ("Apache-2.0", ["apache2_notice"]),
+    ("Apache-2.0", ["apache2_line"]),
+    # a licence file ends with the notice to use, which says nothing of the work itself
+    ("AGPL-3.0", ["agpl3_title", "agpl3_later", "gpl_hope"]), ("AGPL-3.0-or-later", ["agpl3_later"]), ("AGPL-3.0", ["agpl3_title"]),
+    ("LGPL-3.0-or-later", ["lgpl3_later"]), ("LGPL-3.0", ["lgpl3_title"]),
+    ("LGPL-2.1", ["lgpl21_title", "lgpl21_later"]), ("LGPL-2.1-or-later", ["lgpl21_later"]), ("LGPL-2.1", ["lgpl21_title"]),
+    ("GPL-3.0", ["gpl3_title", "gpl3_later", "gpl_hope"]),
     ("GPL-3.0-or-later", ["gpl3_later", "gpl_hope"]), ("GPL-3.0-or-later", ["gpl3_later"]), ("GPL-3.0-only", ["gpl3_line"]),
-    ("CC-BY-NC-4.0", ["cc_by_nc_line"]), ("CC-BY-SA-4.0", ["cc_by_sa_line"]), ("CC-BY-4.0", ["cc_by_line"]),
-    ("BSD-3-Clause", ["bsd_grant"]), ("BSD-3-Clause", ["bsd_line"]), ("proprietary", ["reserved"]),
+    ("GPL-3.0", ["gpl3_title"]),
+    ("GPL-2.0", ["gpl2_title", "gpl2_later", "gpl_hope"]),
+    ("GPL-2.0-or-later", ["gpl2_later", "gpl_hope"]), ("GPL-2.0-or-later", ["gpl2_later"]), ("GPL-2.0-only", ["gpl2_line"]),
+    ("GPL-2.0", ["gpl2_title"]),
+    ("CC-BY-NC-4.0", ["cc_by_nc_line"]), ("CC-BY-NC-4.0", ["cc_by_nc_title"]), ("CC-BY-SA-4.0", ["cc_by_sa_line"]),
+    ("CC-BY-SA-4.0", ["cc_by_sa_title"]), ("CC-BY-4.0", ["cc_by_line"]), ("CC-BY-4.0", ["cc_by_title"]), ("CC0-1.0", ["cc0_title"]),
+    ("BSD-4-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_ads", "bsd_names"]),
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]), ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
+    ("BSD-3-Clause", ["bsd_grant"]), ("BSD-3-Clause", ["bsd_line"]), ("BSD-2-Clause", ["bsd2_line"]), ("BSD-style", ["bsd_style_line"]),
+    ("MPL-2.0", ["mpl2_title"]), ("MPL-2.0", ["mpl2_notice"]), ("ISC", ["isc_grant"]), ("Zlib", ["zlib_grant"]),
+    ("Unlicense", ["unlicense"]), ("BSL-1.0", ["bsl_title"]),
 ]
-BLANK = r"[\x20\x09-\x0D]+"
+#: Ordered rules: the reservation in the copyright line above a licence belongs to that licence.
+RULES = [*((name, [*head, *needed]) for name, needed in LICENSES for head in (["reserved"], [])), ("proprietary", ["reserved"])]
+GAP = r"(?:[a-z0-9.]+[ \n]){1,12}?"
+
+
+def normalised(text: Column) -> Column:
+    """Words with a blank or, at a line end or a mark, a line break between them, and a line break around all."""
+    broken = F.regexp_replace(F.translate(text, UPPER + "\r", LOWER + "\n"), r"[.!?:;](?![a-z0-9])", "\n")
+    words = F.regexp_replace(broken, r"[^a-z0-9.\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), r" ?\n[ \n]*", "\n")
 
 
-def normalised(sentence: Column) -> Column:
-    bare = F.regexp_replace(F.translate(sentence, UPPER, LOWER), r"[^a-z0-9.]+", " ")
-    return F.regexp_replace(bare, r"^[ .]+|[ .]+$", "")
+def pattern_of(sentence: str) -> str:
+    words = "".join(GAP if w == "*" else re.escape(w) + r"[ \n]" for w in sentence.split())
+    return words.removesuffix(r"[ \n]")
 
 
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order; null and empty texts have none."""
+    forms = sorted(known, key=len, reverse=True)
+    if not forms:
+        return F.array().cast("array<string>")
+    # the number of a list item may stand before a sentence
+    pattern = r"\n(?:(?:[0-9]{1,2}|[a-z]|[ivx]{1,4}) )?(" + "|".join(map(pattern_of, forms)) + r")(?=\n)"
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ident = lambda s: F.try_element_at(table, normalised(s))
-    # \u0001 marks the ends of sentences; it takes the place of the white space after a mark
-    marked = F.regexp_replace(F.translate(text, "\u0001", " "), r"([.!?])" + BLANK, "$1\u0001")
-    sentences = F.transform(F.split(marked, "\u0001"), lambda s: F.when(ident(s).isNotNull(), F.array(ident(s)))
-                            .otherwise(F.when(F.contains(s, F.lit("\n")), F.transform(F.split(s, "\n"), ident))))
-    return F.coalesce(F.array_compact(F.flatten(F.array_compact(sentences))), F.array().cast("array<string>"))
+
+    def ident(found: Column) -> Column:
+        plain = F.translate(found, "\n", " ")
+        return F.coalesce(F.try_element_at(table, plain), *[F.when(F.regexp_like(plain, F.lit(f"^{pattern_of(f)}$")), F.lit(known[f]))
+                                                            for f in forms if "*" in f.split()])
+
+    found = F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(1))
+    return F.coalesce(F.transform(found, ident), F.array().cast("array<string>"))
 
 
 def match_rules(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
