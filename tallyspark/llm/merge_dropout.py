@@ -3,14 +3,16 @@
 The model is the piece vocabulary (merge type, byte fallback) of a SentencePiece file; it is read,
 never trained.  Encoding follows the merge agenda: all pairs of neighbours whose join is a piece
 wait in a priority queue, best score first, then leftmost.  When a candidate is taken from the queue
-it is skipped with probability ``dropout``, decided by a keyed hash of the seed, the variant of the
-document, the word and the candidate (its place and length), so a text has the same segmentation
-in every run and on every machine, and another one under another seed or variant.
+it is skipped with probability ``dropout``.  The draws of an occurrence of a word come, in the order in
+which the agenda takes its candidates, from a hash keyed by the seed, the document and the place of the
+occurrence in it: a text has the same segmentation in every run and on every machine, another one under
+another seed, and a word is drawn anew wherever it stands.
 
 No piece holds a space mark after another character, so merges never cross from one word to the next
-and words are encoded one by one.  A word's segmentation depends on the seed, the variant and the
-word; workers keep the ones they have met.  Decoding gives the text back exactly: spaces are marks,
-unknown characters and the mark character itself go to byte pieces.
+and words are encoded one by one.  The draws of an occurrence are the bits of a number; which pieces come
+out depends on the word and on the bits that its agenda has used, so workers keep the pieces by
+word and used bits and run the agenda where an occurrence's bits are new.  Decoding gives the text back
+exactly: spaces are marks, unknown characters and the mark character itself go to byte pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from operator import add
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import bounded_batches, slices
+from .common import GOLDEN, U64, bounded_batches, mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Spaces before a word go with it; white space other than blanks is part of words.
 CHUNK = re.compile(r" *[^ ]+| +")
 MASK = (1 << 64) - 1
-KEPT_WORDS = 200_000
+#: Kept pieces of a generation; occurrences whose draws are made together; binary digits of the dropout.
+KEPT_WORDS, TOGETHER, DIGITS = 200_000, 1 << 16, 24
 NO_RANK, SHORT = 1 << 30, 96
 
 
@@ -80,27 +82,62 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def word_key(word: str, key: int) -> int:
-    return hash((key, crc32(word.encode("utf-8", "surrogatepass"))))
+def digits_of(skip_below: int) -> list[bool]:
+    """Binary digits of the dropout (``skip_below`` of 2^64), the last one that is set first."""
+    top = skip_below + (1 << 63 - DIGITS) >> 64 - DIGITS
+    if top >> DIGITS:
+        return []
+    digits = [bool(top >> k & 1) for k in range(DIGITS)]
+    return digits[digits.index(True):] if True in digits else [False]
 
 
-def skipped(seed: int, rank: int, place: int, skip_below: int) -> bool:
-    """The keyed hash of a candidate: a tuple of numbers hashes alike in every process."""
-    return hash((seed, rank, place)) & MASK < skip_below
+def skip_bits(keys: np.ndarray, skip_below: int) -> np.ndarray:
+    """64 independent draws per key, a set bit (with probability ``skip_below`` of 2^64) for a skip: random bits are
+    joined along the binary digits of the probability, by OR at a 1 and by AND at a 0."""
+    digits = digits_of(skip_below)
+    if not digits:
+        return np.full(len(keys), MASK, U64)
+    bits = np.zeros(len(keys), U64)
+    for k, one in enumerate(digits):
+        drawn = mix64(keys + U64((k + 1) * int(GOLDEN) & MASK))
+        bits = np.bitwise_or(bits, drawn, out=bits) if one else np.bitwise_and(bits, drawn, out=bits)
+    return bits
 
 
-def merge_scan(parts: list[str], rank: dict[str, int], seed: int, skip_below: int) -> list[str]:
+class Draws:
+    """The draws of one occurrence in order: the first 64 are the bits of a number, later ones are made when needed."""
+
+    __slots__ = ("key", "below", "bits", "used")
+
+    def __init__(self, key: int, below: int, bits: int | None = None):
+        self.key, self.below, self.used = key, below, 0
+        self.bits = self.block(0) if bits is None else bits
+
+    def block(self, k: int) -> int:
+        return int(skip_bits(np.array([_mix(self.key + k & MASK) if k else self.key & MASK], U64), self.below)[0])
+
+    def skip(self) -> bool:
+        n = self.used
+        self.used = n + 1
+        if n and not n & 63:
+            self.bits = self.block(n >> 6)
+        return self.bits >> (n & 63) & 1
+
+
+def merge_scan(parts: list[str], rank: dict[str, int], key: int, skip_below: int, draws: Draws | None = None) -> list[str]:
     """The merge agenda of a short word, kept as one rank per pair of neighbours."""
+    if skip_below and draws is None:
+        draws = Draws(key, skip_below)
     if len(parts) < 2:
         return parts
-    places, agenda = list(range(len(parts))), [rank.get(p, NO_RANK) if len(p) == 2 else NO_RANK for p in map(add, parts, parts[1:])]
+    agenda = [rank.get(p, NO_RANK) if len(p) == 2 else NO_RANK for p in map(add, parts, parts[1:])]
     while (r := min(agenda)) < NO_RANK:
         i = agenda.index(r)
-        if skip_below and hash((seed, r, places[i])) & MASK < skip_below:
+        if draws and draws.skip():
             agenda[i] = NO_RANK
             continue
         a = parts[i] = parts[i] + parts.pop(i + 1)
-        del agenda[i], places[i + 1]
+        del agenda[i]
         if i < len(agenda):
             agenda[i] = rank.get(a + parts[i + 1], NO_RANK) if parts[i + 1] else NO_RANK
         if i:
@@ -110,8 +147,10 @@ def merge_scan(parts: list[str], rank: dict[str, int], seed: int, skip_below: in
     return parts
 
 
-def merge_heap(parts: list[str], rank: dict[str, int], seed: int, skip_below: int) -> list[str]:
+def merge_heap(parts: list[str], rank: dict[str, int], key: int, skip_below: int, draws: Draws | None = None) -> list[str]:
     """The merge agenda of a long word, kept as a heap of (rank, place, joint length)."""
+    if skip_below and draws is None:
+        draws = Draws(key, skip_below)
     n = len(parts)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     agenda = [(rank[p], i, 2) for i, p in enumerate(map(add, parts, parts[1:])) if len(p) == 2 and p in rank]
@@ -121,7 +160,7 @@ def merge_heap(parts: list[str], rank: dict[str, int], seed: int, skip_below: in
         j = right[i]
         if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size or rank.get(parts[i] + parts[j]) != r:
             continue  # one of the two has been merged elsewhere
-        if skip_below and skipped(seed, r, i, skip_below):
+        if draws and draws.skip():
             continue
         a = parts[i] = parts[i] + parts[j]
         parts[j] = None
@@ -136,14 +175,13 @@ def merge_heap(parts: list[str], rank: dict[str, int], seed: int, skip_below: in
     return [p for p in parts if p is not None]
 
 
-def encode_word(word: str, vocabulary: Pieces, key: int, skip_below: int) -> list[int]:
-    """Piece ids of a chunk (blanks and a word); a candidate merge is skipped, until a neighbour changes, if
-    its keyed hash is below ``skip_below`` (0: no dropout)."""
+def encode_word(word: str, vocabulary: Pieces, draws: Draws | None) -> list[int]:
+    """Piece ids of a chunk (blanks and a word); a candidate merge that a draw skips is out until a neighbour
+    changes (no draws: no dropout)."""
     parts = list(word.replace(" ", MARK))
     if MARK in word:
         parts = [p if c != MARK else "" for p, c in zip(parts, word)]  # "" becomes byte pieces
-    seed = word_key(word, key) if skip_below else 0
-    parts = (merge_scan if len(parts) <= SHORT else merge_heap)(parts, vocabulary.rank, seed, skip_below)
+    parts = (merge_scan if len(parts) <= SHORT else merge_heap)(parts, vocabulary.rank, 0, 0, draws)
     ids = list(map(vocabulary.ids.get, parts))
     if None in ids:
         ids = [x for p, i in zip(parts, ids) for x in ([i] if i is not None else [vocabulary.byte_ids[b] for b in (p or MARK).encode()])]
@@ -151,28 +189,85 @@ def encode_word(word: str, vocabulary: Pieces, key: int, skip_below: int) -> lis
 
 
 class Encoder:
-    """Encodes texts under one seed and dropout; keeps the words it has met, per variant."""
+    """Encodes texts under one seed and dropout; keeps the pieces of words it has met, by the bits they used."""
 
     def __init__(self, model: str, seed: int, dropout: float):
         self.vocabulary, self.seed = pieces(model), seed
         self.skip_below = min(MASK, int(dropout * 2.0 ** 64))
-        self.words: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-
-    def encode(self, text: str, variant: int) -> bytes:
-        """Piece ids (int32) of a text; the dummy blank before it is part of the model's form."""
-        if not text:
-            return b""
-        known, old = self.words.get(variant, ({}, {}))
-        chunks = CHUNK.findall(" " + text)
-        distinct = set(chunks)
-        if len(known) + len(distinct) > KEPT_WORDS:  # memory only: words met lately are kept for another round
-            known, old = {}, known
-        self.words[variant] = known, old
-        key = _mix(self.seed * 0x9E3779B97F4A7C15 + variant & MASK)
-        for w in distinct:
-            if w not in known:
-                known[w] = old[w] if w in old else np.array(encode_word(w, self.vocabulary, key, self.skip_below), np.int32).tobytes()
-        return b"".join([known[w] for w in chunks])
+        # word: [bits used without a skip, pieces without a skip, other numbers of used bits as masks, pieces by used bits]
+        self.words: dict[str, list] = {}
+        self.old: dict[str, list] = {}
+        self.kept = 0
+
+    def encode(self, text: str, key: int) -> bytes:
+        """Piece ids (int32) of a text in the document of this key; the dummy blank before it is part of the model's form."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for text, key in zip(texts, keys):
+            chunks = CHUNK.findall(" " + text) if text else []
+            held.append((chunks, _mix(self.seed * 0x9E3779B97F4A7C15 + key & MASK)))
+            size += len(chunks)
+            if size >= TOGETHER:
+                out += self._encode_chunks(held)
+                held, size = [], 0
+        return out + self._encode_chunks(held)
+
+    def _encode_chunks(self, held: list[tuple[list[str], int]]) -> list[bytes]:
+        counts = np.array([len(c) for c, _ in held], np.int64)
+        if not counts.sum():
+            return [b""] * len(held)
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        keys = mix64(np.repeat(np.array([k for _, k in held], U64), counts) + place.astype(U64) * GOLDEN)
+        drawn = (skip_bits(keys, self.skip_below) if self.skip_below else np.zeros(len(keys), U64)).tolist()
+        out, at, fresh = [], 0, self._fresh
+        for chunks, _ in held:
+            if len(self.words) + self.kept > KEPT_WORDS:  # memory only: words met lately are kept for another round
+                self.words, self.old, self.kept = {}, self.words, 0
+            get, found = self.words.get, []
+            for w, bits in zip(chunks, drawn[at: at + len(chunks)]):
+                ids = None
+                if entry := get(w):
+                    if not bits & entry[0]:
+                        ids = entry[1]
+                    else:
+                        for low in entry[2]:
+                            if ids := entry[3].get((bits & low) + low + 1):
+                                break
+                found.append(ids or fresh(w, bits, int(keys[at + len(found)])))
+            at += len(chunks)
+            out.append(b"".join(found))
+        return out
+
+    def _fresh(self, word: str, bits: int, key: int) -> bytes:
+        """Pieces under bits that the word has not used yet; they are kept if 64 were enough."""
+        entry = self.words.get(word)
+        if entry is None and (entry := self.old.pop(word, None)):
+            self.words[word] = entry
+            self.kept += len(entry[3] or ())
+            if not bits & entry[0]:
+                if entry[1]:
+                    return entry[1]
+            elif ids := next((x for low in entry[2] if (x := entry[3].get((bits & low) + low + 1))), None):
+                return ids
+        draws = Draws(key, self.skip_below, bits) if self.skip_below else None
+        ids = np.array(encode_word(word, self.vocabulary, draws), np.int32).tobytes()
+        used = draws.used if draws else 0
+        if used > 64:
+            return ids
+        if entry is None:
+            entry = self.words[word] = [MASK, None, (), None]
+        low = (1 << used) - 1
+        if not bits & low:
+            entry[:2] = low, ids
+            return ids
+        if low not in entry[2]:
+            entry[2] += (low,)
+            entry[3] = entry[3] or {}
+        entry[3][(bits & low) + low + 1] = ids
+        self.kept += 1
+        return ids
 
 
 @cache
@@ -194,14 +289,14 @@ def _id_lists(blobs: list[bytes]) -> pa.Array:
 
 
 def encode_documents(docs: DataFrame, text: str = "text", salt: str = "doc_id", seed: int = 7, dropout: float = 0.1,
-                     variants: int = 2, model: str = MODEL) -> DataFrame:
+                     model: str = MODEL) -> DataFrame:
     """``docs`` with ``ids array<int>`` (an own column ``ids`` is replaced).
 
-    The variant of a row is the hash of ``salt`` modulo ``variants``; equal texts of one variant have
-    equal ids.  A null or empty text has no ids; repeated rows repeat; an empty table stays empty."""
+    Draws are keyed by ``seed``, the hash of ``salt`` and the place in the text; equal texts of one salt
+    have equal ids.  A null or empty text has no ids; repeated rows repeat; an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     own = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.pmod(F.xxhash64(F.col(f"`{salt}`")), F.lit(variants)).alias("__variant"),
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.col(f"`{salt}`")).alias("__key"),
                        F.col(f"`{text}`").cast("string").alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("ids", ArrayType(IntegerType()))
     names = [*own, "ids"]
@@ -209,8 +304,7 @@ def encode_documents(docs: DataFrame, text: str = "text", salt: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model, seed, dropout)
         for batch in slices(batches, "__text"):
-            texts, kinds = batch.column("__text").to_pylist(), batch.column("__variant").to_pylist()
-            ids = _id_lists([coder.encode(t or "", v) for t, v in zip(texts, kinds)])
+            ids = _id_lists(coder.encode_all(batch.column("__text").to_pylist(), batch.column("__key").to_pylist()))
             yield pa.record_batch([*(batch.column(i) for i in range(len(own))), ids], names)
 
     return rows.mapInArrow(run, schema)
