@@ -2,7 +2,10 @@
 
 Novelty of a candidate is its marginal size: the bytes that zstandard needs for it when it is primed
 with a dictionary of common identifiers and of the text around it (without the candidate).  Words,
-names and repeated values of the text cost a few bytes; a random key costs about its length.
+names and repeated values of the text cost a few bytes.  A random key costs what any random string of its
+length and alphabet does (about its length; less where zstandard codes the literals of a long one by
+their frequency), and that is what a candidate is held against.  Letters alone are held against the letter
+pairs of common words besides: a long word is new to the compressor too, but no random string.
 
 A task works on slices of an Arrow batch.  Fast searches over a slice's bytes (key words, the access
 key prefix, places where six bytes four apart are all hex digits, as any run of 24 has them) choose
@@ -12,8 +15,10 @@ the documents that the exact patterns then read as a whole; all other documents
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,28 @@ IDENTIFIERS = (b"public private protected static final class return function imp
                b"user name value key id uuid version 1.0.0 2.0.0 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
                b"lorem ipsum dolor sit amet changeme placeholder your_token_here xxxxxxxxxxxxxxxx ****************")
 
+#: Common words, for the letter pairs of words.
+WORDS = (b"the and that have for not with you this but from they say she will one all would there their what out about who get which "
+         b"when make can like time just him know take people into year your good some could them see other than then now look only come "
+         b"its over think also back after use two how our work first well way even new want because any these give day most us "
+         b"information development international university government management available education department performance different "
+         b"important following community environment application association technology professional relationship administration "
+         b"communication organization understanding particularly responsibility characteristic configuration authentication "
+         b"documentation implementation representation transaction distribution connection collection direction production function "
+         b"description instruction permission session version business process service services system systems security server client "
+         b"request response message number address account customer product project program computer network software hardware database "
+         b"internet website content language english original national political economic financial medical scientific physical "
+         b"chemical biological historical traditional additional special general central federal local social public private personal "
+         b"individual experience reference difference conference science evidence influence sequence building meeting training "
+         b"learning reading writing testing setting settings getting thinking working making looking running moving changed created "
+         b"updated required provided included received described considered established developed increased released published "
+         b"thoughtful wonderful beautiful successful powerful helpful quickly really usually probably certainly actually currently "
+         b"journal article chapter section paragraph question answer problem solution example exercise student teacher school history "
+         b"country state city street house family mother father brother sister friend children woman women water earth light night "
+         b"morning evening summer winter string integer boolean object class method parameter variable constant exception interface "
+         b"abstract default register controller manager handler factory builder provider listener component container template")
+LIKE_RANDOM = 0.85
+
 IS_HEX = np.zeros(256, bool)
 IS_HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 
@@ -64,10 +91,54 @@ def marginal_bytes(candidate: bytes, around: bytes) -> int:
     return len(coder.compress(candidate)) - len(coder.compress(b""))
 
 
+@lru_cache(1 << 14)
+def random_bytes(length: int, alphabet: bytes) -> int:
+    """Marginal bytes of a random string (a fixed one) of this length and alphabet."""
+    return marginal_bytes(bytes(random.Random(length).choices(alphabet, k=length)), b"")
+
+
+def alphabet_of(value: bytes) -> bytes:
+    """The characters that a candidate could be made of: classes that it has a member of."""
+    held = set(value)
+    classes = (b"0123456789", b"abcdef" if not held & set(b"ghijklmnopqrstuvwxyz") else b"abcdefghijklmnopqrstuvwxyz",
+               b"ABCDEF" if not held & set(b"GHIJKLMNOPQRSTUVWXYZ") else b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return b"".join(c for c in classes if held & set(c)) + bytes(sorted(held & set(b"+/_=.~-")))
+
+
+@cache
+def pair_costs() -> tuple[np.ndarray, float]:
+    """Bits of a letter (1 to 26; 0: no letter) after another in common words, and their mean over random letters."""
+    at = letters(WORDS)
+    counts = np.full((27, 27), 0.25)
+    np.add.at(counts, (at[:-1], at[1:]), 1)
+    bits = -np.log2(counts / counts.sum(1, keepdims=True))
+    return bits, float(bits[1:, 1:].mean())
+
+
+def letters(value: bytes) -> np.ndarray:
+    folded = (np.frombuffer(value, np.uint8) | 32).astype(np.int64) - 96
+    return np.where((folded >= 1) & (folded <= 26), folded, 0)
+
+
+def like_words(value: bytes) -> bool:
+    """Whether the letter pairs are those of words rather than of random letters."""
+    bits, mean = pair_costs()
+    at = letters(value)
+    inner = (at[:-1] > 0) & (at[1:] > 0)
+    return not inner.any() or bits[at[:-1], at[1:]][inner].mean() < LIKE_RANDOM * mean
+
+
+def is_novel(value: bytes, around: bytes, least: float = 0.85) -> bool:
+    if not re.search(rb"[0-9]", value) and like_words(value):
+        return False
+    cost = marginal_bytes(value, around)
+    return cost >= least * len(value) or cost >= 0.9 * random_bytes(len(value), alphabet_of(value))
+
+
 def novel_spans(text: bytes, known: list[tuple[int, int, int]], reach: int = 64, around: int = 2048,
                 least: float = 0.85) -> list[tuple[int, int, int]]:
-    """Candidates with letters and digits that begin within ``reach`` bytes after a sensitive word, lie
-    apart from the known spans and cost at least ``least`` of their length when primed."""
+    """Candidates that begin within ``reach`` bytes after a sensitive word, lie
+    apart from the known spans and cost at least ``least`` of their length, or what a random string costs, when primed."""
     low, found, seen = text.lower(), [], set()
     for word in CONTEXT_WORDS:
         at = low.find(word)
@@ -81,13 +152,13 @@ def novel_spans(text: bytes, known: list[tuple[int, int, int]], reach: int = 64,
                 if m.end() == end + reach + 512:  # the string goes on
                     value = CANDIDATE.match(text, start)[0]
                 stop = start + len(value)
-                if start in seen or value.isalpha() or value.isdigit() or not re.search(rb"[0-9]", value):
+                if start in seen:
                     continue
                 seen.add(start)
                 if any(s < stop and start < e for s, _, e in known):
                     continue
                 near = text[max(0, start - around): start] + b" " + text[stop: stop + around]
-                if marginal_bytes(value, near) >= least * len(value):
+                if is_novel(value, near, least):
                     found.append((start, 3, stop))
             at = low.find(word, at + 1)
     kept, last = [], -1
