@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import decontaminate, exact_dedup, license_scan, merge_dropout, ngram_join, secret_scan, suffix_dedup, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, license_scan, merge_dropout, merkle, ngram_join, secret_scan, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,51 @@ FROM h LEFT JOIN m ON m.k = 1 AND m.page_id = h.page_id AND m.host = h.host AND
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def _tree_sql(name: str, group: str, nodes: str) -> str:
+    """CTEs of a tree over ``nodes`` (group, pos, h): ``name`` all nodes, ``name_runs`` the runs of its parents, ``name_top`` the tops."""
+    return f"""
+     {name} AS (SELECT {group}, 0 AS lvl, pos, h FROM {nodes} UNION ALL
+           SELECT {group}, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+           FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS c FROM {name}) WHERE c > 1 GROUP BY {group}, lvl, pos // 3),
+     {name}_top AS (SELECT {group}, max(lvl) AS height, arg_max(h, lvl) AS top FROM {name} GROUP BY {group}),
+     {name}_runs AS (SELECT {group} AS run_group, lvl AS run_lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs
+           FROM {name} JOIN {name}_top USING ({group}) WHERE lvl < height GROUP BY {group}, lvl, pos // 3)"""
+
+
+def _climb_sql(name: str, group: str, lanes: str, runs: str) -> str:
+    """Folds ``lanes`` (doc_id, group, pos, h, proof) through ``runs`` level by level."""
+    return f"""
+     {name} AS (SELECT doc_id, {group}, 0 AS lvl, pos, h, proof FROM {lanes} UNION ALL
+           SELECT doc_id, {group}, lvl + 1, pos // 3, sha256(list_aggregate(hs[:(pos % 3)] || [h] || hs[(pos % 3 + 2):], 'string_agg', '')),
+                  proof || coalesce(list_aggregate(hs[:(pos % 3)] || hs[(pos % 3 + 2):], 'string_agg', ''), '')
+           FROM {name} JOIN {runs} ON run_group = {group} AND run_lvl = lvl AND run = pos // 3)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + "))"
+
+
+@query(f"""
+WITH RECURSIVE
+     crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS words),
+     d AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+                  {_leaf_sql('text')} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS other,
+                  xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                      lambda c, x: xor(c >> 8, words[(xor(c, x) & 255) + 1])), 4294967295) % 2 = 0 AS tampered FROM documents, crc),
+     leaves AS (SELECT g, pos, leaf AS h FROM d), {_tree_sql('node', 'g', 'leaves')},
+     sub AS (SELECT 0 AS o, g, row_number() OVER (ORDER BY g) - 1 AS pos, top AS h FROM node_top), {_tree_sql('forest', 'o', 'sub')},
+     lanes AS (SELECT doc_id, g, pos, CASE WHEN tampered THEN other ELSE leaf END AS h, '' AS proof FROM d),
+     {_climb_sql('inner_fold', 'g', 'lanes', 'node_runs')},
+     upper_lanes AS (SELECT doc_id, o, sub.pos, f.h, proof FROM inner_fold f JOIN node_top USING (g) JOIN sub USING (g) WHERE lvl = height),
+     {_climb_sql('outer_fold', 'o', 'upper_lanes', 'forest_runs')}
+SELECT doc_id, leaf, node_top.top AS subroot, forest_top.top AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = forest_top.top AS verified
+FROM outer_fold f JOIN forest_top USING (o) JOIN d USING (doc_id) JOIN node_top USING (g) WHERE f.lvl = forest_top.height
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document folded into the manifest, half of them without their line ends."""
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), {"text": F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
