@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import decontaminate, exact_dedup, license_scan, merge_dropout, merkle, ngram_join, secret_scan, suffix_dedup, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, license_scan, merge_dropout, merkle, ngram_join, secret_scan, suffix_dedup, suffix_trees, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,3 +157,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document folded into the manifest, half of them without their line ends."""
     chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     return merkle.audit(table(spark, sf_dir, "documents"), {"text": F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+                  generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+     s AS (SELECT *, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS width
+           FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+     r AS (SELECT doc_id, i, word, width = 35 AND count(*) OVER (PARTITION BY win) > 1 AS starts FROM s),
+     g AS (SELECT doc_id, i, word, max(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
+     k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+""")
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
