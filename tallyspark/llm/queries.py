@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage_table, table
-from . import decontaminate, exact_dedup, license_scan, merge_dropout, merkle, ngram_join, secret_scan, suffix_dedup, suffix_trees, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, lexical_search, license_scan, merge_dropout, merkle, ngram_join, secret_scan, suffix_dedup, suffix_trees, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,3 +172,23 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """)
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query(r"""
+WITH c AS (SELECT 'abcdefghijklmnopqrstuvwxyz' AS lo, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re),
+     d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, up, lo), re)) AS term FROM documents, c),
+     q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, up, lo), re)) AS term FROM benchmark, c),
+     n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+     s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+     p AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+     w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+     i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))) AS impact
+           FROM p JOIN w USING (term) JOIN n USING (doc_id), s),
+     r AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+           FROM (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term) JOIN i USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
