@@ -82,3 +82,43 @@ def test_emails(spark):
     assert [r["email"] for r in DOC.scan_emails(df).orderBy("pos").collect()] == ["ann@x.org", "bob.k@mail.co.uk"]
     s = DOC.split_emails(spark.createDataFrame([("a@b.io, bad ; c@d.com",)], "r string"), "r", [])
     assert [(r["email"], r["valid"]) for r in s.collect()] == [("a@b.io", True), ("bad", False), ("c@d.com", True)]
+
+
+def _least_probe(texts, probes):
+    out = {}
+    for i, t in texts:
+        hits = [v for p, v in probes if p in (t or "")]
+        if hits:
+            out[i] = min(hits)
+    return out
+
+
+def test_automata_against_brute_force(spark):
+    """Probes of one character and of hundreds, in small automata and in salted groups."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tallyspark.operators.text_match import best_probe
+    from tallyspark.session import stage_table
+    rng = random.Random(1)
+    letters = "AB01é😀\n"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [(i, word(rng.choice([0, 1, 5, 40, 400]))) for i in range(150)] + [(900, None), (901, "Z" + word(3000))]
+    names = {word(rng.choice([1, 2, 3, 4, 6, 9, 12])) for _ in range(60)} | {t[3:300] for _, t in texts[:100] if t and len(t) > 300} | {"Z"}
+    probes = [(p, rng.randint(0, 10_000)) for p in sorted(names) if p]
+    rows = spark.createDataFrame(probes, "probe string, n int").select("probe", F.struct("n", "probe").alias("value"))
+    stored = stage_table(rows, "test-probes")
+    for per_automaton, chars in ((50_000, 8 << 20), (3, 500)):
+        found = best_probe(spark.createDataFrame(texts, "id long, text string"), stored, per_automaton, chars)
+        assert {r["id"]: r["value"]["n"] for r in found.collect()} == _least_probe(texts, probes)
+
+
+def test_match_with_one_character_keys(spark):
+    ledger = [("7", "V", "1"), ("INV-2024-000123", "X", "2"), ("Q" * 200, "é", "3"), ("INV-2024-000124", "", "4")]
+    texts = [(1, "INV 2024 0001 99"), (2, "no such key"), (3, "q" * 170), (4, "7"), (5, "inv_2024-000124 "), (6, "É"), (7, "--- ___")]
+    led = spark.createDataFrame(ledger, "PurchaseInvNo string, VoucherNo string, InvID string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = dict(rows(DOC.match_text_to_ledger(docs, led), "doc_id", "Validation_Result"))
+    want = brute_force(texts, ledger, ["PurchaseInvNo", "VoucherNo", "InvID"])
+    want[7] = DOC.NO_DATA  # nothing is left of it
+    assert got == want
