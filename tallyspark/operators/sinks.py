@@ -6,12 +6,11 @@ rewritten with dynamic partition overwrite so only touched partitions change.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
+from .versions import VersionedTable
 
 
 def write_status_sheets(report: DataFrame, path: str, status: str = "Status") -> DataFrame:
@@ -72,22 +71,15 @@ def save_snapshot(df: DataFrame, path: str, run_date, key_candidates: list[str])
     return stored, spark.read.parquet(f"{path}/metadata")
 
 
-def publish_latest(df: DataFrame, path: str, placeholder: dict | None = None) -> tuple[DataFrame, bool]:
-    """Publish today's result for the dashboard and verify the copy by the row count seen while it was
-    written; an empty input publishes one placeholder row.  Readers see the old copy until the new one
-    is whole and takes its place by a rename."""
-    spark = df.sparkSession
-    if placeholder is not None and df.limit(1).count() == 0:
-        df = spark.createDataFrame([placeholder], df.schema)
-    seen, fresh = Observation(), f"{path}-{uuid.uuid4().hex[:8]}.new"
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(fresh)
-    if spark.read.parquet(fresh).count() != seen.get["n"]:
-        return spark.read.parquet(fresh), False
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(hadoop(path), True)
-    moved = store.rename(hadoop(fresh), hadoop(path))
-    return spark.read.parquet(path if moved else fresh), moved
+def publish_latest(df: DataFrame, path: str, placeholder: dict | None = None) -> tuple[DataFrame, int]:
+    """Publish today's result for the dashboard as the next version of a stored table, and give it read back, with the
+    version's number; an empty input publishes one placeholder row.  The written copy is counted against
+    its source first, and readers see the old version until the new one is whole (:mod:`.versions`)."""
+    if placeholder is not None and df.isEmpty():
+        df = df.sparkSession.createDataFrame([placeholder], df.schema)
+    published = VersionedTable(df.sparkSession, path)
+    number = published.replace(df)
+    return published.read(number), number
 
 
 def bundle_stop(files: DataFrame, batch: str, name: str, size: str, cap: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import sinks as SK
+from ..operators.versions import VersionedTable
 from ..session import scratch_path
 from . import fixtures as FX
 from .registry import query
@@ -14,11 +15,38 @@ CUTOFF, ARCHIVE_AS_OF, PURGE_AS_OF = "2024-01-10", "2024-01-31", "2024-05-01"
 RUNS = ("run_windows", "history")
 
 
-@query("upsert_run_window", "SELECT * FROM run_windows", ("run_windows",))
+_KEPT = "id, start_date, end_date, run_date, run_type, cumulative_start, cumulative_end, total_days_validated, archived, archived_date, created_at"
+#: A later batch: some runs made again (they win), some late reports of older runs (they lose), some new days.
+_BATCH = {"id + 10000000": ("run_date", "run_type || '_again'", "created_at + INTERVAL '1' HOUR", "day(run_date) % 2 = 0"),
+          "id + 20000000": ("run_date", "run_type || '_late'", "created_at - INTERVAL '1' DAY", "day(run_date) % 3 = 0"),
+          "id + 30000000": ("run_date + INTERVAL '40' DAY", "run_type", "created_at + INTERVAL '40' DAY", "day(run_date) % 5 = 0")}
+_BATCH_SQL = " UNION ALL ".join(
+    f"""SELECT {i} AS id, start_date, end_date, CAST({d} AS DATE) AS run_date, {t} AS run_type, cumulative_start, cumulative_end,
+    total_days_validated, archived, archived_date, {c} AS created_at FROM run_windows WHERE {w}""" for i, (d, t, c, w) in _BATCH.items())
+_UPSERT_SQL = f"""SELECT {_KEPT} FROM (SELECT *, row_number() OVER (PARTITION BY start_date, end_date, run_date ORDER BY created_at DESC, id DESC) AS rn
+  FROM (SELECT {_KEPT} FROM run_windows UNION ALL {_BATCH_SQL})) WHERE rn = 1"""
+
+
+def _later_batch(windows):
+    parts = [windows.where(w).selectExpr(f"{i} AS id", "start_date", "end_date", f"CAST({d} AS DATE) AS run_date", f"{t} AS run_type", "cumulative_start",
+                                         "cumulative_end", "total_days_validated", "archived", "archived_date", f"{c} AS created_at")
+             for i, (d, t, c, w) in _BATCH.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("upsert_run_window", _UPSERT_SQL, ("run_windows",))
 def upsert_run_window(spark, sf):
-    # re-inserting the same runs must not add rows (INSERT OR REPLACE)
-    log = FX.run_log(spark, sf)
-    return L.upsert_run_windows(L.upsert_run_windows(None, log), log)
+    windows = FX.run_windows(spark, sf)
+    return L.upsert_run_windows(windows, _later_batch(windows))
+
+
+@query("upsert_run_table", _UPSERT_SQL, ("run_windows",))
+def upsert_run_table(spark, sf):
+    """The same batch merged into a stored table: only the run dates that it has are written."""
+    stored = VersionedTable(spark, scratch_path(spark, "run-windows"), "run_date")
+    stored.replace(FX.run_windows(spark, sf))
+    stored.merge(_later_batch(stored.read()), L.upsert_run_windows)
+    return stored.read()
 
 
 @query("append_history", "SELECT * FROM history", ("history",))
@@ -63,14 +91,16 @@ UNION ALL SELECT 'total', NULL, (SELECT count_if(start_date < DATE '{CUTOFF}') F
   + (SELECT count_if(run_date < DATE '{CUTOFF}') FROM history)""", ("run_log", "run_windows", "history"))
 def purge_archived(spark, sf):
     parts = []
-    for n, t in zip(("run_log", "run_windows", "invoice_snapshots"), _archived(spark, sf)):
-        kept = L.purge_archived(t, PURGE_AS_OF)
-        before = t.agg(F.count(F.lit(1)).alias("b"))
-        after = kept.agg(F.count(F.lit(1)).alias("remaining_rows"))
-        parts.append(before.unionByName(after, allowMissingColumns=True)
-                     .agg(F.max("remaining_rows").alias("remaining_rows"), F.max("b").alias("b"))
-                     .select(F.lit(n).alias("table_name"), F.col("remaining_rows").cast("long"),
-                             (F.col("b") - F.col("remaining_rows")).cast("long").alias("deleted_rows")))
+    tables = (("run_log", FX.run_log(spark, sf), "start_date"), ("run_windows", FX.run_windows(spark, sf), "start_date"),
+              ("invoice_snapshots", FX.history(spark, sf), "run_date"))
+    for name, rows, by in tables:
+        stored = VersionedTable(spark, scratch_path(spark, name), by)
+        before = stored.replace(rows)
+        old = F.col(by) < F.lit(CUTOFF).cast("date")
+        stored.change(lambda df: L.archive_before(df, CUTOFF, ARCHIVE_AS_OF, by), old)
+        after = stored.change(lambda df: L.purge_archived(df, PURGE_AS_OF), old)
+        parts.append(stored.read(after).agg(F.count(F.lit(1)).alias("remaining_rows")).select(
+            F.lit(name).alias("table_name"), "remaining_rows", (F.lit(stored.version(before).rows) - F.col("remaining_rows")).alias("deleted_rows")))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     total = out.agg(F.sum("deleted_rows").cast("long").alias("deleted_rows")).select(
         F.lit("total").alias("table_name"), F.lit(None).cast("long").alias("remaining_rows"), "deleted_rows")
@@ -159,10 +189,10 @@ def save_snapshot(spark, sf):
 
 @query("publish_latest", "SELECT * FROM dashboard", ("dashboard",))
 def publish_latest(spark, sf):
-    out, ok = SK.publish_latest(FX.dashboard(spark, sf), scratch_path(spark, "published"))
-    if not ok:
-        raise RuntimeError("published copy does not match its source")
-    return out
+    path = scratch_path(spark, "published")
+    board = FX.dashboard(spark, sf)
+    SK.publish_latest(board.where("Validation_Status = 'PASS'"), path)  # yesterday's, to be replaced
+    return SK.publish_latest(board, path)[0]
 
 
 @query("write_validation_report", "SELECT * FROM validations WHERE discrepancies IS NOT NULL", ("validations",))
