@@ -270,18 +270,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bounded_batches(docs.sparkSession)
     rows = _rows(docs, text, doc_id)
     all_runs = stage_table(runs(rows, least, gram), "tree-runs")
+    # Counts are written as tables, so that both sides of the joins are plain shuffles: a hot gram's rows are then split over tasks.
     grams = all_runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("run") < F.max("run")).alias("several"))
-    met = stage_table(all_runs.join(grams.where("n > 1").select("gram", "several"), "gram"), "tree-met")
+    grams = stage_table(grams.where("n > 1").select("gram", "several"), "tree-grams")
+    met = stage_table(all_runs.join(grams, "gram"), "tree-met")
     split = met.where("several")
     distinct = stage_table(split.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "stop")).alias("first")),
                            "tree-distinct")
     large = distinct.groupBy("gram").count().where(F.col("count") > group_runs).select("gram", F.lit(True).alias("large"))
-    wanted = distinct.join(large, "gram", "left").select("gram", "first.*", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = distinct.join(stage_table(large, "tree-large"), "gram", "left").select("gram", "first.*", F.coalesce("large", F.lit(False)).alias("large"))
     words = stage_table(run_words(rows, wanted, least), "tree-words")
     small = words.where("words IS NOT NULL").select("gram", "row", "start", "words")
     ends = grow_subtrees(small.repartition(partitions(docs.sparkSession), "gram").sortWithinPartitions("gram"), least)
     whole = words.where("words IS NULL").select("key", "key2", "row", "start")
-    deep = whole.groupBy("key", "key2").count().where("count > 1").select("key", "key2")
+    deep = stage_table(whole.groupBy("key", "key2").count().where("count > 1").select("key", "key2"), "tree-deep")
     return (met.where("NOT several").select("row", "start", "stop")
             .unionByName(split.join(distinct.where("n > 1").select("gram", "run"), ["gram", "run"]).select("row", "start", "stop"))
             .unionByName(ends)
