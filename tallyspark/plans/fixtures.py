@@ -317,3 +317,16 @@ def remove_tree(spark, path: str) -> None:
     """Delete a folder of a query's own scratch space, wherever it is stored."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def rename_files(spark, folder: str, name_of, modified: int | None = None) -> None:
+    """Renames the part files in a folder of a query's own scratch space, and sets when they were modified (seconds)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(path(folder)):
+        old = status.getPath().getName()
+        if old.startswith("part-"):
+            new = path(f"{folder}/{name_of(old)}")
+            store.rename(status.getPath(), new)
+            if modified is not None:
+                store.setTimes(new, modified * 1000, -1)

@@ -97,12 +97,6 @@ def text_to_table(spark, sf):
                     F.array_join("cells", " | ").alias("cells"))
 
 
-@query("first_row_fields")
-def first_row_fields(spark, sf):
-    t = DOC.text_to_table(table(spark, sf, "documents"))
-    return DOC.first_row_fields(t).select("doc_id", F.to_json("fields").alias("fields"))
-
-
 @query("split_emails", f"""SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS email,
   regexp_full_match(unnest(m), '{K.EMAIL_RE[1:-1]}') AS valid
 FROM (SELECT doc_id, regexp_extract_all(text, '{K.EMAIL_SCAN_RE}', 0) AS m FROM documents) WHERE len(m) > 0""")
