@@ -33,7 +33,7 @@ from ..session import stage_table
 from .common import GOLDEN, U64, bounded_batches, mix64, partitions, slices, utf8
 from .ngram_join import IS_SPACE, _power_tables
 
-LEAST, GRAM, GROUP_RUNS = 35, 8, 20_000
+LEAST, GRAM, GROUP_RUNS, HOT_RUNS = 35, 8, 20_000, 1000
 SLICE_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
 LONG_WORD = 64
 
@@ -284,8 +284,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ends = grow_subtrees(small.repartition(partitions(docs.sparkSession), "gram").sortWithinPartitions("gram"), least)
     whole = words.where("words IS NULL").select("key", "key2", "row", "start")
     deep = stage_table(whole.groupBy("key", "key2").count().where("count > 1").select("key", "key2"), "tree-deep")
+    # The few runs with a large share of all rows (at most HOT_RUNS of them) are met by broadcast, so that their rows stay where they are.
+    key, copied = ["gram", "run"], distinct.where("n > 1")
+    often = F.col("n") * HOT_RUNS > split.count()
+    hot = F.broadcast(stage_table(copied.where(often).select(key), "tree-hot"))
+    cold = split.join(hot, key, "left_anti").join(copied.where(~often).select(key), key)
     return (met.where("NOT several").select("row", "start", "stop")
-            .unionByName(split.join(distinct.where("n > 1").select("gram", "run"), ["gram", "run"]).select("row", "start", "stop"))
+            .unionByName(split.join(hot, key, "left_semi").select("row", "start", "stop"))
+            .unionByName(cold.select("row", "start", "stop"))
             .unionByName(ends)
             .unionByName(whole.join(deep, ["key", "key2"]).select("row", "start", (F.col("start") + least).alias("stop"))))
 
