@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import exprs as X
+from ..functions.json_safe import to_json_records
 from ..operators import normalize as N
 from ..operators import rules as R
 from ..operators.normalize import col
@@ -400,7 +401,35 @@ def rename_dashboard(spark, sf):
     return out.withColumnRenamed("status_raw", "status")
 
 
-@query("to_json_record", """SELECT "InvID", to_json(struct_pack("PurchaseInvNo" := "PurchaseInvNo", "Total" := "Total")) AS record
-FROM ledger""", LEDGER_CTE)
+_LEDGER_COLUMNS = ["InvID", "VoucherNo", "Voucherdate", "PurchaseInvNo", "PurchaseInvDate", "PartyName", "GSTNO", "State", "PurchaseLEDGER",
+                   "TaxableValue", "Total", "Currency", "IGST/VATInputAmt", "CGSTInputAmt", "SGSTInputAmt", "VAT", "TDS", "Narration",
+                   "Inv Created By", "Due Date", "Method_of_Payment", "SCID"]
+
+
+@query("to_json_record", f"""SELECT "InvID", to_json(struct_pack({', '.join(f'"{c}" := "{c}"' for c in _LEDGER_COLUMNS)})) AS record FROM ledger""", LEDGER_CTE)
 def to_json_record(spark, sf):
-    return FX.ledger(spark, sf).select("InvID", F.to_json(F.struct("PurchaseInvNo", "Total")).alias("record"))
+    return to_json_records(FX.ledger(spark, sf).select(*_LEDGER_COLUMNS), ["InvID"])
+
+
+@query("to_json_nested", """SELECT l_orderkey, concat('{"l_orderkey":', l_orderkey, ',"made":"', strftime(min(o_orderdate), '%Y-%m-%d'), '","at":"',
+    strftime(CAST(min(o_orderdate) AS TIMESTAMP) + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S'), '","odd":',
+    CASE l_orderkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'null' WHEN 2 THEN 'null' ELSE '0.5' END, ',"note":null,"lines":[',
+    string_agg(concat('{"line":', l_linenumber, ',"price":', CAST(l_extendedprice AS DECIMAL(18,2)), ',"ratio":',
+      CASE WHEN l_linenumber % 2 = 0 THEN 'null' ELSE concat(l_linenumber, '.0') END, ',"shipped":["', strftime(l_shipdate, '%Y-%m-%d'), '",null]}'), ',' ORDER BY place),
+    '],"flags":{', string_agg(concat('"', place, '":"', strftime(l_shipdate, '%Y-%m-%d'), '"'), ',' ORDER BY place), '},"raw":"', base64(encode(CAST(l_orderkey AS VARCHAR))), '"}') AS record
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)), l_shipdate) - 1 AS place FROM lineitem)
+  JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
+def to_json_nested(spark, sf):
+    """Orders with their lines: arrays of structs with arrays, a map with number keys, days, times, decimals, NaN and infinities."""
+    from ..session import table
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+                    F.when(F.col("l_linenumber") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("l_linenumber").cast("double")).alias("ratio"),
+                    F.array(F.to_date("l_shipdate"), F.lit(None).cast("date")).alias("shipped"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("made"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    odd = F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf")), F.lit(float("-inf")), F.lit(0.5)), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    flags = F.map_from_entries(F.transform("lines", lambda x, i: F.struct(i, x["shipped"][0])))
+    df = lines.join(orders, "l_orderkey").select(
+        "l_orderkey", "made", (F.col("made").cast("timestamp") + F.expr("INTERVAL 90 MINUTE")).alias("at"), odd.alias("odd"),
+        F.lit(None).cast("string").alias("note"), "lines", flags.alias("flags"), F.encode(F.col("l_orderkey").cast("string"), "UTF-8").alias("raw"))
+    return to_json_records(df, ["l_orderkey"])

@@ -177,14 +177,35 @@ def evolve_schema(spark, sf):
                                  "archived_date": ("date", None), "notes": ("string", "")})
 
 
-@query("save_snapshot", """SELECT event_id, CAST(ts AS DATE) AS run_date, event_type, user_id FROM events
-WHERE CAST(ts AS DATE) = DATE '2024-01-30'""")
-def save_snapshot(spark, sf):
+_SNAP_DAYS = ("2024-01-28", "2024-01-29", "2024-01-30")
+_SNAP_SQL = f"""(SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, CAST(ts AS DATE) AS run_date FROM events
+  WHERE CAST(ts AS DATE) IN ({', '.join(f"DATE '{d}'" for d in _SNAP_DAYS)}) AND (CAST(ts AS DATE) <> DATE '{_SNAP_DAYS[1]}' OR event_id % 2 = 0))"""
+
+
+def _snapshots(spark, sf):
+    """Three days; the second is saved whole, and again with half of its rows."""
     from ..session import table
-    e = table(spark, sf, "events").where(F.to_date("ts") == F.lit("2024-01-30").cast("date")).select(
-        "event_id", "event_type", "user_id")
-    stored, meta = SK.save_snapshot(e, scratch_path(spark, "snapshots"), "2024-01-30", ["event_id", "user_id"])
-    return stored.select("event_id", "run_date", "event_type", "user_id")
+    user = F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("user_id")
+    e = table(spark, sf, "events").select("event_id", "event_type", user, F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "snapshots")
+    for day, kept in (*((d, F.lit(True)) for d in _SNAP_DAYS), (_SNAP_DAYS[1], F.col("event_id") % 2 == 0)):
+        rows = e.where((F.col("day") == F.lit(day).cast("date")) & kept).drop("day")
+        stored, keys = SK.save_snapshot(rows, path, day, ["event_id", "user_id"])
+    return stored, keys
+
+
+@query("save_snapshot", f"SELECT event_id, run_date, event_type, user_id FROM {_SNAP_SQL}")
+def save_snapshot(spark, sf):
+    return _snapshots(spark, sf)[0].select("event_id", "run_date", "event_type", "user_id")
+
+
+@query("snapshot_metadata", f"""SELECT run_date, count(*) AS rows, 'event_id, event_type, user_id' AS columns, count(event_id) AS event_ids, count(user_id) AS user_ids,
+  concat_ws(', ', CASE WHEN count(DISTINCT event_id) > count(*) * 0.8 THEN 'event_id' END, CASE WHEN count(DISTINCT user_id) > count(*) * 0.8 THEN 'user_id' END) AS detected_keys
+FROM {_SNAP_SQL} GROUP BY GROUPING SETS ((run_date), ())""")
+def snapshot_metadata(spark, sf):
+    keys = _snapshots(spark, sf)[1]
+    return keys.select("run_date", "rows", F.array_join(F.array_sort("columns"), ", ").alias("columns"), F.col("non_null")["event_id"].alias("event_ids"),
+                       F.col("non_null")["user_id"].alias("user_ids"), F.array_join("detected_keys", ", ").alias("detected_keys"))
 
 
 @query("publish_latest", "SELECT * FROM dashboard", ("dashboard",))
@@ -195,10 +216,13 @@ def publish_latest(spark, sf):
     return SK.publish_latest(board, path)[0]
 
 
-@query("write_validation_report", "SELECT * FROM validations WHERE discrepancies IS NOT NULL", ("validations",))
+@query("write_validation_report", """SELECT 'validation' AS report, *, coalesce(CAST(inv_date AS TIMESTAMP), TIMESTAMP '1990-01-01') AS created_at FROM validations
+UNION ALL SELECT 'discrepancy', *, coalesce(CAST(inv_date AS TIMESTAMP), TIMESTAMP '1990-01-01') FROM validations WHERE discrepancies IS NOT NULL
+ORDER BY 1, created_at DESC""", ("validations",))
 def write_validation_report(spark, sf):
-    _, disc = SK.write_validation_report(FX.validations(spark, sf), scratch_path(spark, "reports"), newest="hash_value")
-    return disc
+    made = F.coalesce(F.col("inv_date").cast("timestamp"), F.lit("1990-01-01 00:00:00").cast("timestamp"))
+    every, some, _ = SK.write_validation_report(FX.validations(spark, sf).withColumn("created_at", made), scratch_path(spark, "reports"))
+    return every.withColumn("report", F.lit("validation")).unionByName(some.withColumn("report", F.lit("discrepancy"))).orderBy("report", F.desc("created_at"))
 
 
 @query("append_validations", """SELECT invoice_number, status, inv_currency, 'System' AS inv_created_by,

@@ -37,15 +37,30 @@ def _event_drops(spark, sf):
     return ev, early, src
 
 
-@query("stream_dedupe")
+def _heartbeat(ev, src):
+    """A late row that moves the watermark past the last day."""
+    end = ev.agg(F.max("ts").alias("_end"))
+    beat = ev.join(F.broadcast(end), F.col("ts") == F.col("_end")).limit(1).withColumn("ts", F.expr("ts + INTERVAL 3 DAYS")).drop("_end")
+    beat.select(*ev.columns).write.parquet(f"{src}/9")
+
+
+@query("stream_dedupe", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+  k AS (SELECT user_id, event_type, rn, ts, event_id FROM e WHERE rn = 1
+        UNION ALL SELECT user_id, event_type, rn, ts, event_id FROM (
+          SELECT e.user_id, e.event_type, e.rn, e.ts, e.event_id, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.rn) AS f
+          FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.rn > k.rn AND e.ts > k.ts + INTERVAL 1 HOUR) WHERE f = 1)
+SELECT event_id, ts, user_id, event_type FROM k""")
 def stream_dedupe(spark, sf):
     ev, early, src = _event_drops(spark, sf)
     sink, ck = scratch_path(spark, "dedup"), scratch_path(spark, "ck")
+    run = lambda: J.dedupe(spark, f"{src}/*", ev.schema, sink, ck, ["user_id", "event_type"], order="event_id")
     ev.where(early).write.parquet(f"{src}/1")
-    J.dedupe(spark, f"{src}/*", ev.schema, sink, ck, ["user_id", "event_type"])
+    run()
     ev.where(~early).write.parquet(f"{src}/2")
-    J.dedupe(spark, f"{src}/*", ev.schema, sink, ck, ["user_id", "event_type"])
-    return spark.read.parquet(sink)
+    run()
+    _heartbeat(ev, src)
+    run()
+    return spark.read.parquet(sink).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
 
 @query("stream_daily_status", """SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'error' THEN 'INVALID'
@@ -59,9 +74,6 @@ def stream_daily_status(spark, sf):
     J.daily_status(spark, f"{src}/*", ev.schema, sink, ck, status)
     ev.where(~early).write.parquet(f"{src}/2")
     J.daily_status(spark, f"{src}/*", ev.schema, sink, ck, status)
-    # a late heartbeat moves the watermark past the last day, which closes its windows
-    end = ev.agg(F.max("ts").alias("_end"))
-    beat = ev.join(F.broadcast(end), F.col("ts") == F.col("_end")).limit(1).withColumn("ts", F.expr("ts + INTERVAL 3 DAYS")).drop("_end")
-    beat.select(*ev.columns).write.parquet(f"{src}/3")
+    _heartbeat(ev, src)  # closes the last day's windows
     J.daily_status(spark, f"{src}/*", ev.schema, sink, ck, status)
     return spark.read.parquet(sink).select(F.to_date("window_start").alias("day"), "status", "rows")

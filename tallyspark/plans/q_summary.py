@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import sinks as SK
 from ..operators import summary as S
+from ..session import scratch_path
 from . import fixtures as FX
 from .registry import query, s_parse_date, s_pct, s_strip
 
@@ -44,13 +49,31 @@ def status_summary(spark, sf):
     return S.status_summary(_report(spark, sf))
 
 
-@query("write_status_sheets", f"""SELECT "Status" AS status, count(*) AS rows, sum("Amount") AS amount FROM {_REPORT}
-GROUP BY 1""", DASH)
+@query("write_status_sheets", f"""SELECT status, count(*) AS rows, sum("Amount") AS amount FROM (SELECT "Status" AS status, "Amount" FROM {_REPORT}
+  UNION ALL SELECT 'ALL', "Amount" FROM {_REPORT}) GROUP BY 1""", DASH)
 def write_status_sheets(spark, sf):
-    from ..operators.sinks import write_status_sheets as w
-    from ..session import scratch_path
-    out = w(_report(spark, sf), scratch_path(spark, "status_sheets"))
-    return out.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.sum("Amount").alias("amount"))
+    sheets = SK.write_status_sheets(_report(spark, sf), scratch_path(spark, "status_sheets"))
+    parts = [sheets[s].select(F.lit(s).alias("status"), "Amount") for s in ("ALL", *SK.STATUSES)]
+    return reduce(DataFrame.unionByName, parts).groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.sum("Amount").alias("amount"))
+
+
+def _share(status: str) -> str:
+    return f"""concat(count_if("Status" = '{status}'), ' (', round(CAST(count_if("Status" = '{status}') AS DECIMAL(18,6)) * 100 / count(*), 1), '%)')"""
+
+
+def _rupees(x: str) -> str:
+    return f"'₹' || format('{{:,.2f}}', {x})"
+
+
+@query("status_sheet_summary", f"""SELECT unnest(['Total Records', 'Valid Records', 'Invalid Records', 'Flagged Records', 'Unknown Status', 'Success Rate',
+    'Total Amount', 'Average Amount', 'Median Amount', 'Max Amount', 'Min Amount', 'Unique Vendors', 'Top Vendor']) AS metric,
+  unnest([CAST(count(*) AS VARCHAR), {_share('VALID')}, {_share('INVALID')}, {_share('FLAGGED')}, {_share('UNKNOWN')},
+    concat(round(CAST(count_if("Status" = 'VALID') AS DECIMAL(18,6)) * 100 / count(*), 1), '%'),
+    {_rupees('sum("Amount")')}, {_rupees('round(avg("Amount"), 2)')}, {_rupees('round(median("Amount"), 2)')}, {_rupees('max("Amount")')}, {_rupees('min("Amount")')},
+    CAST(count(DISTINCT "Vendor_Name") AS VARCHAR),
+    (SELECT "Vendor_Name" FROM dashboard WHERE "Vendor_Name" IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)]) AS value FROM {_REPORT}""", DASH)
+def status_sheet_summary(spark, sf):
+    return SK.write_status_sheets(_report(spark, sf), scratch_path(spark, "status_sheets"), vendor="Vendor_Name")["SUMMARY"]
 
 
 @query("amount_stats", """SELECT sum("Amount") AS total_amount, round(avg("Amount"), 2) AS average_amount,

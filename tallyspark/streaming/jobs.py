@@ -42,12 +42,49 @@ def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str)
 
 
 def dedupe(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: list[str],
-           delay: str = "1 hour") -> None:
-    """Duplicate uploads within the watermark delay are dropped (state kept per key until
-    the watermark passes; event time must be ``timestamp``, not ``timestamp_ntz``)."""
-    s = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = s.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-    _drain(out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+           delay: str = "1 hour", lateness: str | None = None, order: str | None = None) -> None:
+    """Duplicate uploads are dropped: of rows with equal ``keys`` the earliest stays, and the first one that is more than
+    ``delay`` later than the last one that stayed.
+
+    Rows wait in their key's state until the watermark has passed their time, then an event-time timer judges them in the
+    order of (ts, ``order``).  So the result does not depend on how rows are dealt to arrivals, as
+    long as none is later than ``lateness`` (by default ``delay``); rows that are, are dropped by the watermark.  State
+    holds the rows of that span and one time per key, and goes when neither can matter any more."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    span = spark.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND) AS d").first()["d"]
+    micros = span.days * 86_400_000_000 + span.seconds * 1_000_000 + span.microseconds
+
+    def judge(key, batches, state: GroupState):
+        import pandas as pd
+        last, waiting = (state.get[0], list(zip(state.get[1], state.get[2], state.get[3]))) if state.exists else (None, [])
+        for pdf in batches:
+            waiting += list(zip(pdf["at"].tolist(), pdf["rank"].tolist(), pdf["row"].tolist()))
+        passed = state.getCurrentWatermarkMs() * 1000  # rows up to here can no longer come
+        waiting.sort()
+        kept, n = [], 0
+        while n < len(waiting) and waiting[n][0] <= passed:
+            at, _, row = waiting[n]
+            if last is None or at > last + micros:
+                kept.append(row)
+                last = at
+            n += 1
+        waiting = waiting[n:]
+        wake = waiting[0][0] if waiting else last + micros
+        if wake <= passed:
+            state.remove() if state.exists else None
+        else:
+            state.update((last, *(list(c) for c in zip(*waiting))) if waiting else (last, [], [], []))
+            state.setTimeoutTimestamp(-(-wake // 1000))
+        yield pd.DataFrame({"row": pd.Series(kept, dtype=object)})
+
+    s = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness or delay)
+    whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # to the microsecond
+    rank = F.col(order).cast("string") if order else F.lit("")
+    rows = s.select("ts", *keys, F.unix_micros("ts").alias("at"), F.lpad(rank, 24, "0").alias("rank"), F.to_json(F.struct("*"), whole).alias("row"))
+    out = rows.groupBy(*keys).applyInPandasWithState(judge, "row string", "last long, at array<long>, rank array<string>, row array<string>",
+                                                     "append", GroupStateTimeout.EventTimeTimeout)
+    back = F.from_json("row", s.schema, whole).alias("r")
+    _drain(out.select(back).select("r.*").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
            .outputMode("append").trigger(availableNow=True).start())
 
 

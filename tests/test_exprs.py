@@ -80,3 +80,21 @@ def test_header_tokens():
     assert X.header_matches("invoice_date", ["date"])
     assert not X.header_matches("rating", ["tin"])
     assert X.header_matches("due_date", ["due_date"])
+
+
+def test_json_records_of_any_shape(spark):
+    import datetime as dt
+    import json
+    from decimal import Decimal
+
+    from tallyspark.functions.json_safe import to_json_records
+    schema = ("`a.b` double, f float, d date, t timestamp, n decimal(20,4), raw binary, m map<double,array<double>>, "
+              "s struct<x:struct<y:array<date>>,z:map<string,double>>, e array<string>, b boolean")
+    nan, inf = float("nan"), float("inf")
+    row = (nan, -inf, dt.date(2024, 1, 5), dt.datetime(2024, 1, 5, 1, 2, 3, 40), Decimal("12345678901234.5000"), b"ab", {1.5: [1.0, nan, None], inf: None},
+           (([dt.date(2024, 1, 6), None],), {"k": inf}), [], True)
+    got = [json.loads(r[0], parse_float=str) for r in to_json_records(spark.createDataFrame([row, (None,) * 10], schema)).collect()]
+    assert got[0] == {"a.b": None, "f": None, "d": "2024-01-05", "t": "2024-01-05 01:02:03.00004", "n": "12345678901234.5000", "raw": "YWI=",
+                      "m": {"1.5": ["1.0", None, None], "Infinity": None},
+                      "s": {"x": {"y": ["2024-01-06", None]}, "z": {"k": None}}, "e": [], "b": True}
+    assert got[1] == dict.fromkeys(got[0])

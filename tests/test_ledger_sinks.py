@@ -60,5 +60,30 @@ def test_snapshot_save_replaces_partition(spark):
     path = scratch_path(spark, "snap-test")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "InvID long, v string")
     SK.save_snapshot(df, path, "2024-01-02", ["InvID"])
+    SK.save_snapshot(df.withColumn("InvID", F.lit(None).cast("long")), path, "2024-01-03", ["InvID", "absent"])
     stored, meta = SK.save_snapshot(df.limit(1), path, "2024-01-02", ["InvID"])
-    assert stored.count() == 1 and meta.first()["detected_keys"] == ["InvID"]
+    got = {str(r["run_date"]): (r["rows"], r["non_null"], r["detected_keys"]) for r in meta.collect()}
+    assert stored.count() == 3
+    assert got == {"2024-01-02": (1, {"InvID": 1}, ["InvID"]), "2024-01-03": (2, {"InvID": 0}, []), "None": (3, {"InvID": 1}, [])}
+
+
+def test_status_sheets_and_summary(spark):
+    df = spark.createDataFrame([("valid", 10.0, "A"), ("VALID", 20.5, "A"), ("odd", None, "B"), (None, 1.0, None), ("FLAGGED", 3.0, "B")],
+                               "Status string, Amount double, Vendor string")
+    sheets = SK.write_status_sheets(df, scratch_path(spark, "sheets"), vendor="Vendor")
+    assert {k: v.count() for k, v in sheets.items() if k != "SUMMARY"} == {"ALL": 5, "VALID": 2, "INVALID": 0, "FLAGGED": 1, "UNKNOWN": 2}
+    lines = dict(rows(sheets["SUMMARY"]))
+    assert lines["Valid Records"] == "2 (40.0%)" and lines["Total Amount"] == "₹34.50" and lines["Median Amount"] == "₹6.50"
+    assert lines["Top Vendor"] == "A" and lines["Unique Vendors"] == "2"
+    empty = SK.write_status_sheets(df.limit(0), scratch_path(spark, "sheets"), vendor="Vendor")
+    assert dict(rows(empty["SUMMARY"]))["Valid Records"] == "0 (0%)" and empty["ALL"].count() == 0
+
+
+def test_validation_report_is_newest_first(spark):
+    df = spark.createDataFrame([(i, "bad" if i % 3 == 0 else None, dt.datetime(2024, 1, 1 + i * 7 % 28)) for i in range(30)],
+                               "n int, discrepancies string, created_at timestamp")
+    every, some, n = SK.write_validation_report(df, scratch_path(spark, "report"))
+    for out, size in ((every, 30), (some, 10)):
+        times = [r["created_at"] for r in out.collect()]
+        assert len(times) == size and times == sorted(times, reverse=True)
+    assert n == {"rows": 30, "discrepancies": 10}
