@@ -10,8 +10,10 @@ of the shingles, rare ones first; of two sets with Jaccard similarity t or more
    one member goes on.
 2. A second pass gives the prefixes; in a slice of texts an equal set is given once.
 3. Prefix shingles with two classes or more make candidates.  First every class is tried with one hub
-   of each of its shingles; pairs that verify are contracted to components.  Then the pairs across
-   components are tried, from every class outside the shingle's largest component to all others.
+   of each of its shingles; pairs that verify are contracted to components.  While a shingle's components leave
+   many more pairs than members, further hubs are drawn, turn by turn more of them, and contracted: a group of
+   near copies comes together in a few turns, each with some pairs per member.  Then the pairs across components that are left
+   are tried, from every class outside the shingle's largest component to all others.
    Pairs within a component cannot change the result and are not made.
 4. Length and positional filters act in the joins; the suffix filter and the exact overlap act on
    the whole sets, once per pair.
@@ -30,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import settings, stage_table
 from .common import GOLDEN, U64, bounded_batches, mix64, slices, utf8
 from .components import components
 
 WORDS, PERCENT = 5, 80
+#: Further hubs are drawn while the pairs across components might be so many times their members; so many a shingle, turn by turn.
+PAIRS_A_ROW, HUBS = 4, (4, 16, 64, 256)
+VERIFY_BYTES = 16 << 20  # of an Arrow batch of pairs of sets
 BUCKET_BITS, BLOCK_BITS, FAN = 22, 16, 64
 SLICE_BYTES = 2 << 20  # a slice's hashes take some 30 times its bytes
 BASE = U64(0x5851F42D4C957F2D)  # an odd multiplier
@@ -233,7 +238,8 @@ def verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataF
     sets = stage_table(whole_sets(rows.join(needed, F.col("row") == F.col("a"), "left_semi"), width), "join-sets")
     x, y = (sets.select(F.col("row").alias(f"{s}_row"), F.col("grams").alias(s)) for s in "xy")
     both = pairs.join(x, F.col("a") == F.col("x_row")).join(y, F.col("b") == F.col("y_row")).select("a", "b", "x", "y")
-    return stage_table(both.mapInArrow(run, "a long, b long"), "join-links")
+    with settings(pairs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(VERIFY_BYTES)}):
+        return stage_table(both.mapInArrow(run, "a long, b long"), "join-links")
 
 
 def _passes(percent: int):
@@ -242,6 +248,50 @@ def _passes(percent: int):
     return (F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent) & (rest * (100 + percent) >= both * percent)
 
 
+def _open(meeting: DataFrame, labels: DataFrame) -> DataFrame:
+    """``token, rep, n, pos, comp, main`` of the shingles that more than one component has; main: the largest one."""
+    labelled = meeting.select("token", "rep", "n", "pos").join(labels, F.col("rep") == F.col("node"), "left")
+    labelled = labelled.select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp"))
+    per = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    top = per.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return stage_table(labelled.join(stage_table(top.select("token", "main"), "join-top"), "token"), "join-mixed")
+
+
+def _many(opened: DataFrame) -> bool:
+    """Whether all pairs across components might be many more than the rows that they come from."""
+    sizes = opened.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("outside"))
+    pairs, rows = sizes.agg(F.sum(F.col("size").cast("double") * F.col("outside")), F.sum("size")).first()
+    return bool(rows) and pairs > PAIRS_A_ROW * rows
+
+
+def _named(members: DataFrame) -> DataFrame:
+    return members.select(F.col("token").alias("h_token"), F.col("rep").alias("h_rep"), F.col("n").alias("h_n"), F.col("pos").alias("h_pos"),
+                          F.col("comp").alias("h_comp"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, condition) -> DataFrame:
+    found = left.join(right, (F.col("token") == F.col("h_token")) & (F.col("comp") != F.col("h_comp")) & _passes(percent) & condition)
+    return found.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
+
+
+def _to_hubs(opened: DataFrame, hubs: int, percent: int) -> DataFrame:
+    """The pairs of about ``hubs`` members of each shingle with the members of other components.  Members are drawn by their
+    hash, so that the shingles of a group draw the same ones."""
+    sizes = stage_table(opened.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
+    draw = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.lit(1 << 40)) / float(1 << 40)
+    chosen = _named(opened.join(sizes, "token").where(draw * F.col("size") < hubs))
+    return _pairs(opened, stage_table(chosen, "join-hubs"), percent, F.lit(True))
+
+
+def _across(opened: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components, but for those of two members of the same component."""
+    return _pairs(opened, _named(opened.where("comp <> main")), percent, (F.col("comp") == F.col("main")) | (F.col("rep") < F.col("h_rep")))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    return pairs.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+
+
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``row, doc_id, n_shingles, component_id`` per row of ``docs``: the smallest doc_id that links reach.
 
@@ -269,19 +319,22 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = verify(tried, rows, width, percent)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    labelled = meeting.join(hubs.select("token"), "token", "left_semi").join(labels, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp"))
-    per = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    top = per.groupBy("token").agg(F.max_by("comp", F.col("size")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = stage_table(labelled.join(top.select("token", "main"), "token"), "join-mixed")
-    outside = mixed.where("comp <> main").select(F.col("token").alias("h_token"), F.col("rep").alias("h_rep"), F.col("n").alias("h_n"),
-                                                 F.col("pos").alias("h_pos"), F.col("comp").alias("h_comp"))
-    across = (mixed.join(outside, (F.col("token") == F.col("h_token")) & (F.col("comp") != F.col("h_comp")) & _passes(percent))
-              .where("comp = main OR rep < h_rep")
-              .select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct())
+    meeting = meeting.join(hubs.select("token"), "token", "left_semi")
+    # Only what is open between components is still of interest; its texts are read from here on.
+    opened = _open(meeting, labels)
+    texts = stage_table(rows.join(opened.select(F.col("rep").alias("o_rep")).distinct(), F.col("row") == F.col("o_rep"), "left_semi"), "join-open-texts")
     again = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))  # a hub is the smaller of its pairs
-    across = stage_table(across.join(again, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "join-across")
-    more = verify(across, rows, width, percent)
+    for hubs_now in HUBS:
+        if not _many(opened):
+            break
+        near = stage_table(_untried(_to_hubs(opened, hubs_now, percent), again), "join-near")
+        links = verify(near, texts, width, percent)
+        again = again.union(near)
+        labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+                            .union(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        opened = _open(opened, labels)
+    across = stage_table(_untried(_across(opened, percent), again), "join-across")
+    more = verify(across, texts, width, percent)
     labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
                         .union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 

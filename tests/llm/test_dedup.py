@@ -105,6 +105,24 @@ def test_join_crosses_components(docs_of):
     assert sorted(map(tuple, got), key=str) == join_brute(chain)
 
 
+@pytest.mark.parametrize("few", [4, 10 ** 9])
+def test_join_template_group(docs_of, few, monkeypatch):
+    """One large group whose members have 2 to 20 % shingles of their own: few pairs link, through further hubs or all pairs."""
+    from tallyspark.llm import ngram_join as J
+    monkeypatch.setattr(J, "PAIRS_A_ROW", few / 100)
+    monkeypatch.setattr(J, "HUBS", (2, 8))
+    rng = random.Random(17)
+    base = [f"t{i}" for i in range(120)]
+    group = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(120)] = f"own{i}x{rng.randrange(10 ** 6)}"
+        group.append((i, " ".join(w)))
+    got = J.link_components(docs_of(group)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == join_brute(group)
+
+
 def test_join_drop(docs_of, near_pairs):
     from tallyspark.llm.ngram_join import drop_linked, link_components
     docs = docs_of(near_pairs + edge_pairs()[:3])
