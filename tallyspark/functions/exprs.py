@@ -61,23 +61,22 @@ _DATE_SHAPES = {"yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "d/M/yyyy": r"^\d{1,2}/\
                 "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$"}
 
 
-def parse_date(x: ColumnOrName) -> Column:
-    """First format that parses, in the fixed order (d/m before m/d, T3); else NULL."""
-    s = null_tokens(x)
-    return F.coalesce(*[F.when(s.rlike(_DATE_SHAPES[f]), F.try_to_timestamp(s, F.lit(f)))
-                        for f in K.DATE_FORMATS]).cast("date")
-
-
 #: a time of day after a date, with fraction and zone
 _TIME_RE = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([AaPp][Mm]|Z|[+-]\d{2}:?\d{2})?$"
 
 
-def parse_date_any(x: ColumnOrName) -> Column:
-    """``parse_date`` of a value that may carry a time of day, or a name of the month."""
-    s = F.regexp_replace(null_tokens(x), _TIME_RE, "")
-    named = [F.when(s.rlike(r"(?i)^\d{1,2}[- ][a-z]{3}[- ]\d{4}$"),
-                    F.try_to_timestamp(F.initcap(F.lower(F.regexp_replace(s, "-", " "))), F.lit("d MMM yyyy"))).cast("date")]
-    return F.coalesce(parse_date(s), *named)
+def parse_date(x: ColumnOrName) -> Column:
+    """First format that parses, in the fixed order (d/m before m/d, T3), else a day with the name of its month; NULL
+    where none does.  A time of day behind the date is left out."""
+    s = null_tokens(x)
+    s = F.when(s.contains(":"), F.regexp_replace(s, _TIME_RE, "")).otherwise(s)
+    shaped = [F.when(s.rlike(_DATE_SHAPES[f]), F.try_to_timestamp(s, F.lit(f))) for f in K.DATE_FORMATS]
+    named = F.when(s.rlike(r"(?i)^\d{1,2}[- ][a-z]{3}[- ]\d{4}$"),
+                   F.try_to_timestamp(F.initcap(F.lower(F.translate(s, "-", " "))), F.lit("d MMM yyyy")))
+    return F.coalesce(*shaped, named).cast("date")
+
+
+parse_date_any = parse_date
 
 
 # numeric text as the casts accept it; a failed cast is an exception inside the JVM, so
@@ -103,6 +102,18 @@ def parse_amount(x: ColumnOrName) -> Column:
     return to_decimal(cleaned)
 
 
+def amount_inexact(x: ColumnOrName, amount: ColumnOrName) -> Column:
+    """Whether a numeric text lost something on its way to ``amount``: digits that its type does not hold, or all."""
+    s = strip(_c(x).cast("string"))
+    wide = F.when(s.rlike(NUM_RE), s.try_cast("decimal(38,12)"))
+    return s.rlike(NUM_RE) & ~F.coalesce(wide == _c(amount).cast("decimal(38,12)"), F.lit(False))
+
+
+def format_amount(a: ColumnOrName) -> Column:
+    """An amount for display: rupee sign, thousands separated, two decimals; ``N/A`` for null."""
+    return F.coalesce(F.concat(F.lit("₹"), F.format_number(_c(a), 2)), F.lit("N/A"))
+
+
 def parse_number_or_zero(x: ColumnOrName) -> Column:
     """Lenient report variant: remove commas, float or 0.0 (``18%`` -> 0, T31)."""
     s = F.replace(strip(_c(x).cast("string")), F.lit(","), F.lit(""))

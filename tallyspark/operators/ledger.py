@@ -129,6 +129,11 @@ def ordered_runs(windows: DataFrame, run_log: DataFrame, active_only: bool = Tru
     return w.select("start_date", "end_date", "run_date", "run_type").orderBy("start_date", "run_date", "run_type")
 
 
+def session_rows(df: DataFrame, session: str, by: str = "processed_by") -> DataFrame:
+    """The rows that a session has processed (its name within ``by``)."""
+    return df.where(F.col(by).contains(session))
+
+
 def table_counts(**tables: DataFrame) -> DataFrame:
     out = None
     for name, df in tables.items():

@@ -75,7 +75,7 @@ def missing_values(df: DataFrame, fields: list[str] = K.REQUIRED_COLUMNS) -> Dat
 def duplicates(df: DataFrame, number: str = "PurchaseInvNo") -> DataFrame:
     """All rows of a repeated non-blank number (``keep=False``), with the group size."""
     counts = counts_per_key(df, [number], "dup_count").where(F.col("dup_count") > 1)
-    return df.join(counts, number, "left_semi").join(counts, number)
+    return df.join(counts, number)
 
 
 def bad_amounts(df: DataFrame, amount: str = "Total") -> DataFrame:

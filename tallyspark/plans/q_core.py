@@ -140,9 +140,15 @@ def extract_gst(spark, sf):
     return FX.validations(spark, sf).select("hash_value", "gst_no")
 
 
-@query("extract_invoice_date", "SELECT hash_value, inv_date FROM validations", ("validations",))
+@query("extract_invoice_date", f"""SELECT "InvID", coalesce({s_parse_date('"PurchaseInvDate"')}, CAST("Voucherdate" AS DATE)) AS inv_date FROM ledger""", LEDGER_CTE)
 def extract_invoice_date(spark, sf):
-    return FX.validations(spark, sf).select("hash_value", "inv_date")
+    """Dates as exports have them: with a time of day, or the name of the month; else those of the next date column."""
+    iso = F.when(col("PurchaseInvDate").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), col("PurchaseInvDate").try_cast("date"))
+    k = col("InvID").cast("long") % 3
+    raw = (F.when((k == 0) & iso.isNotNull(), F.date_format(iso, "dd-MMM-yyyy")).when(k == 1, F.concat(col("PurchaseInvDate"), F.lit(" 09:30:00")))
+            .otherwise(col("PurchaseInvDate")))
+    led = FX.ledger(spark, sf).select("InvID", raw.alias("Invoice Date"), col("Voucherdate").alias("Created Date"), col("Due Date"))
+    return _ledger_first(spark, sf, K.INVOICE_DATE_TOKENS, "inv_date", parse=True, led=led)
 
 
 @query("extract_currency", f"""SELECT "InvID", upper(coalesce({s_null_tokens('"Currency"')}, 'USD')) AS inv_currency FROM ledger""", LEDGER_CTE)
@@ -268,17 +274,28 @@ def invoice_hash(spark, sf):
         "net_c", "amount_raw").alias("hash"))
 
 
-@query("standardize_status", """SELECT hash_value, CASE WHEN discrepancies IS NULL THEN 'VALID' ELSE 'FLAGGED' END AS status
-FROM validations""", ("validations",))
+#: Raw statuses that reach every entry of the status map, and none.
+_RAW_STATUS = {"✅ valid": "VALID", "Invalid": "INVALID", "🚩 flagged": "FLAGGED", "new": "FLAGGED", " issues found ": "FLAGGED", "unknown": "UNKNOWN",
+               "❌ ERROR": "INVALID", "paid": "UNKNOWN", "": "UNKNOWN", None: "UNKNOWN"}
+_STATUS_SQL = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_RAW_STATUS.values()))
+
+
+@query("standardize_status", f"""SELECT "InvID", CASE CAST("InvID" AS BIGINT) % {len(_RAW_STATUS)} {_STATUS_SQL} END AS from_status,
+  CASE WHEN {s_blank('"Narration"')} OR CAST("InvID" AS BIGINT) % 2 = 0 THEN 'VALID' ELSE 'FLAGGED' END AS from_issues,
+  CASE CAST("InvID" AS BIGINT) % {len(_RAW_STATUS)} {_STATUS_SQL} END AS from_validation, 'UNKNOWN' AS from_none FROM ledger""", LEDGER_CTE)
 def standardize_status(spark, sf):
-    return FX.validations(spark, sf).select("hash_value", X.standardize_status(issues="discrepancies").alias("status"))
+    k = col("InvID").cast("long")
+    raw = F.element_at(F.array(*[F.lit(s) for s in _RAW_STATUS]), (k % len(_RAW_STATUS) + 1).cast("int"))
+    issues = F.when(k % 2 == 0, F.lit(" NaN ")).otherwise(col("Narration"))
+    return FX.ledger(spark, sf).select("InvID", X.standardize_status(status=raw).alias("from_status"), X.standardize_status(issues=issues).alias("from_issues"),
+                                       X.standardize_status(validation_status=raw).alias("from_validation"), X.standardize_status().alias("from_none"))
 
 
-@query("gst_result_class", """SELECT hash_value, CASE WHEN gst_no <> '' THEN 'Correct' ELSE 'Warning' END AS gst_class
-FROM validations""", ("validations",))
+@query("gst_result_class", f"""SELECT hash_value, CASE WHEN gst_no <> '' AND length(gst_no) = 15 AND substr(gst_no, 15, 1) < 'M' THEN 'Correct'
+  WHEN gst_no <> '' THEN 'Error' ELSE 'Warning' END AS gst_class FROM validations""", ("validations",))
 def gst_result_class(spark, sf):
     v = FX.validations(spark, sf)
-    res = F.when(F.col("gst_no") != "", F.lit("✅ valid")).otherwise(F.lit("⚠️ missing"))
+    res = F.when((F.length("gst_no") == 15) & (F.substring("gst_no", 15, 1) < "M"), F.lit("✅ valid")).when(F.col("gst_no") != "", F.lit("GST ❌ not found"))
     return v.select("hash_value", X.gst_result_class(res).alias("gst_class"))
 
 
@@ -301,12 +318,9 @@ def name_date(spark, sf):
     return p.select("page_id", X.name_date("url").alias("name_date"))
 
 
-@query("format_amount", """SELECT hash_value, amount, CAST(round(amount, 2) AS DECIMAL(18,2)) AS amount_2dp FROM validations""",
-       ("validations",))
+@query("format_amount", """SELECT hash_value, amount, coalesce('₹' || format('{:,.2f}', amount), 'N/A') AS shown FROM validations""", ("validations",))
 def format_amount(spark, sf):
-    v = FX.validations(spark, sf)
-    # text form for display (edge only); numeric column is what gets compared
-    return v.select("hash_value", "amount", F.round("amount", 2).cast("decimal(18,2)").alias("amount_2dp"))
+    return FX.validations(spark, sf).select("hash_value", "amount", X.format_amount("amount").alias("shown"))
 
 
 # ----------------------------------------------------------------- frame normalisation
@@ -373,7 +387,8 @@ SELECT coalesce({s_null_tokens('"InvID"')}, '') AS "Invoice_ID",
        {s_parse_date('"PurchaseInvDate"')} AS "Invoice_Date",
        coalesce({s_null_tokens('"PartyName"')}, '') AS "Vendor_Name",
        coalesce({s_null_tokens('"GSTNO"')}, '') AS "GST_Number",
-       TRY_CAST({s_strip('"Total"')} AS DECIMAL(18,2)) AS "Amount",
+       TRY_CAST({s_strip('"Total"')} AS DECIMAL(38,6)) AS "Amount",
+       coalesce(TRY_CAST({s_strip('"Total"')} AS DECIMAL(38,12)) <> TRY_CAST({s_strip('"Total"')} AS DECIMAL(38,6)), false) AS "Amount_Inexact",
        coalesce({s_null_tokens('"Inv Created By"')}, '') AS "Invoice_Creator_Name",
        '' AS "Method_of_Payment",
        {s_parse_date('"Due Date"')} AS "Due_Date",
@@ -392,6 +407,18 @@ def normalize_aliases(spark, sf):
     return N.normalize_aliases(FX.ledger(spark, sf), AS_OF)
 
 
+@query("normalize_exact_amounts", """SELECT "InvID" AS "Invoice_ID", CASE WHEN k % 3 = 0 THEN n + CAST('0.004567' AS DECIMAL(38,6))
+    WHEN k % 3 = 1 THEN CAST('98765432109876543.21' AS DECIMAL(38,6)) + k ELSE n END AS "Amount", k % 3 = 2 AS "Amount_Inexact"
+  FROM (SELECT "InvID", CAST("InvID" AS BIGINT) AS k, CAST(CAST("InvID" AS BIGINT) % 1000 AS DECIMAL(38,6)) AS n FROM ledger)""", LEDGER_CTE)
+def normalize_exact_amounts(spark, sf):
+    """Amounts with six decimals, of nineteen digits, and with more decimals than are kept."""
+    k = col("InvID").cast("long")
+    raw = (F.when(k % 3 == 0, F.concat((k % 1000).cast("string"), F.lit(".004567"))).when(k % 3 == 1, (F.lit("98765432109876543.21").cast("decimal(38,2)") + k).cast("string"))
+            .otherwise(F.concat((k % 1000).cast("string"), F.lit(".0000004"))))
+    led = FX.ledger(spark, sf).withColumn("Total", raw)
+    return N.normalize_aliases(led, AS_OF).select("Invoice_ID", "Amount", "Amount_Inexact")
+
+
 @query("rename_dashboard", """SELECT coalesce(invoice_number, '') AS "Invoice_Number", coalesce(vendor_name, '') AS "Vendor_Name",
   amount AS "Amount", coalesce(status, '') AS status, coalesce(discrepancies, '') AS "Issues_Found",
   coalesce(location, '') AS "Location" FROM validations""", ("validations",))

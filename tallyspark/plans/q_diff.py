@@ -120,9 +120,27 @@ def dedupe_keep_first(spark, sf):
     return D.dedupe_keep_first(inv, ["invoice_number"], "invoice_id")
 
 
-@query("dedupe_exact", """SELECT DISTINCT "PurchaseInvNo", "PartyName", "Currency" FROM ledger""", ("ledger",))
+@query("choose_key", """WITH r AS (SELECT count(DISTINCT "InvID") > count("InvID") * 0.8 AS id_ok, count(DISTINCT "VoucherNo") > count("VoucherNo") * 0.8 AS voucher_ok FROM ledger)
+SELECT unnest(['both', 'no InvID before', 'preferred', 'repeated', 'none']) AS case_name,
+  unnest([CASE WHEN id_ok THEN 'InvID' END, CASE WHEN voucher_ok THEN 'VoucherNo' END, CASE WHEN voucher_ok THEN 'VoucherNo' END,
+          CASE WHEN voucher_ok THEN 'VoucherNo' END, NULL]) AS chosen FROM r""", ("ledger",))
+def choose_key(spark, sf):
+    """The key of a comparison: columns of both sides, the preferred one first, as long as it tells rows apart."""
+    led = FX.ledger(spark, sf).select("InvID", "VoucherNo", "PartyName", "Currency")
+    same = led.withColumn("InvID", F.lit("1"))
+    cases = [("both", led, led, None), ("no InvID before", led, led.drop("InvID"), None), ("preferred", led, led, "VoucherNo"),
+             ("repeated", same, led, "Currency"), ("none", led.drop("VoucherNo"), led.drop("InvID"), "PartyName")]
+    return spark.createDataFrame([(n, D.choose_key(a, b, k)) for n, a, b, k in cases], "case_name string, chosen string")
+
+
+@query("dedupe_exact", """SELECT DISTINCT * FROM (SELECT * FROM ledger UNION ALL SELECT * FROM ledger WHERE CAST("InvID" AS BIGINT) % 3 = 0
+  UNION ALL SELECT * REPLACE ("Narration" || ' ' AS "Narration") FROM ledger WHERE CAST("InvID" AS BIGINT) % 5 = 0)""", ("ledger",))
 def dedupe_exact(spark, sf):
-    return FX.ledger(spark, sf).select("PurchaseInvNo", "PartyName", "Currency").distinct()
+    """Whole rows: some are repeated, some differ in their last column only."""
+    led = FX.ledger(spark, sf)
+    k = F.col("InvID").cast("long")
+    other = led.where(k % 5 == 0).withColumn("Narration", F.concat("Narration", F.lit(" ")))
+    return led.unionByName(led.where(k % 3 == 0)).unionByName(other).distinct()
 
 
 @query("latest_two_runs", """SELECT DISTINCT run_date FROM runs ORDER BY run_date DESC LIMIT 2""", ("runs",))

@@ -97,13 +97,24 @@ def text_to_table(spark, sf):
                     F.array_join("cells", " | ").alias("cells"))
 
 
-@query("split_emails", f"""SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS email,
+@query("scan_emails", f"""SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS email,
   regexp_full_match(unnest(m), '{K.EMAIL_RE[1:-1]}') AS valid
 FROM (SELECT doc_id, regexp_extract_all(text, '{K.EMAIL_SCAN_RE}', 0) AS m FROM documents) WHERE len(m) > 0""")
-def split_emails(spark, sf):
+def scan_emails(spark, sf):
     return DOC.scan_emails(table(spark, sf, "documents"))
 
 
+@query("split_emails", f"""WITH r AS (SELECT c_custkey, trim(unnest(string_split_regex(
+    concat('ap', c_custkey, '@mail.org; ', c_name, ' , bad', c_custkey, '@, ;x.', c_custkey, '@host', c_nationkey, '.co.in;'), '[;,]'))) AS email FROM customer)
+SELECT c_custkey, email, regexp_full_match(email, '{K.EMAIL_RE[1:-1]}') AS valid FROM r WHERE email <> ''""")
+def split_emails(spark, sf):
+    """Recipients as they are typed: separators of both kinds, blanks, names and broken addresses, which are reported."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("ap"), key, F.lit("@mail.org; "), "c_name", F.lit(" , bad"), key, F.lit("@, ;x."), key, F.lit("@host"), F.col("c_nationkey").cast("string"),
+                    F.lit(".co.in;"))
+    return DOC.split_emails(table(spark, sf, "customer").withColumn("recipients", text), "recipients", ["c_custkey"])
+
+
 @query("archive_completeness", """
 WITH got AS (SELECT lang AS batch, count_if(lower(name) LIKE '%.pdf') AS pdf_members FROM
                (SELECT lang, CASE WHEN doc_id % 5 = 0 THEN 'doc_' || doc_id || '.txt' ELSE 'doc_' || doc_id || '.pdf' END

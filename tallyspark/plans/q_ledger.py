@@ -246,10 +246,13 @@ def scan_table(spark, sf):
     return spark.read.parquet(path).orderBy(F.desc("timestamp"))
 
 
-@query("session_rows", "SELECT invoice_number, processed_by FROM validations WHERE processed_by LIKE '%s1%'",
-       ("validations",))
+@query("session_rows", """SELECT invoice_number, CASE WHEN substr(hash_value, 1, 1) < '4' THEN 'upload_s1' ELSE 'production_s1' END AS processed_by
+FROM validations WHERE substr(hash_value, 1, 1) < '8'""", ("validations",))
 def session_rows(spark, sf):
-    return FX.validations(spark, sf).where(F.col("processed_by").contains("s1")).select("invoice_number", "processed_by")
+    """The rows of one of two sessions, which has two sources."""
+    digit = F.substring("hash_value", 1, 1)
+    source = F.when(digit < "4", "upload_s1").when(digit < "8", "production_s1").otherwise("production_s2")
+    return L.session_rows(FX.validations(spark, sf).withColumn("processed_by", source), "s1").select("invoice_number", "processed_by")
 
 
 _FILES = "(SELECT nullif(batch, 'de') AS batch, name, size FROM doc_files)"  # some files have no batch

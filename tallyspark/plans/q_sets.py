@@ -70,7 +70,9 @@ def top_k_files(spark, sf):
 @query("filter_date_window", f"""SELECT "InvID", "PurchaseInvDate" FROM ledger
 WHERE {s_parse_date('"PurchaseInvDate"')} BETWEEN DATE '2001-07-31' - 3 AND DATE '2001-07-31'""", ("ledger",))
 def filter_date_window(spark, sf):
-    led = FX.ledger(spark, sf)
-    d = X.parse_date("PurchaseInvDate")
+    # half of the dates have a time of day behind them
+    timed = F.when(F.col("InvID").cast("long") % 2 == 0, F.concat("PurchaseInvDate", F.lit("T23:59:59Z"))).otherwise(F.col("PurchaseInvDate"))
+    led = FX.ledger(spark, sf).withColumn("_made", timed)
+    d = X.parse_date("_made")
     return led.where(d.between(F.date_sub(X.as_of_lit("2001-07-31"), 3), X.as_of_lit("2001-07-31"))).select(
         "InvID", "PurchaseInvDate")
