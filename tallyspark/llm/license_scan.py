@@ -165,14 +165,21 @@ def sentence_ids(text: Column, known: dict[str, str]) -> Column:
 
 
 def match_rules(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """Names of the licences whose rules are met, each tried after the ones before it took their sentences."""
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + " (?:.* )?".join(needed) + " ").alias("pattern"),
-                               F.lit(f" (?:{'|'.join(needed)}) ").alias("own")) for name, needed in rules])
-    start = F.struct(F.concat(F.lit(" "), F.array_join(sequence, "  "), F.lit(" ")).alias("rest"), F.array().cast("array<string>").alias("names"))
+    """Names of the licences whose rules are met, each tried after the ones before it took their sentences.
+
+    A rule whose sentences are all there is followed along the sequence by a counter, one step per sentence: time is
+    linear in the sequence.  No rule needs a sentence twice, so a repeat behind its like is left out first."""
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, needed)).alias("needed")) for name, needed in rules])
+    fresh = F.filter(sequence, lambda x, i: (i == 0) | (F.get(sequence, i - 1) != x))
+    start = F.struct(fresh.alias("rest"), F.array_distinct(sequence).alias("present"), F.array().cast("array<string>").alias("names"))
 
     def tried(state: Column, rule: Column) -> Column:
-        met = F.regexp_like(state["rest"], rule["pattern"])
-        return F.struct(F.when(met, F.regexp_replace(state["rest"], rule["own"], F.lit("  "))).otherwise(state["rest"]).alias("rest"),
+        needed = rule["needed"]
+        there = F.forall(needed, lambda x: F.array_contains(state["present"], x))
+        passed = F.aggregate(state["rest"], F.lit(0), lambda at, x: F.when(F.get(needed, at) == x, at + 1).otherwise(at))
+        met = F.when(there, (F.size(needed) == 1) | (passed == F.size(needed))).otherwise(F.lit(False))
+        return F.struct(F.when(met, F.filter(state["rest"], lambda x: ~F.array_contains(needed, x))).otherwise(state["rest"]).alias("rest"),
+                        F.when(met, F.array_except(state["present"], needed)).otherwise(state["present"]).alias("present"),
                         F.when(met, F.array_append(state["names"], rule["name"])).otherwise(state["names"]).alias("names"))
 
     return F.array_distinct(F.aggregate(table, start, tried, lambda state: state["names"]))

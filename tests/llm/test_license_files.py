@@ -107,3 +107,37 @@ def test_license_files_of_the_system(docs_of, name, want):
     if not path.exists():
         pytest.skip("no such file here")
     assert {r.license for r in scan_licenses(docs_of([(1, path.read_text())])).collect()} == {want}
+
+
+def test_rules_against_brute_force(spark):
+    """Random sequences of identifiers, with repeats: a rule is met where its sentences stand in its order, and takes them all."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tallyspark.llm.license_scan import match_rules
+    rng = random.Random(6)
+    rules = [("R1", ["a", "b", "c"]), ("R2", ["b", "a"]), ("R1", ["c"]), ("R3", ["d", "e"]), ("R4", ["a"])]
+
+    def brute(ids):
+        names = []
+        for name, needed in rules:
+            left = iter(ids)
+            if all(x in left for x in needed):  # one after the other
+                ids = [x for x in ids if x not in needed]
+                names += [name] * (name not in names)
+        return names
+
+    pairs = [(i, [rng.choice("abcdef") for _ in range(rng.randint(1, 12))]) for i in range(300)]
+    got = spark.createDataFrame(pairs, "i int, ids array<string>").select("i", match_rules(F.col("ids"), rules).alias("names")).collect()
+    assert {r.i: r.names for r in got} == {i: brute(ids) for i, ids in pairs}
+
+
+def test_very_many_sentences(docs_of):
+    """Time is linear: repeated lines, and lines that take turns."""
+    import time
+
+    from tallyspark.llm.license_scan import scan_licenses
+    docs = docs_of([(1, "All rights reserved.\n" * 100_000), (2, "All rights reserved.\nReleased under the MIT License.\n" * 50_000)])
+    at = time.time()
+    assert {(r.doc_id, r.license, r.n_sentences) for r in scan_licenses(docs).collect()} == {(1, "proprietary", 100_000), (2, "MIT", 100_000)}
+    assert time.time() - at < 120
