@@ -214,10 +214,11 @@ FOUND = "doc_id long, item_id long, edits int, start long, end long"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
-               item_id: str = "item_id", max_ratio: float = 0.1, typical_ratio: float = 0.05, recall: float = 0.95) -> DataFrame:
+               item_id: str = "item_id", max_ratio: float = 0.1, typical_ratio: float | None = None, recall: float = 0.98) -> DataFrame:
     """A row per row of ``docs`` and item in it: ``doc_id, item_id, edits, start, end`` of the best passage
     (code points, end exclusive), at most ``max_ratio`` edits per byte of the item, letter case and kind
-    of white space aside.
+    of white space aside.  Windows are tried so often that an item with ``typical_ratio`` edits per byte (by default
+    ``max_ratio``, the most that are accepted) is met with a chance of ``recall``.
 
     Null and empty texts and items match nothing; null ids stay null; repeated rows repeat; empty
     tables give an empty result."""
@@ -228,7 +229,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     out = spark.createDataFrame([], FOUND)
     for block in blocks(items, item_text, item_id):
-        shared = spark.sparkContext.broadcast(Index(block, max_ratio, typical_ratio, recall))
+        shared = spark.sparkContext.broadcast(Index(block, max_ratio, max_ratio if typical_ratio is None else typical_ratio, recall))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 4 << 20):
@@ -245,12 +246,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
-               max_ratio: float = 0.1, typical_ratio: float = 0.05, recall: float = 0.95) -> DataFrame:
+               max_ratio: float = 0.1, typical_ratio: float | None = None, recall: float = 0.98) -> DataFrame:
     """``docs`` without the rows in which :func:`find_leaks` finds an item; all columns stay."""
     spark = docs.sparkSession
     bounded_batches(spark)
     for block in blocks(items, item_text, item_id):
-        shared = spark.sparkContext.broadcast(Index(block, max_ratio, typical_ratio, recall))
+        shared = spark.sparkContext.broadcast(Index(block, max_ratio, max_ratio if typical_ratio is None else typical_ratio, recall))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text, 4 << 20):

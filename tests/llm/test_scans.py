@@ -107,6 +107,23 @@ def test_decontamination(spark, docs_of):
     assert best_passage(b"abcdefghij", b"xxabcdXfghijyy", 2, 1)[0] == 1
 
 
+@pytest.mark.parametrize("ratio", [0.05, 0.1])
+def test_recall_of_edited_items_by_size(ratio):
+    """Up to the last edit that is accepted, for short items and long ones."""
+    import numpy as np
+    from tallyspark.llm.decontaminate import Index, find_items
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    say = lambda size: " ".join(rng.choice(words) for _ in range(size // 3 + 2))[:size]
+    for size in (16, 64, 80, 100, 140, 200):
+        items = [(i, say(size).encode()) for i in range(150)]
+        index, hits = Index(items, 0.1, 0.1, 0.98), 0
+        for i, t in items:
+            body = np.frombuffer(f"{say(100)} {edit(rng, t.decode(), ratio)} {say(100)}".encode(), np.uint8)
+            hits += i in {found[1] for found in find_items(index, body, np.array([0]), np.array([len(body)]))}
+        assert hits >= 0.95 * 150, (size, hits)
+
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
