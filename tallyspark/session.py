@@ -60,19 +60,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables and stream checkpoints.
 
     Uses ``spark.checkpoint.dir`` as configured for the cluster.  Only when it is
-    unset *and* the session is local (tests, the bench) do we create one.
+    unset *and* the session is local (tests, the bench) do we create one, once per application
+    (the setting itself cannot be changed in a running session).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
-        d = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        d = _own_roots.get(app) or tempfile.mkdtemp(prefix="tallyspark-ckpt-")
+        _own_roots[app] = d
     spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 

@@ -13,9 +13,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tallyspark.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests own their scratch folder
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyspark-tests-"))
+    # tests own their scratch folder
+    s = build_session(master="local[*]", shuffle_partitions=8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tallyspark-tests-")})
     yield s
 
 
