@@ -38,7 +38,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Further hubs are drawn while the pairs across components might be so many times their members; so many a shingle, turn by turn.
-PAIRS_A_ROW, HUBS = 4, (4, 16, 64, 256)
+PAIRS_A_ROW, HUBS = 4, (8, 128)
 VERIFY_BYTES = 16 << 20  # of an Arrow batch of pairs of sets
 BUCKET_BITS, BLOCK_BITS, FAN = 22, 16, 64
 SLICE_BYTES = 2 << 20  # a slice's hashes take some 30 times its bytes
