@@ -105,11 +105,10 @@ def test_join_crosses_components(docs_of):
     assert sorted(map(tuple, got), key=str) == join_brute(chain)
 
 
-@pytest.mark.parametrize("few", [4, 10 ** 9])
-def test_join_template_group(docs_of, few, monkeypatch):
-    """One large group whose members have 2 to 20 % shingles of their own: few pairs link, through further hubs or all pairs."""
+def test_join_template_group(docs_of, monkeypatch):
+    """One large group whose members have 2 to 20 % shingles of their own: few pairs link, some of them through further hubs."""
     from tallyspark.llm import ngram_join as J
-    monkeypatch.setattr(J, "PAIRS_A_ROW", few / 100)
+    monkeypatch.setattr(J, "PAIRS_A_ROW", 0.01)
     monkeypatch.setattr(J, "HUBS", (2, 8))
     rng = random.Random(17)
     base = [f"t{i}" for i in range(120)]

@@ -74,12 +74,12 @@ def test_compression_equals_hashlib():
 def test_against_brute_force_on_many_shapes(spark):
     rng = random.Random(7)
     rows = []
-    for k, n in enumerate([1, 2, 3, 4, 9, 10, 27, 28, 82, 250]):  # the tiers of height 2 hold 9 nodes
+    for k, n in enumerate([1, 2, 3, 4, 9, 10, 27, 28, 82, 250]):  # the blocks of height 3 hold 27 nodes
         rows += [(len(rows) + i * 7, f"s{k}", "en", i, "\n".join("ab"[: rng.randint(0, 2)] for _ in range(4))) for i in range(n)]
     rows += [(5000 + i, None, None, None, None) for i in range(5)] + [(6000 + i, "", "", 0, "") for i in range(4)]
     rows += [(6100, "é" * 3, "ü", 4, "line\n" * 20_000)]
     rng.shuffle(rows)
-    assert by_key(found(spark, rows, 2)) == by_key(brute(rows))
+    assert by_key(found(spark, rows, 3)) == by_key(brute(rows))
 
 
 def test_nulls_ties_and_repeated_rows(spark):
