@@ -160,10 +160,10 @@ def meet(sampled: DataFrame, least: int) -> DataFrame:
             copy = ~mine & ~done
             left = mine & ~done & several[group]
             if copy.any():
-                p, s = place[copy], shape[copy]
-                yield pa.record_batch([pa.array(gram[copy]), pa.array(doc[copy]), pa.array(row[copy]), pa.array(p.astype(np.int32)),
-                                       pa.array(s.astype(np.int32)), pa.array((p - s // 64).astype(np.int32)),
-                                       pa.array((p - s % 64 + least).astype(np.int32))], ["gram", "doc", "row", "place", "shape", "start", "end"])
+                p, s, n = place[copy], shape[copy], int(copy.sum())  # of a copy, only what it covers is needed later
+                yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(row[copy]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                                       pa.array((p - s // 64).astype(np.int32)), pa.array((p - s % 64 + least).astype(np.int32))],
+                                      ["gram", "doc", "row", "place", "shape", "start", "end"])
             if left.any():
                 none = pa.nulls(int(left.sum()), pa.int32())
                 yield pa.record_batch([*(pa.array(x[left]) for x in (gram, doc, row)), pa.array(place[left].astype(np.int32)),
