@@ -40,7 +40,9 @@ MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 MASK = (1 << 64) - 1
 #: Occurrences of a block; agendas run side by side; binary digits of the dropout; draws in a number.
-TOGETHER, ABREAST, DIGITS, DRAWS = 1 << 19, 1 << 13, 24, 64
+TOGETHER, ABREAST, DIGITS, DRAWS = 1 << 18, 1 << 13, 24, 64
+#: Rows and bytes of text of a batch: a text has about a piece id of four bytes per two bytes, held by a task four times over.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 NO_RANK, SHORT = 1 << 30, 96
 #: Most characters of a word in the width classes of the arrays.
 WIDTHS = (6, 9, 12, 16, 24, 40)
@@ -438,7 +440,7 @@ def encode_documents(docs: DataFrame, text: str = "text", salt: str = "doc_id",
 
     Draws are keyed by ``seed``, the hash of ``salt`` and the place in the text; equal texts of one salt
     have equal ids.  A null or empty text has no ids; repeated rows repeat; an empty table stays empty."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_ROWS)
     own = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.col(f"`{salt}`")).alias("__key"),
                        F.col(f"`{text}`").cast("string").alias("__text"))
@@ -447,17 +449,18 @@ def encode_documents(docs: DataFrame, text: str = "text", salt: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model, seed, dropout)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", BATCH_BYTES):
             ids = _id_lists(*coder.encode_column(batch.column("__text"), batch.column("__key").to_numpy().astype(U64)))
             yield pa.record_batch([*(batch.column(i) for i in range(len(own))), ids], names)
 
     return rows.mapInArrow(run, schema)
 
 
-def decode_documents(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with ``decoded`` in the place of the piece ids; null ids give an empty text."""
-    own = [c for c in docs.columns if c not in (ids, "decoded")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{ids}`").alias("__ids"))
+def decode_documents(docs: DataFrame, ids: str = "ids", model: str = MODEL, keep: bool = False) -> DataFrame:
+    """``docs`` with ``decoded`` in the place of the piece ids (``keep``: beside them); null ids give an empty text."""
+    bounded_batches(docs.sparkSession, BATCH_ROWS)
+    own = [c for c in docs.columns if c != "decoded" and (keep or c != ids)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *([] if keep else [F.col(f"`{ids}`")]))
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("decoded", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +469,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> D
         at = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            lists = batch.column("__ids")
+            lists = batch.column(ids)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             counts = np.array([len(x) if x.is_valid else 0 for x in lists]) if lists.null_count else np.diff(lists.offsets.to_numpy())
             out, start = [], 0

@@ -38,8 +38,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what decoding them gives."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = merge_dropout.encode_documents(docs).withColumn("pieces", F.col("ids"))
-    return merge_dropout.decode_documents(encoded, "pieces").select(
+    return merge_dropout.decode_documents(merge_dropout.encode_documents(docs), keep=True).select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
