@@ -9,8 +9,9 @@ label suffix of its host, no longer than the longest rule host.
 The sweep goes over points and interval ends in key order.  Its stack of open rules is kept in the
 events themselves: the event at the end of an interval carries the rule around it, found before
 from the rule's own prefixes, so that the last event at or before a point names the innermost open
-rule.  Sorting and sweeping happen per host and salt: a host with a third of all urls is swept by
-many tasks, each with a copy of that host's events.  DataFrame functions only.
+rule.  Sorting and sweeping happen per host and salt.  Urls are counted per host first: a host with more
+than a task's share of them has as many salts as shares, each with a copy of that host's events, all
+others have one.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .common import partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,12 +73,13 @@ def rule_events(rules: DataFrame) -> DataFrame:
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow",
                 salts: int | None = None) -> DataFrame:
-    """``urls`` with host, path, rule and verdict of each row (own columns of these names are replaced).
+    """``urls`` (a stored table: it is counted first) with host, path, rule and verdict of each row (own columns of these
+    names are replaced).
 
     Longest rule wins: most characters of host and path together, then the longer host; of rules
     with the same text the greater verdict (block).  No rule fits: rule null, ``default`` verdict.
     A null url, or one without ``://``, has an empty host and path.  Repeated rows are kept, an
-    empty table gives an empty result.  ``salts``: tasks over which each host is spread."""
+    empty table gives an empty result.  ``salts``: shares of all urls; a host with n of them is spread over n tasks."""
     spark = urls.sparkSession
     salts = salts or partitions(spark)
     labels = rules.agg(F.max(F.size(F.split(F.coalesce("host", F.lit("")), r"\.", -1)))).first()[0] or 1
@@ -84,13 +87,21 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     rows = urls.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), url_host(F.col(f"`{url}`")).alias("host"),
                        url_path(F.col(f"`{url}`")).alias("path")).withColumn("__id", F.monotonically_increasing_id())
     parts = F.reverse(F.split("host", r"\.", -1))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts))).withColumn("__parts", parts)
+    rows = rows.withColumn("__parts", parts)
     points = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(labels), F.size("__parts")))))
     points = points.withColumn("rhost", F.concat_ws(".", F.slice("__parts", F.lit(1), F.col("n"))))
     null_open = F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>")
+    # At most ``salts`` hosts for each number of labels hold more than a share, so their table is small at every size.
+    share = max(1, -(-urls.count() // salts))
+    hot = (points.groupBy("rhost").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+           .select("rhost", F.ceil(F.col("n") / share).alias("__salts")))
+    hot = F.broadcast(stage_table(hot, "url-hosts"))
+    points = points.join(hot, "rhost", "left")
+    points = points.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.coalesce("__salts", F.lit(1).cast("long"))))
     points = points.select("rhost", "__salt", sweep_key(F.col("rhost"), F.col("path")).alias("key"), F.lit(1).alias("kind"),
                            null_open.alias("open"), "__id", F.when(F.col("n") == 1, F.col("__row")).alias("__row"), "host", "path")
-    events = rule_events(rules).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1).cast("long")) - 1)
+    events = rule_events(rules).join(hot, "rhost", "left").withColumn("__salt", F.explode(copies)).drop("__salts")
     swept = points.unionByName(events, allowMissingColumns=True)
     # One sweep per reversed host and salt: only rules of the very same suffix lie in it.
     w = Window.partitionBy("rhost", "__salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
