@@ -2,28 +2,33 @@
 
 Payloads never move by their digest.  Only headers (record, key, digest, length) are shuffled by
 payload digest to choose the original of equal payloads; the list of revisits is joined back to the
-records by record number, which no key makes uneven.  Archives are written with Spark's text writer
-(a record is UTF-8 text, the two line ends after it are the writer's separator), gzip compressed, in
-files of a bounded number of records; they are read with Spark's binary file reader, so any store
-that Spark can reach will do.
+records by record number, which no key makes uneven.  Every record is a gzip member of its own, so an
+archive can be read from any record on.  Tasks join members until an archive is full (by bytes), and
+Spark's text writer stores each archive as a file of one row; they are read with Spark's binary file
+reader, so any store that Spark can reach will do.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import batch_rows, stage_table
+from ..session import batch_rows, settings, stage_table
 
 #: Fixed values of the WARC format.
 VERSION, RESPONSE, REVISIT = "WARC/1.1", "response", "revisit"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+#: An empty gzip member ends each archive.  Its last byte is zero: the text writer adds that one as its separator.
+ZERO = "\u0000"
 
 RECORD = "record_id string, key string, type string, uri string, refers_to string, digest string, payload binary"
 
@@ -47,11 +52,29 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
 
-def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 5000) -> None:
+def record_urn(run: str, record: Column) -> Column:
+    """The id of a record: a UUID from the name of the run and the record's number, the same when a task is run again."""
+    h = F.md5(F.concat(F.lit(run + ":"), record.cast("string")))
+    cuts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)),
+            F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    return F.when(record.isNotNull(), F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">")))
+
+
+def member(content: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
+
+
+def write_archives(records: DataFrame, path: str, date: str | None = None, run: str | None = None,
+                   file_bytes: int = 32 << 20) -> None:
     """Writes ``record, key, uri, digest, payload (string), original`` as WARC files under ``path``.
 
     ``original`` null: a response with the whole payload; else a revisit of that record without it.
-    A null payload is an empty one; a null key or uri has no header."""
+    A null payload is an empty one; a null key or uri has no header.  ``date``: WARC-Date of all records (now);
+    ``run``: a name from which record ids are made (a new one).  A file is closed when it has ``file_bytes``
+    (compressed); a longer record stands in one file with what was open."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    run = run or uuid.uuid4().hex
     is_revisit = F.col("original").isNotNull()
     payload = F.coalesce("payload", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -59,16 +82,34 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
     block = F.when(is_revisit, http).otherwise(F.concat(http, payload))
     head = F.concat(
         F.lit(f"{VERSION}\r\n"), _line("WARC-Type", F.when(is_revisit, REVISIT).otherwise(RESPONSE)),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record").cast("string"), F.lit(">"))),
+        _line("WARC-Record-ID", record_urn(run, F.col("record"))),
         _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri").cast("string")),
         _line("WARC-Page-Key", F.col("key").cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _line("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("original").cast("string"), F.lit(">"))),
+        _line("WARC-Refers-To", record_urn(run, F.col("original"))),
         _line("WARC-Profile", F.when(is_revisit, SAME_PAYLOAD)),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"))
-    (records.withColumn("payload", payload).withColumn("block", block).select(F.concat(head, "block").alias("value"))
-     .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
+    values = records.withColumn("payload", payload).withColumn("block", block).select(F.concat(head, "block", F.lit(END)).alias("value"))
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([b"".join([*members, member(b"")[:-1]])], pa.binary())], ["value"])
+
+        members, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                members.append(member(value.as_buffer()))
+                size += len(members[-1])
+                if size >= file_bytes:
+                    yield close()
+                    members, size = [], 0
+        if members:
+            yield close()
+
+    with settings(records.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}):
+        (values.mapInArrow(archives, "value binary").select(F.col("value").cast("string"))
+         .write.option("lineSep", ZERO).option("maxRecordsPerFile", 1).text(path))
 
 
 def _bare(value: str | None) -> str | None:
@@ -139,7 +180,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def archive_table(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html",
-                  min_bytes: int = 100, records_per_file: int = 5000) -> DataFrame:
+                  min_bytes: int = 100, file_bytes: int = 32 << 20) -> DataFrame:
     """Writes a record per row of ``pages`` (a stored table: row numbers are those of the scan) under
     ``path``, revisits for copies, and gives what :func:`resolve` finds in the archives read back."""
     text = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
@@ -149,6 +190,6 @@ def archive_table(pages: DataFrame, path: str, key: str = "page_id", uri: str =
     copies = revisits(rows.select("record", "key", "digest", F.octet_length("payload").alias("payload_bytes")), min_bytes)
     copies = copies.select(F.col("record").alias("copy"), "original")
     records = rows.join(copies, F.col("record") == F.col("copy"), "left")
-    write_archives(records, path, records_per_file=records_per_file)
+    write_archives(records, path, file_bytes=file_bytes)
     with batch_rows(pages.sparkSession, 1):
         return resolve(read_archives(pages.sparkSession, path))

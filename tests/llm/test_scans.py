@@ -1,8 +1,11 @@
 """Scans, filters, tokenisation and archives against brute force, round trips and held-out labels."""
 
+import gzip
 import hashlib
 import random
 import re
+import uuid
+import zlib
 
 import pytest
 
@@ -169,7 +172,7 @@ def test_warc(spark, tmp_path):
     pages = [(3, "http://a/", big), (1, "http://b/\r\nX: y", big), (1, "http://b/", big), (None, None, big), (7, "u", "short"), (8, "u", "short"),
              (9, None, None), (10, "u", html), (11, "u", html), (12, "u", ""), (13, "v", "z" * 300_000)]
     table = stage_table(spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, record int, digest string"), "pages")
-    got = warc.archive_table(table, str(tmp_path / "w"), records_per_file=3).collect()
+    got = warc.archive_table(table, str(tmp_path / "w"), file_bytes=400).collect()
     size = {hashlib.sha256(h.encode()).hexdigest(): len(h.encode()) for h in {p[2] or "" for p in pages}}
     assert all(size[r.payload_digest] == r.payload_bytes for r in got)
     assert sorted((str(r.key), r.record_type, str(r.refers_to)) for r in got) == sorted([
@@ -181,6 +184,21 @@ def test_warc(spark, tmp_path):
     by_key = {r.key: r for r in records if r.type == "response"}
     assert bytes(by_key["10"].payload).decode() == html and by_key["10"].digest == hashlib.sha256(html.encode()).hexdigest()
     assert all(bytes(r.payload) == b"" for r in records if r.type == "revisit")
+    ids = [r.record_id for r in records]
+    assert len(set(ids)) == len(pages) and all(str(uuid.UUID(i.removeprefix("urn:uuid:"))) == i.removeprefix("urn:uuid:") for i in ids)
+    members, files = 0, [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    for content in files:
+        gzip.decompress(content)
+        while content:  # each member is a whole record, the last one is empty
+            reader = zlib.decompressobj(31)
+            record, content = reader.decompress(content), reader.unused_data
+            assert reader.eof and (record.startswith(b"WARC/1.1") and record.endswith(b"\r\n\r\n") if content else record == b"")
+            members += bool(record)
+    assert members == len(pages) and len(files) > 2
+    warc.archive_table(table, str(tmp_path / "again"), file_bytes=1 << 20).count()
+    with batch_rows(spark, 1):
+        again = {r.record_id for r in warc.read_archives(spark, str(tmp_path / "again")).collect()}
+    assert not again & set(ids)
     assert warc.archive_table(table.limit(0), str(tmp_path / "none")).count() == 0
 
 
@@ -258,7 +276,7 @@ def url_brute(url, rules):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("salts", [1, 7])
+@pytest.mark.parametrize("salts", [1, 7, 60])
 def test_url_rules(spark, salts):
     from tallyspark.llm.url_rules import filter_urls
     rng = random.Random(9)
