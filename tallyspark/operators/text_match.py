@@ -7,6 +7,7 @@ bucket and reach as far as the longest probe with an anchor of that length; piec
 a position of a text is looked at once per anchor length, and short probes (a single character, say) open
 only pieces of their own length.  The automaton reads a piece once, however many probes it holds.
 
+Most probes occur nowhere: those whose anchor is in no text go first, by a join of the anchors of both sides.
 Known anchors are a bitmap of a fixed size: a full one lets more pieces through, no fewer.  A bucket that many texts
 reach is spread over salts, each with a copy of the bucket's (bounded) probes.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -51,22 +53,30 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def with_buckets(probes: DataFrame, buckets: int) -> DataFrame:
-    """``probes`` (with ``probe``, at least one character) and ``kind`` (number of the anchor length), ``slot, bucket``."""
+def _number(hashes: np.ndarray) -> np.ndarray:
+    """A hash as one of Spark's (signed) numbers, not negative."""
+    return (hashes >> np.uint64(1)).astype(np.int64)
+
+
+def with_anchors(probes: DataFrame) -> DataFrame:
+    """``probes`` (with ``probe``, at least one character) and ``kind`` (number of the anchor length), ``slot, anchor``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("probe").to_pylist()
             kind = np.searchsorted(ANCHORS, [len(t) for t in texts], "right") - 1
-            first = np.array([_anchor_hashes(_codes(t[: ANCHORS[k]]), ANCHORS[k])[0] for t, k in zip(texts, kind)], np.uint64)
-            yield pa.record_batch([*batch.columns, pa.array(kind.astype(np.int32)), pa.array(_slot(first)),
-                                   pa.array((first % np.uint64(buckets)).astype(np.int64))], [*batch.schema.names, "kind", "slot", "bucket"])
-
-    schema = StructType([*probes.schema.fields, *StructType.fromDDL("kind int, slot long, bucket long").fields])
+            first = np.zeros(len(texts), np.uint64)
+            for k in np.unique(kind).tolist():
+                at, length = np.flatnonzero(kind == k), ANCHORS[k]
+                first[at] = _anchor_hashes(_codes("".join(texts[i][:length] for i in at)), length)[::length]
+            yield pa.record_batch([*batch.columns, pa.array(kind.astype(np.int32)), pa.array(_slot(first)), pa.array(_number(first))],
+                                  [*batch.schema.names, "kind", "slot", "anchor"])
+
+    schema = StructType([*probes.schema.fields, *StructType.fromDDL("kind int, slot long, anchor long").fields])
     return probes.mapInArrow(run, schema)
 
 
-def text_pieces(texts: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
-    """``id, bucket, chars, pieces`` of texts (``id, text``) that have an anchor of the bucket's probes."""
+def _known(probes: DataFrame) -> Broadcast:
+    """By anchor length the bitmap of the probes' anchors and the length of the longest probe."""
     by_kind = F.expr(f"slot div {BITMAP}").alias("part")
     known = probes.groupBy("kind", by_kind).agg(F.bitmap_construct_agg(F.expr(f"slot % {BITMAP}")).alias("bits"), F.max(F.length("probe")).alias("reach"))
     bits = {k: bytearray(1 << SLOT_BITS >> 3) for k in range(len(ANCHORS))}
@@ -75,27 +85,55 @@ def text_pieces(texts: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
         at = r["part"] * BITMAP >> 3
         bits[r["kind"]][at: at + (BITMAP >> 3)] = r["bits"]
         reach[r["kind"]] = max(reach[r["kind"]], r["reach"])
-    shared = texts.sparkSession.sparkContext.broadcast({k: (bytes(b), reach[k]) for k, b in bits.items() if reach[k]})
+    return probes.sparkSession.sparkContext.broadcast({k: (bytes(b), reach[k]) for k, b in bits.items() if reach[k]})
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    values, a, held = batch.column("text").to_pylist(), 0, 0
+    for i, t in enumerate(values):
+        held += len(t)
+        if held > SLICE_CHARS or i == len(values) - 1:
+            yield batch.slice(a, i + 1 - a), values[a: i + 1]
+            a, held = i + 1, 0
+
+
+def _found(codes: np.ndarray, length: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a known anchor may begin, and all places' hashes."""
+    hashes = _anchor_hashes(codes, length)
+    slot = _slot(hashes)
+    return np.flatnonzero(np.frombuffer(packed, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1), hashes
+
 
-    def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-        values, a, held = batch.column("text").to_pylist(), 0, 0
-        for i, t in enumerate(values):
-            held += len(t)
-            if held > SLICE_CHARS or i == len(values) - 1:
-                yield batch.slice(a, i + 1 - a), values[a: i + 1]
-                a, held = i + 1, 0
+def met_probes(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """The ``probes`` (of :func:`with_anchors`) whose anchor is in one of the texts (``id, text``)."""
+    shared = _known(probes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values in _slices(batch):
+                codes = _codes("".join(values))
+                for kind, (packed, _) in shared.value.items():
+                    at, hashes = _found(codes, ANCHORS[kind], packed)
+                    numbers = np.unique(_number(hashes[at]))
+                    if len(numbers):
+                        yield pa.record_batch([pa.array(np.full(len(numbers), kind, np.int32)), pa.array(numbers)], ["kind", "anchor"])
+
+    return probes.join(texts.select("text").mapInArrow(run, "kind int, anchor long").distinct(), ["kind", "anchor"], "left_semi")
+
+
+def text_pieces(texts: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
+    """``id, bucket, chars, pieces`` of texts (``id, text``) that have an anchor of the bucket's probes."""
+    shared = _known(probes)
 
     def intervals(joined: str, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, bucket, begin, end) of the pieces of texts that stand one after the other, joined where they touch."""
         codes, found = _codes(joined), []
         for kind, (packed, far) in shared.value.items():
-            hashes = _anchor_hashes(codes, ANCHORS[kind])
-            slot = _slot(hashes)
-            at = np.flatnonzero(np.frombuffer(packed, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            at, hashes = _found(codes, ANCHORS[kind], packed)
             text = np.searchsorted(ends, at, "right")
             inside = at < ends[-1] if len(ends) else np.zeros(len(at), bool)
             at, text = at[inside], text[inside]
-            found.append((text, (hashes[at] % np.uint64(buckets)).astype(np.int64), at, np.minimum(at + far, ends[text])))
+            found.append((text, _number(hashes[at]) % buckets, at, np.minimum(at + far, ends[text])))
         text, bucket, begin, end = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((begin, bucket, text))
         text, bucket, begin, end = text[order], bucket[order], begin[order], end[order]
@@ -111,7 +149,7 @@ def text_pieces(texts: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, values in slices(batch):
+            for part, values in _slices(batch):
                 joined = "".join(values)
                 text, bucket, begin, end = intervals(joined, np.cumsum([len(t) for t in values]))
                 if not len(text):
@@ -166,10 +204,14 @@ def best_probe(texts: DataFrame, probes: DataFrame, per_automaton: int = PROBES,
     """``id, value``: for every text (``id, text``; null is empty) that contains a probe, the least ``value`` (a struct)
     of the probes (``probe, value``; distinct, not empty) in it.  ``probes`` has to be a stored table."""
     spark = texts.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), probes.count() // per_automaton + 1)
-    placed = stage_table(with_buckets(probes, buckets), "probes")
+    texts = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    anchored = stage_table(with_anchors(probes), "anchored-probes")
+    with batch_rows(spark, 2000):
+        met = stage_table(met_probes(texts, anchored), "met-probes")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), met.count() // per_automaton + 1)
+    placed = met.withColumn("bucket", F.col("anchor") % buckets)
     with batch_rows(spark, 2000):
-        pieces = stage_table(text_pieces(texts.select("id", F.coalesce("text", F.lit("")).alias("text")), placed, buckets), "pieces")
+        pieces = stage_table(text_pieces(texts, placed, buckets), "pieces")
     of = F.ceil(F.col("n") / F.lit(per_automaton)).cast("int")
     chunks = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", of.alias("chunks"))
     salts = pieces.groupBy("bucket").agg(F.ceil(F.sum("chars") / F.lit(piece_chars)).cast("int").alias("salts"))

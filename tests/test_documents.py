@@ -49,6 +49,28 @@ def test_match_against_brute_force(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_probes_that_no_text_can_hold_are_left_out(spark):
+    from tallyspark.operators import text_match as T
+    probes = spark.createDataFrame([(f"PROBE{i:06d}", i) for i in range(500)] + [("Q", 500), ("\u20b9\u20b9", 501), ("ABCDEFGH", 502)], "probe string, value long")
+    texts = spark.createDataFrame([(1, "xxPROBE00"), (2, "say PROBE000499"), (3, "Q"), (4, ""), (5, "ABCDEFG")], "id long, text string")
+    met = {r["value"] for r in T.met_probes(texts, T.with_anchors(probes)).collect()}
+    assert met == {*range(500), 500}   # all of them begin with PROBE000, which one text holds
+    met = {r["value"] for r in T.met_probes(texts.where("id <> 2"), T.with_anchors(probes)).collect()}
+    assert met == {500}
+
+
+def test_fixtures_shuffle_the_lines_once(spark):
+    from conftest import SF_SMALL
+    from tallyspark.plans import fixtures as FX
+    from tallyspark.session import settings
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = FX.ledger(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert not [x for x in dealt if "l_suppkey" in x.split("),")[0] and "l_orderkey" in x.split("),")[0]] and len(dealt) <= 7
+    both = FX.snapshot_pair(spark, SF_SMALL)
+    assert not any("lineitem" in f for df in both for f in df.inputFiles())
+
+
 def test_extract_fields_traps(spark):
     text = "Invoice No: INV-7\nGrand Total: ₹ 1,250.00\nTotal: 1,250\nDue Date: 05/02/2024\nDate: 01/01/2024"
     r = DOC.extract_document_fields(spark.createDataFrame([(text,)], "text string")).first()
