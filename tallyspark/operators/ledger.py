@@ -154,8 +154,9 @@ def evolve_schema(df: DataFrame, columns: dict[str, tuple[str, object]]) -> Data
 
 
 def persist(df: DataFrame, path: str, partition_by: str | None = "run_date") -> DataFrame:
-    """Write a whole table as Parquet (partitions that ``df`` does not have go) and return it read back."""
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    """Write a whole table as Parquet (partitions that ``df`` does not have go) and return it read back.  A task sorts
+    some of a partition's rows only, whatever the table's size."""
+    w = (df.hint("rebalance", partition_by) if partition_by else df).write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)

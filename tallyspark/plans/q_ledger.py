@@ -95,7 +95,7 @@ def purge_archived(spark, sf):
               ("invoice_snapshots", FX.history(spark, sf), "run_date"))
     for name, rows, by in tables:
         stored = VersionedTable(spark, scratch_path(spark, name), by)
-        before = stored.replace(rows)
+        before = stored.replace(rows.hint("rebalance", by))  # bounded tasks, whatever the table's size
         old = F.col(by) < F.lit(CUTOFF).cast("date")
         stored.change(lambda df: L.archive_before(df, CUTOFF, ARCHIVE_AS_OF, by), old)
         after = stored.change(lambda df: L.purge_archived(df, PURGE_AS_OF), old)
