@@ -1,11 +1,10 @@
 """ZIP archives as a write-only Spark Python Data Source (``df.write.format("ziparchive")``):
-each task packs its partition's ``(name, content)`` rows into one archive in the
+each task packs its partition's ``(name, content)`` rows into archives of some ``ARCHIVE_BYTES`` of content in the
 target folder (a shared, mounted path on a cluster).  Reading is
 ``sources.files.explode_archives`` (``binaryFile`` + stdlib ``zipfile``)."""
 
 from __future__ import annotations
 
-import io
 import os
 import uuid
 import zipfile
@@ -13,6 +12,9 @@ import zipfile
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+ARCHIVE_BYTES = 32 << 20  # content after which a task begins its next archive
+
+
 class ZipArchiveDataSource(DataSource):
     @classmethod
     def name(cls):
@@ -28,18 +30,22 @@ class ZipWriter(DataSourceWriter):
 
     def write(self, iterator):
         from pyspark import TaskContext
-        buf, n = io.BytesIO(), 0
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for row in iterator:
-                data = row["content"]
-                z.writestr(row["name"], data.encode("utf-8") if isinstance(data, str) else bytes(data))
-                n += 1
-        if n:
-            os.makedirs(self.path, exist_ok=True)
-            pid = TaskContext.get().partitionId()
-            tmp = os.path.join(self.path, f".archive-{pid:05d}-{uuid.uuid4().hex}.tmp")
-            with open(tmp, "wb") as f:
-                f.write(buf.getvalue())
+        os.makedirs(self.path, exist_ok=True)
+        pid, done, z, held = TaskContext.get().partitionId(), [], None, 0
+        for row in iterator:
+            if z is None:
+                done.append(os.path.join(self.path, f".archive-{pid:05d}-{uuid.uuid4().hex}.tmp"))
+                z, held = zipfile.ZipFile(done[-1], "w", zipfile.ZIP_DEFLATED), 0
+            data = row["content"]
+            data = data.encode("utf-8") if isinstance(data, str) else bytes(data)
+            z.writestr(row["name"], data)
+            held += len(data)
+            if held >= ARCHIVE_BYTES:
+                z.close()
+                z = None
+        if z is not None:
+            z.close()
+        for tmp in done:  # all of them are whole
             os.replace(tmp, tmp.replace(".tmp", ".zip").replace("/.archive-", "/archive-"))
         return WriterCommitMessage()
 
