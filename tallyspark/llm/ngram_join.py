@@ -10,8 +10,8 @@ of the shingles, rare ones first; of two sets with Jaccard similarity t or more
    one member goes on.
 2. A second pass gives the prefixes; in a slice of texts an equal set is given once.
 3. Prefix shingles with two classes or more make candidates.  First every class is tried with one hub
-   of each of its shingles; pairs that verify are contracted to components.  While a shingle's components leave
-   many more pairs than members, further hubs are drawn, turn by turn more of them, and contracted: a group of
+   of each of its shingles; pairs that verify are contracted to components.  While some shingles' components leave
+   many more pairs than members, further hubs of these are drawn, turn by turn more of them, and contracted: a group of
    near copies comes together in a few turns, each with some pairs per member.  Then the pairs across components that are left
    are tried, from every class outside the shingle's largest component to all others.
    Pairs within a component cannot change the result and are not made.
@@ -22,6 +22,7 @@ of the shingles, rare ones first; of two sets with Jaccard similarity t or more
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -249,19 +250,24 @@ def _passes(percent: int):
 
 
 def _open(meeting: DataFrame, labels: DataFrame) -> DataFrame:
-    """``token, rep, n, pos, comp, main`` of the shingles that more than one component has; main: the largest one."""
+    """``token, rep, n, pos, comp, main, size, outside`` of the shingles that more than one component has; main: the largest
+    one; size: the shingle's members, and those outside of it."""
     labelled = meeting.select("token", "rep", "n", "pos").join(labels, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp"))
-    per = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    top = per.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return stage_table(labelled.join(stage_table(top.select("token", "main"), "join-top"), "token"), "join-mixed")
+    labelled = stage_table(labelled.select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp")), "join-labelled")
+    per = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"))
+    top = per.groupBy("token").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"),
+                                   F.sum("members").alias("size"), (F.sum("members") - F.max("members")).alias("outside")).where("comps > 1")
+    return stage_table(labelled.join(stage_table(top.drop("comps"), "join-top"), "token"), "join-mixed")
 
 
-def _many(opened: DataFrame) -> bool:
-    """Whether all pairs across components might be many more than the rows that they come from."""
-    sizes = opened.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("outside"))
-    pairs, rows = sizes.agg(F.sum(F.col("size").cast("double") * F.col("outside")), F.sum("size")).first()
-    return bool(rows) and pairs > PAIRS_A_ROW * rows
+def _many(opened: DataFrame) -> DataFrame:
+    """The rows of shingles whose pairs across components might be many more than their members."""
+    return opened.where(F.col("outside") > PAIRS_A_ROW)
+
+
+def _pairs_of(opened: DataFrame) -> int:
+    """The pairs across components that there might be, for each row one with every member outside."""
+    return opened.agg(F.sum("outside")).first()[0] or 0
 
 
 def _named(members: DataFrame) -> DataFrame:
@@ -277,9 +283,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, condition) -> DataFr
 def _to_hubs(opened: DataFrame, hubs: int, percent: int) -> DataFrame:
     """The pairs of about ``hubs`` members of each shingle with the members of other components.  Members are drawn by their
     hash, so that the shingles of a group draw the same ones."""
-    sizes = stage_table(opened.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
     draw = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = _named(opened.join(sizes, "token").where(draw * F.col("size") < hubs))
+    chosen = _named(opened.where(draw * F.col("size") < hubs))
     return _pairs(opened, stage_table(chosen, "join-hubs"), percent, F.lit(True))
 
 
@@ -288,6 +293,13 @@ def _across(opened: DataFrame, percent: int) -> DataFrame:
     return _pairs(opened, _named(opened.where("comp <> main")), percent, (F.col("comp") == F.col("main")) | (F.col("rep") < F.col("h_rep")))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members no component holds both of."""
+    a, b = (labels.select(F.col("node").alias(f"{s}_node"), F.col("label").alias(f"{s}_label")) for s in "ab")
+    named = pairs.join(a, F.col("a") == F.col("a_node"), "left").join(b, F.col("b") == F.col("b_node"), "left")
+    return named.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
 
@@ -324,16 +336,21 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     opened = _open(meeting, labels)
     texts = stage_table(rows.join(opened.select(F.col("rep").alias("o_rep")).distinct(), F.col("row") == F.col("o_rep"), "left_semi"), "join-open-texts")
     again = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))  # a hub is the smaller of its pairs
+    enough, left = PAIRS_A_ROW * opened.count(), [opened.where(F.col("outside") <= PAIRS_A_ROW)]
+    opened = _many(opened)
     for hubs_now in HUBS:
-        if not _many(opened):
+        if _pairs_of(opened) <= enough:
             break
+        # Only these shingles are looked at again: the others' rows are as many as before, their pairs in proportion to them.
         near = stage_table(_untried(_to_hubs(opened, hubs_now, percent), again), "join-near")
         links = verify(near, texts, width, percent)
         again = again.union(near)
         labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
                             .union(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         opened = _open(opened, labels)
-    across = stage_table(_untried(_across(opened, percent), again), "join-across")
+    across = reduce(DataFrame.union, [_across(some, percent) for some in (*left, opened)]).distinct()
+    # the shingles of few pairs still have the components from before the turns
+    across = stage_table(_untried(_apart(across, labels), again), "join-across")
     more = verify(across, texts, width, percent)
     labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
                         .union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -122,6 +122,30 @@ def test_join_template_group(docs_of, monkeypatch):
     assert sorted(map(tuple, got), key=str) == join_brute(group)
 
 
+def test_join_turns_leave_shingles_of_few_pairs(docs_of, monkeypatch):
+    """Lines that three texts have are not dealt out again in each turn that a large group needs."""
+    from tallyspark.llm import ngram_join as J
+    rng = random.Random(23)
+    base, own = [f"t{i}" for i in range(100)], lambda n: [f"o{rng.randrange(10 ** 9)}" for _ in range(n)]
+    group = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(0, 100, 8), 4):
+            w[j] = f"x{i}y{j}"
+        group.append((i, " ".join(w)))
+    for i in range(40):
+        line = own(30)
+        group += [(1000 + 3 * i + j, " ".join(line + own(8 + 4 * j))) for j in range(3)]
+    seen, opens = [], J._open
+    monkeypatch.setattr(J, "_open", lambda meeting, labels: (seen.append(meeting), opens(meeting, labels))[1])
+    monkeypatch.setattr(J, "PAIRS_A_ROW", 3)
+    monkeypatch.setattr(J, "HUBS", (2,))
+    got = J.link_components(docs_of(group)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == join_brute(group)
+    assert len(seen) > 1
+    assert all(min(r[0] for r in m.groupBy("token").count().select("count").collect()) > 3 for m in seen[1:])
+
+
 def test_join_drop(docs_of, near_pairs):
     from tallyspark.llm.ngram_join import drop_linked, link_components
     docs = docs_of(near_pairs + edge_pairs()[:3])
