@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions import constants as K
 from ..functions import exprs as X
@@ -56,8 +56,12 @@ def snapshot_diff(current: DataFrame, previous: DataFrame, key: str | None = Non
     cur_k = key_present([key])
     cur, prev = current.where(cur_k), previous.where(cur_k)
 
+    # whole numbers on both sides are equal, and in the same order, as plain text: no decimal form is made of them
+    whole = {c for c in compare if all(isinstance(df.schema[c].dataType, IntegralType) for df in (current, previous))}
+
     def side(df: DataFrame, tag: str) -> DataFrame:
-        content = F.struct(*[canonical(df, c, amounts).alias(c) for c in compare], F.lit("").alias("_"))
+        text = {c: F.coalesce(col(c).cast("string"), F.lit("")) if c in whole else canonical(df, c, amounts) for c in compare}
+        content = F.struct(*[text[c].alias(c) for c in compare], F.lit("").alias("_"))
         return df.select(col(key).alias("_k"), F.lit(tag).alias("_side"), col(order).alias("_o"), content.alias("_v"))
 
     both = side(cur, "c").unionByName(side(prev, "p"))

@@ -64,3 +64,16 @@ def test_previous_snapshot_is_strictly_earlier(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 5, 9, 20)], "run_date date")
     assert rows(D.previous_snapshot(df, "2024-01-09")) == [(dt.date(2024, 1, 5),)]       # T7 fixed
     assert rows(D.latest_partition(df, "2024-01-09")) == [(dt.date(2024, 1, 9),)]
+
+
+def test_whole_numbers_of_both_sides_are_compared_as_they_are(spark, capsys):
+    from tallyspark.operators.diff import snapshot_diff
+    cur = spark.createDataFrame([(1, 5, -7), (2, 9, 10), (2, 10, 9), (3, None, 0)], "k long, a long, b int")
+    prev = spark.createDataFrame([(1, 5, -7), (2, 10, 9), (3, 0, 0), (4, 1, 1)], "k long, a int, b long")
+    d = snapshot_diff(cur, prev, key="k")
+    assert sorted({(r.k, r.change_type, r.changed_columns) for r in d.collect()}) == [
+        (1, "unchanged", ""), (2, "unchanged", ""), (3, "modified", "a"), (4, "deleted", "")]
+    d.explain()
+    assert "decimal(38,18)" not in capsys.readouterr().out
+    typed = snapshot_diff(cur, prev.selectExpr("k", "string(a) AS a", "b"), key="k", amounts=["a"])  # text in the place of numbers
+    assert {r.k for r in typed.where("change_type = 'unchanged'").collect()} == {1, 2}
