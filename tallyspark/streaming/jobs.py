@@ -8,7 +8,10 @@ resumes from the checkpoint with its state and watermark intact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,46 +49,47 @@ def dedupe(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
     """Duplicate uploads are dropped: of rows with equal ``keys`` the earliest stays, and the first one that is more than
     ``delay`` later than the last one that stayed.
 
-    Rows wait in their key's state until the watermark has passed their time, then an event-time timer judges them in the
-    order of (ts, ``order``).  So the result does not depend on how rows are dealt to arrivals, as
-    long as none is later than ``lateness`` (by default ``delay``); rows that are, are dropped by the watermark.  State
-    holds the rows of that span and one time per key, and goes when neither can matter any more."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    Rows wait in the state of a window of their own time until the watermark has passed it, of a key's rows with equal times
+    the one with the least ``order``.  What is released is judged a batch at a time in the order of time, after the last row
+    of its key that stayed.  So the result does not depend on how rows are dealt to arrivals, as long as none is
+    later than ``lateness`` (by default ``delay``); rows that are, are dropped by the watermark, and so are rows without a time.
+    The last rows that stayed are kept in the checkpoint, batch by batch, and go when they can matter no more; a replayed
+    batch replaces itself.  A task holds an Arrow batch of a key's rows, however many it has."""
     span = spark.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND) AS d").first()["d"]
     micros = span.days * 86_400_000_000 + span.seconds * 1_000_000 + span.microseconds
 
-    def judge(key, batches, state: GroupState):
-        import pandas as pd
-        last, waiting = (state.get[0], list(zip(state.get[1], state.get[2], state.get[3]))) if state.exists else (None, [])
-        for pdf in batches:
-            waiting += list(zip(pdf["at"].tolist(), pdf["rank"].tolist(), pdf["row"].tolist()))
-        passed = state.getCurrentWatermarkMs() * 1000  # rows up to here can no longer come
-        waiting.sort()
-        kept, n = [], 0
-        while n < len(waiting) and waiting[n][0] <= passed:
-            at, _, row = waiting[n]
-            if last is None or at > last + micros:
-                kept.append(row)
-                last = at
-            n += 1
-        waiting = waiting[n:]
-        wake = waiting[0][0] if waiting else last + micros
-        if wake <= passed:
-            state.remove() if state.exists else None
-        else:
-            state.update((last, *(list(c) for c in zip(*waiting))) if waiting else (last, [], [], []))
-            state.setTimeoutTimestamp(-(-wake // 1000))
-        yield pd.DataFrame({"row": pd.Series(kept, dtype=object)})
+    def stay(batches):
+        last = 0
+        for rows in batches:  # by key, each in the order of time
+            keep = []
+            for first, at in zip(rows["first"].to_pylist(), rows["at"].to_pylist()):
+                keep.append(first or at > last + micros)
+                if keep[-1]:
+                    last = at
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     s = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness or delay)
     whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # to the microsecond
     rank = F.col(order).cast("string") if order else F.lit("")
-    rows = s.select("ts", *keys, F.unix_micros("ts").alias("at"), F.lpad(rank, 24, "0").alias("rank"), F.to_json(F.struct("*"), whole).alias("row"))
-    out = rows.groupBy(*keys).applyInPandasWithState(judge, "row string", "last long, at array<long>, rank array<string>, row array<string>",
-                                                     "append", GroupStateTimeout.EventTimeTimeout)
-    back = F.from_json("row", s.schema, whole).alias("r")
-    _drain(out.select(back).select("r.*").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-           .outputMode("append").trigger(availableNow=True).start())
+    rows = s.select("ts", *keys, F.struct(F.lpad(rank, 24, "0").alias("rank"), F.to_json(F.struct("*"), whole).alias("row")).alias("ranked"))
+    released = rows.groupBy(*keys, F.window("ts", "1 microsecond").alias("time")).agg(F.min("ranked").alias("ranked"))
+    released = released.select(*keys, F.unix_micros("time.start").alias("at"), "ranked.row")
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        lasts = f"{checkpoint}/lasts"
+        before = [batch.sparkSession.read.parquet(f"{lasts}/batch_id={batch_id - 1}")] if batch_id else []
+        for last in before:
+            batch = batch.unionByName(last.withColumn("row", F.lit(None).cast("string")))
+        by_time = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+        kept = batch.withColumn("first", by_time == 1)
+        kept = kept.mapInArrow(stay, kept.schema).where("row IS NOT NULL").select(F.from_json("row", s.schema, whole).alias("r"))
+        kept.select("r.*").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        kept = batch.sparkSession.read.schema(s.schema).parquet(f"{sink}/batch_id={batch_id}").select(*keys, F.unix_micros("ts").alias("at"))
+        last = reduce(DataFrame.unionByName, before, kept)
+        latest = last.agg(F.max("at")).first()[0]
+        last.where(F.col("at") + micros >= F.lit(latest)).write.mode("overwrite").parquet(f"{lasts}/batch_id={batch_id}")
+
+    _drain(released.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def daily_status(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, status: F.Column,

@@ -46,6 +46,25 @@ def test_dedupe_does_not_depend_on_the_arrivals(spark):
         assert sorted(r[0] for r in spark.read.parquet(sink).select("event_id").collect()) == sorted(want)
 
 
+def test_dedupe_judges_batches_of_rows_not_keys(spark, monkeypatch):
+    """After a released row its duplicates still go, late rows and rows without a time too; no key is a Python call of its own."""
+    states, drain = [], J._drain
+    monkeypatch.setattr(J, "_drain", lambda q: (drain(q), states.extend(x["operatorName"] for p in q.recentProgress for x in p["stateOperators"])))
+    first = [(i, M(0), i, None) for i in range(300)] + [(1000 + i, M(10), i, None) for i in range(300)]
+    drops = [[*first, (2000, M(70), 900, "b")],                      # the watermark: M(10)
+             [(3000 + i, M(59), i, None) for i in range(300)]        # within an hour of a row that was released
+             + [(4000 + i, M(61), i, None) for i in range(100)]      # later than that
+             + [(5000, M(5), 901, "late"), (5001, None, 902, "no time"), (2001, M(71), 900, "b")],
+             [(6000, M(5000), 903, "end")]]
+    src, sink, ck = scratch_path(spark, "s"), scratch_path(spark, "o"), scratch_path(spark, "c")
+    for i, drop in enumerate(drops):
+        spark.createDataFrame(drop, S).write.parquet(f"{src}/{i}")
+        J.dedupe(spark, f"{src}/*", spark.createDataFrame(drop, S).schema, sink, ck, ["user_id", "event_type"], order="event_id")
+    kept = sorted(r[0] for r in spark.read.parquet(sink).select("event_id").collect())
+    assert kept == [*range(300), 2000, *range(4000, 4100)]
+    assert set(states) == {"stateStoreSave"}
+
+
 def test_daily_windows_close_behind_watermark(spark):
     src, sink, ck = scratch_path(spark, "s"), scratch_path(spark, "o"), scratch_path(spark, "c")
     schema = spark.createDataFrame(DROPS[0], S).schema
