@@ -8,7 +8,7 @@ of the shingles, rare ones first; of two sets with Jaccard similarity t or more
    a fixed number of hashed buckets (summed as a tree; its size does not grow with the data, and any
    order is exact: the counts only make it rare-first).  Rows with equal sets form a class, of which
    one member goes on.
-2. A second pass gives the prefixes; in a slice of texts an equal set is given once.
+2. A second pass gives the prefixes; of equal sets a task gives one, or one again after many others.
 3. Prefix shingles with two classes or more make candidates.  First every class is tried with one hub
    of each of its shingles; pairs that verify are contracted to components.  While some shingles' components leave
    many more pairs than members, further hubs of these are drawn, turn by turn more of them, and contracted: a group of
@@ -40,9 +40,10 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Further hubs are drawn while the pairs across components might be so many times their members; so many a shingle, turn by turn.
 PAIRS_A_ROW, HUBS = 4, (8, 128)
-VERIFY_BYTES = 16 << 20  # of an Arrow batch of pairs of sets
+VERIFY_BYTES = 4 << 20  # of an Arrow batch of pairs of sets
 BUCKET_BITS, BLOCK_BITS, FAN = 22, 16, 64
-SLICE_BYTES = 2 << 20  # a slice's hashes take some 30 times its bytes
+SLICE_BYTES = 512 << 10  # a slice's hashes take some 30 times its bytes
+WAITING, MOST_SEEN = 1 << 20, 1 << 16  # of a task: hashes that wait to be counted, sets known to be given
 BASE = U64(0x5851F42D4C957F2D)  # an odd multiplier
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
@@ -119,29 +120,45 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32)
 
 
+class BucketCounts:
+    """Hashes per bucket; so many wait to be counted at once that this takes little more than the table."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        self.waiting, self.held = [], 0
+
+    def add(self, s: np.ndarray) -> None:
+        for at in range(0, len(s), WAITING):
+            some = bucket(s[at: at + WAITING]).astype(np.uint32)
+            self.waiting.append(some)
+            self.held += len(some)
+            if self.held >= WAITING:
+                self.total()
+
+    def total(self) -> np.ndarray:
+        if self.waiting:
+            at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.counts[at] += n.astype(np.uint32)
+            self.waiting, self.held = [], 0
+        return self.counts
+
+
 def digests_and_counts(rows: DataFrame, width: int) -> DataFrame:
     """Rows with ``row, doc_id, digest, n`` and rows with ``block, part, counts`` (the task's bucket counts)."""
     names = ["row", "doc_id", "digest", "n", "block", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-        waiting, held = [], 0
+        counts = BucketCounts()
         for batch in slices(batches, "text", SLICE_BYTES):
             digests, sizes = [], []
             for s in shingle_sets(*utf8(batch.column("text")), width):
                 digests.append(set_digest(s))
                 sizes.append(len(s))
-                waiting.append(bucket(s))
-                held += len(s)
-            if held > 4_000_000:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-                waiting, held = [], 0
+                counts.add(s)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()),
                                    none, none, pa.nulls(batch.num_rows, pa.binary())], names)
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        blocks = counts.total().reshape(-1, 1 << BLOCK_BITS)
         some = np.flatnonzero(blocks.any(1))
         part = TaskContext.get().partitionId()
         for b in some.tolist():
@@ -174,18 +191,20 @@ def summed_counts(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, row, n, pos``: the rare-first prefix of each set; of equal sets in a slice only the first."""
+    """``token, row, n, pos``: the rare-first prefix of each set; of equal sets a task gives the first, and one again after ``MOST_SEEN`` others."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     names = ["token", "row", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
+        weight, seen = shared.value, set()
         for batch in slices(batches, "text", SLICE_BYTES):
             ids = batch.column("row").to_numpy()
-            seen, tokens, owner, size, pos = set(), [], [], [], []
+            tokens, owner, size, pos = [], [], [], []
             for r, s in zip(ids, shingle_sets(*utf8(batch.column("text")), width)):
                 if not len(s) or (key := (set_digest(s), len(s))) in seen:
                     continue
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
                 seen.add(key)
                 p = len(s) - ceil(len(s) * percent / 100) + 1
                 order = (np.minimum(weight[bucket(s)], 0xFFFFFF).astype(U64) << U64(40)) | (s >> U64(24))

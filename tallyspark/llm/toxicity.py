@@ -17,7 +17,7 @@ learned terms.
 from __future__ import annotations
 
 import re
-from functools import cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,8 @@ STEPS = (3, 3, 4, 3, 3, 3)
 #: Bounds of the learned lexicon: labelled rows read for it and terms kept.
 SAMPLE_ROWS, MOST_TERMS = 20_000, 500
 CELLS = int(np.prod(STEPS))
+#: Tokens remembered to meet no term (memory only: a forgotten token is read again).
+MOST_CLEAN = 250_000
 _OTHER = ""
 
 
@@ -158,25 +160,21 @@ def cell_of(counts: tuple[int, ...]) -> int:
     return cell
 
 
-@cache
-def _lexicon(given: tuple[str, ...], learned: tuple[str, ...]) -> Lexicon:
-    return Lexicon(given, learned)
-
-
 def toxic_cell(text: Column, learned: list[str], given: list[str] | None = None) -> Column:
     """The cell (0 to CELLS - 1) of a text's hits; a null or empty text has cell 0."""
     terms = tuple(given or LEXICON), tuple(learned)
 
     @pandas_udf("long")
-    def cell(texts: pd.Series) -> pd.Series:
-        lexicon = _lexicon(*terms)
-        out = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                out[i] = cell_of(hit_counts(t, lexicon))
-                if len(lexicon.clean) > 1_000_000:  # memory only: a forgotten token is read again
-                    lexicon.clean.clear()
-        return pd.Series(out)
+    def cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(*terms)  # goes with the task: a worker lives on
+        for texts in batches:
+            out = np.zeros(len(texts), np.int64)
+            for i, t in enumerate(texts):
+                if t:
+                    out[i] = cell_of(hit_counts(t, lexicon))
+                    if len(lexicon.clean) > MOST_CLEAN:
+                        lexicon.clean.clear()
+            yield pd.Series(out)
 
     return cell(text)
 
