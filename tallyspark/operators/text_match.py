@@ -14,10 +14,11 @@ reach is spread over salts, each with a copy of the bucket's (bounded) probes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +41,30 @@ def _anchor_hashes(codes: np.ndarray, length: int) -> np.ndarray:
     n = len(codes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    return _hashed((codes[j: j + n] for j in range(length)), n)
+
+
+def _hashed(characters: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """``n`` hashes of the first characters, the second ones, and so on."""
     out = np.zeros(n, np.uint64)
-    for j in range(length):
+    for codes in characters:
         out *= _ODD
-        out += codes[j: j + n] + np.uint64(1)
+        out += codes + np.uint64(1)
     out ^= out >> np.uint64(31)
     out *= _ODD
     return out ^ (out >> np.uint64(29))
 
 
+def _head_hashes(texts: pa.Array, length: int) -> np.ndarray:
+    """A hash of the first ``length`` characters of each text (none is shorter)."""
+    heads = pc.utf8_slice_codeunits(texts, 0, length)
+    ends = np.frombuffer(heads.buffers()[1], np.int64 if pa.types.is_large_string(heads.type) else np.int32)[heads.offset:][:len(heads) + 1]
+    data = heads.buffers()[2].to_pybytes()[ends[0]: ends[-1]]
+    codes = np.frombuffer(data, np.uint8) if len(data) == length * len(texts) else _codes(data.decode())
+    table = codes.reshape(len(texts), length)
+    return _hashed((table[:, j].astype(np.uint64) for j in range(length)), len(texts))
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -62,12 +78,12 @@ def with_anchors(probes: DataFrame) -> DataFrame:
     """``probes`` (with ``probe``, at least one character) and ``kind`` (number of the anchor length), ``slot, anchor``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("probe").to_pylist()
-            kind = np.searchsorted(ANCHORS, [len(t) for t in texts], "right") - 1
+            texts = batch.column("probe")
+            kind = np.searchsorted(ANCHORS, pc.utf8_length(texts).to_numpy(zero_copy_only=False), "right") - 1
             first = np.zeros(len(texts), np.uint64)
             for k in np.unique(kind).tolist():
-                at, length = np.flatnonzero(kind == k), ANCHORS[k]
-                first[at] = _anchor_hashes(_codes("".join(texts[i][:length] for i in at)), length)[::length]
+                at = np.flatnonzero(kind == k)
+                first[at] = _head_hashes(texts.take(pa.array(at)), ANCHORS[k])
             yield pa.record_batch([*batch.columns, pa.array(kind.astype(np.int32)), pa.array(_slot(first)), pa.array(_number(first))],
                                   [*batch.schema.names, "kind", "slot", "anchor"])
 
@@ -118,7 +134,9 @@ def met_probes(texts: DataFrame, probes: DataFrame) -> DataFrame:
                     if len(numbers):
                         yield pa.record_batch([pa.array(np.full(len(numbers), kind, np.int32)), pa.array(numbers)], ["kind", "anchor"])
 
-    return probes.join(texts.select("text").mapInArrow(run, "kind int, anchor long").distinct(), ["kind", "anchor"], "left_semi")
+    # stored, so that the probes are not shuffled when few anchors are left
+    seen = stage_table(texts.select("text").mapInArrow(run, "kind int, anchor long").distinct(), "text-anchors")
+    return probes.join(seen, ["kind", "anchor"], "left_semi")
 
 
 def text_pieces(texts: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
@@ -186,7 +204,7 @@ def run_automata(rows: DataFrame, id_field: StructField, value_field: StructFiel
                     continue
                 if automaton is None:
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                    words.sort(key=lambda w: [x.encode() if isinstance(x, str) else x for x in w[1].values()])
+                    words.sort(key=lambda w: [(x is not None, x.encode() if isinstance(x, str) else x) for x in w[1].values()])  # null first
                     for k, (word, _) in enumerate(words):
                         automaton.add_word(word, k)  # the number is the rank: the least one found is the best
                     automaton.make_automaton()

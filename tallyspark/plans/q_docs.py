@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import documents as DOC
 from ..operators import reconcile as RC
-from ..session import table
+from ..session import stage_table, table
 from . import fixtures as FX
 from .q_core import s_null_tokens, s_parse_date
 from .registry import query
@@ -52,6 +52,11 @@ WITH keys AS (SELECT *, CASE WHEN length(key) >= 4 THEN substr(key, 1, length(ke
 """
 
 
+def _match_ledger(spark, sf, *more):
+    """The ledger's columns that texts are matched to, derived once for the probes and for the rows that won."""
+    return stage_table(FX.ledger(spark, sf).select(*K.MATCH_COLUMNS, *more), "ledger")
+
+
 @query("match_text_to_ledger", MATCH_SQL + """
 SELECT res.*, l."PurchaseInvNo", l."PartyName",
        CASE WHEN contains("Validation_Result", 'VALID') THEN '✅' WHEN contains("Validation_Result", 'PARTIAL') THEN '⚠️'
@@ -60,7 +65,7 @@ SELECT res.*, l."PurchaseInvNo", l."PartyName",
             ELSE '' END AS "Flagged"
 FROM res LEFT JOIN ledger l ON CAST(l."InvID" AS BIGINT) = res.matched_row""", ("inv_texts", "ledger"))
 def match_text_to_ledger(spark, sf):
-    led = FX.ledger(spark, sf)
+    led = _match_ledger(spark, sf, "PartyName")
     res = DOC.match_text_to_ledger(FX.invoice_texts(spark, sf), led)
     return DOC.attach_matched_rows(res, led, fields=["PurchaseInvNo", "PartyName"])
 
@@ -70,7 +75,7 @@ def match_text_to_ledger(spark, sf):
   CAST(floor((count_if("Validation_Result" IN ('✅ VALID', '⚠️ PARTIAL')) * 20000 + count(*)) / (count(*) * 2)) / 100
        AS DECIMAL(9,2)) AS match_rate FROM res""", ("inv_texts", "ledger"))
 def match_rate(spark, sf):
-    return DOC.match_rate(DOC.match_text_to_ledger(FX.invoice_texts(spark, sf), FX.ledger(spark, sf)))
+    return DOC.match_rate(DOC.match_text_to_ledger(FX.invoice_texts(spark, sf), _match_ledger(spark, sf)))
 
 
 _WS = "' ' || chr(9) || chr(13) || chr(10)"

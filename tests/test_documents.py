@@ -59,6 +59,37 @@ def test_probes_that_no_text_can_hold_are_left_out(spark):
     assert met == {500}
 
 
+def test_probes_are_summed_up_without_sorting_them(spark, monkeypatch):
+    plans, store = {}, DOC.stage_table
+    monkeypatch.setattr(DOC, "stage_table", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), store(df, name))[1])
+    led = spark.createDataFrame([("INV-12", "V-1", "7"), ("INV-12", "V-2", None), ("INV-123456", "V-3", "9"), ("INV-123455", "V-4", "9"), ("X1", "V-12", "3")],
+                                "PurchaseInvNo string, VoucherNo string, InvID string")
+    docs = spark.createDataFrame([(1, "inv12 and v12"), (2, "INV 12345 6"), (3, "v 12"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in DOC.match_text_to_ledger(docs, led).collect()}
+    assert "SortAggregate" not in plans["best-keys"] and "HashAggregate" in plans["best-keys"]
+    # the row without a number is the first; of two rows with one number the least key that the text may hold
+    assert got[1] == (DOC.VALID, 0, None, "INV12") and got[2] == (DOC.VALID, 0, None, "INV12")
+    assert got[3] == (DOC.VALID, 1, 3, "V12") and got[4] == (DOC.NO_DATA, None, None, None)
+    few = DOC.match_text_to_ledger(docs.where("doc_id = 2"), led.where("InvID = '9'")).first()
+    assert tuple(few)[1:] == (DOC.PARTIAL, 0, 9, "INV123455")
+
+
+def test_texts_need_the_lines_of_their_orders_only(spark):
+    from conftest import SF_SMALL
+    from tallyspark.plans import fixtures as FX
+    plan = FX.invoice_texts(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, x in enumerate(plan) if "RepartitionByExpression" in x)
+    assert "LeftSemi" in "".join(plan[dealt:dealt + 3])
+
+
+def test_only_matched_rows_of_the_ledger_are_dealt(spark):
+    led = spark.createDataFrame([(str(i), f"P{i}") for i in range(50)], "InvID string, PartyName string")
+    res = spark.createDataFrame([(1, "x VALID", 7), (2, "Not Matched", None)], "doc_id long, Validation_Result string, matched_row long")
+    out = DOC.attach_matched_rows(res, led, fields=["PartyName"])
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.PartyName) for r in out.collect()) == [(1, "P7"), (2, None)]
+
+
 def test_fixtures_shuffle_the_lines_once(spark):
     from conftest import SF_SMALL
     from tallyspark.plans import fixtures as FX
