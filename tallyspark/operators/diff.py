@@ -2,8 +2,9 @@
 
 Plans are shaped for skew: the first row per key is taken with
 ``row_number() = 1`` (Spark adds a partial ``WindowGroupLimit`` before the
-shuffle, so a hot key ships one row per map task), the full outer comparison
-runs on one row per key, and blank keys never enter a shuffle join.
+shuffle, so a hot key ships one row per map task) or with partial aggregates, and
+blank keys never enter a shuffle.  The snapshot diff, which reports every row of a key,
+deals each row once by a key that tells rows apart.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.types import DateType, IntegralType, NumericType, TimestampNTZT
 from ..functions import constants as K
 from ..functions import exprs as X
 from .common import first_per_key, key_present
-from .normalize import col
+from .normalize import col, q
 
 
 AMOUNT_NAME = re.compile(r"amount|amt|total|value|price|tax$|^[cis]gst|^vat", re.IGNORECASE)
@@ -46,7 +47,9 @@ def snapshot_diff(current: DataFrame, previous: DataFrame, key: str | None = Non
 
     Without ``key`` the first fitting candidate is taken (:func:`choose_key`).  The first row per key on
     each side (by ``order``, ties by content) is compared over the common columns; every current row of a
-    modified key is reported (deleted: every previous row).  Both sides meet in one aggregate."""
+    modified key is reported (deleted: every previous row).  Both sides are dealt by key once, each row with its
+    compared content as one text; a key's rows are then judged where they are (a window, which spills)."""
+    from pyspark.sql import Window as W
     key = key or choose_key(current, previous)
     if key is None:
         raise ValueError("no column can serve as key")
@@ -58,30 +61,43 @@ def snapshot_diff(current: DataFrame, previous: DataFrame, key: str | None = Non
 
     # whole numbers on both sides are equal, and in the same order, as plain text: no decimal form is made of them
     whole = {c for c in compare if all(isinstance(df.schema[c].dataType, IntegralType) for df in (current, previous))}
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        text = {c: F.coalesce(col(c).cast("string"), F.lit("")) if c in whole else canonical(df, c, amounts) for c in compare}
-        content = F.struct(*[text[c].alias(c) for c in compare], F.lit("").alias("_"))
-        return df.select(col(key).alias("_k"), F.lit(tag).alias("_side"), col(order).alias("_o"), content.alias("_v"))
-
-    both = side(cur, "c").unionByName(side(prev, "p"))
-    first = lambda tag: F.min(F.when(F.col("_side") == tag, F.struct("_o", "_v")))["_v"]
-    j = both.groupBy("_k").agg(first("c").alias("_c"), first("p").alias("_p"))
-    changed = F.array_compact(F.array(*[
-        F.when(F.col(f"_c.`{c}`") != F.col(f"_p.`{c}`"), F.lit(c)) for c in compare])) if compare else F.array()
-    status = (j.select(
-        "_k",
-        F.when(F.col("_p").isNull(), F.lit("added"))
-         .when(F.col("_c").isNull(), F.lit("deleted"))
-         .when(F.size(changed) > 0, F.lit("modified"))
-         .otherwise(F.lit("unchanged")).alias("change_type"),
-        F.when(F.col("_c").isNotNull() & F.col("_p").isNotNull(), F.concat_ws(", ", changed))
-         .otherwise(F.lit("")).alias("changed_columns")))
-    cur_rows = (cur.join(status.where(F.col("change_type") != "deleted").withColumnRenamed("_k", key), key, "inner"))
-    del_rows = (prev.join(status.where(F.col("change_type") == "deleted").withColumnRenamed("_k", key), key, "inner"))
+    names = [key, *(c for c in current.columns if c != key)]
+    late = [c for c in previous.columns if c not in set(names)]
+
+    def content(df: DataFrame) -> Column:
+        text = [F.coalesce(col(c).cast("string"), F.lit("")) if c in whole else canonical(df, c, amounts) for c in compare]
+        # rows of one key have the same order when that is the key
+        return F.struct(*([] if order == key else [col(order).alias("_o")]), packed(text).alias("_v"))
+
+    def side(df: DataFrame, mine: str, other: str) -> DataFrame:
+        c = content(df)
+        return df.select("*", c.alias(mine), F.lit(None).cast(df.select(c).schema[0].dataType).alias(other))
+
+    both = side(cur, "_c", "_p").unionByName(side(prev, "_p", "_c"), allowMissingColumns=True)
+    of_key = W.partitionBy(q(key))
+    j = both.select("*", F.min("_c").over(of_key)["_v"].alias("_now"), F.min("_p").over(of_key)["_v"].alias("_was"))
+    differs = F.col("_now") != F.col("_was")
+    found = (F.when(F.col("_was").isNull(), F.lit("added")).when(F.col("_now").isNull(), F.lit("deleted"))
+              .when(differs, F.lit("modified")).otherwise(F.lit("unchanged")))
+    parts = F.arrays_zip(unpacked(F.col("_now")).alias("a"), unpacked(F.col("_was")).alias("b"), F.array(*map(F.lit, compare)).alias("name"))
+    changed = F.transform(F.filter(parts, lambda p: p["a"] != p["b"]), lambda p: p["name"]) if compare else F.array().cast("array<string>")
+    judged = (j.where(F.col("_c").isNotNull() | F.col("_now").isNull())
+              .select(*map(col, names), found.alias("change_type"), F.when(differs, F.concat_ws(", ", changed)).otherwise(F.lit("")).alias("changed_columns"), *map(col, late)))
     unkeyed = (current.where(~cur_k).withColumn("change_type", F.lit("unkeyed"))
                .withColumn("changed_columns", F.lit("")))
-    return cur_rows.unionByName(del_rows, allowMissingColumns=True).unionByName(unkeyed, allowMissingColumns=True)
+    return judged.unionByName(unkeyed, allowMissingColumns=True)
+
+
+def packed(texts: list[Column]) -> Column:
+    """Texts as one, equal and in the same order as the list of them: each ends with a zero, and what is below 2 in a
+    text is written as two characters."""
+    plain = [F.replace(F.replace(t, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")) for t in texts]
+    return F.concat(F.lit(""), *[x for t in plain for x in (t, F.lit("\0"))])
+
+
+def unpacked(text: Column) -> Column:
+    """The (escaped) texts of :func:`packed`, and an empty one."""
+    return F.split(text, "\0")
 
 
 def change_stats(diff: DataFrame) -> DataFrame:

@@ -77,3 +77,31 @@ def test_whole_numbers_of_both_sides_are_compared_as_they_are(spark, capsys):
     assert "decimal(38,18)" not in capsys.readouterr().out
     typed = snapshot_diff(cur, prev.selectExpr("k", "string(a) AS a", "b"), key="k", amounts=["a"])  # text in the place of numbers
     assert {r.k for r in typed.where("change_type = 'unchanged'").collect()} == {1, 2}
+
+
+def test_snapshots_are_dealt_by_key_once(spark):
+    from tallyspark.session import settings
+    cur, prev = spark.createDataFrame(CUR, S), spark.createDataFrame(PREV, S)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        d = D.snapshot_diff(cur, prev, "InvID")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "SortAggregate" not in plan
+    assert d.columns == ["InvID", "Vendor", "Amount", "Status", "change_type", "changed_columns"]
+
+
+def test_packed_texts_keep_equality_and_order(spark):
+    from itertools import product
+    texts = ["", "\0", "\1", "\2", "a", "\0\1", "a\0", "a\1", "ab", "\u00e9"]
+    lists = list(product(texts, repeat=2))
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(lists)], "i int, a string, b string")
+    got = {r["i"]: r for r in df.select("i", D.packed([df.a, df.b]).alias("p")).select("*", D.unpacked("p").alias("u")).collect()}
+    assert sorted(range(len(lists)), key=lambda i: got[i]["p"].encode()) == sorted(range(len(lists)), key=lambda i: [t.encode() for t in lists[i]])
+    assert len({r["p"] for r in got.values()}) == len(lists) and all(len(r["u"]) == 3 for r in got.values())
+
+
+def test_diff_orders_rows_of_a_key_by_their_content(spark):
+    s = "k long, o int, a string, b string"
+    cur = spark.createDataFrame([(1, 2, "x", "y"), (1, 1, "b\0", "c"), (1, 1, "b", "\0c"), (2, None, "n", None), (2, 1, "m", "")], s)
+    prev = spark.createDataFrame([(1, 5, "b", "\0c"), (2, 7, "n", ""), (3, 1, "z", "z"), (3, 2, "z", "w")], s)
+    d = D.snapshot_diff(cur, prev, "k", order="o", compare=["a", "b"])
+    assert rows(d, "k", "change_type", "changed_columns") == [(1, "unchanged", "")] * 3 + [(2, "unchanged", "")] * 2 + [(3, "deleted", "")] * 2
