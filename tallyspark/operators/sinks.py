@@ -57,18 +57,18 @@ def _percent(part: int, whole: int) -> str:
     return f"{Decimal(part * 100 / Decimal(whole)).quantize(Decimal('0.1'), ROUND_HALF_UP)}%" if whole else "0%"
 
 
-def write_validation_report(rows: DataFrame, path: str, newest: str = "created_at") -> tuple[DataFrame, DataFrame, dict]:
+def write_validation_report(rows: DataFrame, path: str, newest: str = "created_at", ordered: bool = True) -> tuple[DataFrame, DataFrame, dict]:
     """The validation report (all rows) and the discrepancy report (those with discrepancies), newest first, and the
-    number of rows of both: one write of the rows, sorted by time and divided by whether they have
-    discrepancies, which is counted on the way.  The second report reads its part only."""
+    number of rows of both: one write of the rows, each file newest first and divided by whether they have
+    discrepancies, which is counted on the way.  The second report reads its part only.  Reading puts the files' rows in
+    one order, the only time that the rows are dealt; not ``ordered``: the caller does (of both reports at once, say)."""
     seen = Observation()
     has = F.col("discrepancies").isNotNull()
     stored = VersionedTable(rows.sparkSession, path, "has_discrepancy")
-    # a range of times to each file, so that a file holds its rows newest first (counted behind the ranges, whose choice reads the times too)
-    sorted_rows = rows.withColumn("has_discrepancy", has).repartitionByRange(F.desc(newest)).sortWithinPartitions("has_discrepancy", F.desc(newest))
+    sorted_rows = rows.withColumn("has_discrepancy", has).sortWithinPartitions("has_discrepancy", F.desc(newest))
     stored.replace(sorted_rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(has).alias("discrepancies")))
-    every = stored.read().orderBy(F.desc(newest))
-    some = stored.read().where("has_discrepancy").orderBy(F.desc(newest))
+    reports = [stored.read(), stored.read().where("has_discrepancy")]
+    every, some = (r.orderBy(F.desc(newest)) if ordered else r for r in reports)
     return every.drop("has_discrepancy"), some.drop("has_discrepancy"), seen.get
 
 

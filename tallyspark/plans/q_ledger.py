@@ -221,7 +221,8 @@ UNION ALL SELECT 'discrepancy', *, coalesce(CAST(inv_date AS TIMESTAMP), TIMESTA
 ORDER BY 1, created_at DESC""", ("validations",))
 def write_validation_report(spark, sf):
     made = F.coalesce(F.col("inv_date").cast("timestamp"), F.lit("1990-01-01 00:00:00").cast("timestamp"))
-    every, some, _ = SK.write_validation_report(FX.validations(spark, sf).withColumn("created_at", made), scratch_path(spark, "reports"))
+    # both reports are put in order together
+    every, some, _ = SK.write_validation_report(FX.validations(spark, sf).withColumn("created_at", made), scratch_path(spark, "reports"), ordered=False)
     return every.withColumn("report", F.lit("validation")).unionByName(some.withColumn("report", F.lit("discrepancy"))).orderBy("report", F.desc("created_at"))
 
 

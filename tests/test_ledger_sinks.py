@@ -87,3 +87,18 @@ def test_validation_report_is_newest_first(spark):
         times = [r["created_at"] for r in out.collect()]
         assert len(times) == size and times == sorted(times, reverse=True)
     assert n == {"rows": 30, "discrepancies": 10}
+
+
+def test_validation_report_is_dealt_for_its_order_only(spark, monkeypatch):
+    plans, replace = [], SK.VersionedTable.replace
+    monkeypatch.setattr(SK.VersionedTable, "replace", lambda self, rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), replace(self, rows))[1])
+    df = spark.createDataFrame([(i, "bad" if i % 3 == 0 else None, dt.datetime(2024, 1, 1 + i * 7 % 28)) for i in range(40)],
+                               "n int, discrepancies string, created_at timestamp").repartition(2)
+    every, some, n = SK.write_validation_report(df, scratch_path(spark, "report"), ordered=False)
+    assert "rangepartitioning" not in plans[0] and n == {"rows": 40, "discrepancies": 14}
+    for out, size in ((every, 40), (some, 14)):
+        assert out.count() == size and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    files = {}
+    for r in every.selectExpr("_metadata.file_path AS f", "created_at").collect():
+        files.setdefault(r["f"], []).append(r["created_at"])
+    assert all(times == sorted(times, reverse=True) for times in files.values())
