@@ -80,3 +80,22 @@ def test_normalize_aliases(spark):
     r = N.normalize_aliases(df, "2024-01-10").first()
     assert r["Invoice_ID"] == "7" and r["Invoice_Number"] == "INV-9" and str(r["Invoice_Date"]) == "2024-01-05"
     assert r["Location"] == "" and r["Invoice_Currency"] == "INR" and r["Due_Date_Notification"] == "YES"
+
+
+def test_rules_of_one_row_are_dealt_as_bits(spark):
+    from tallyspark.operators import reconcile as RC, rules as R
+    from tallyspark.session import settings
+    data = [("A", "2024-01-02", "V", "G", "1.5", 1), ("A", None, "", "G", "x", 2), ("", "soon", "V", None, "-1", 3), ("B", "2024-01-02", "V", "G", "2", 4)]
+    df = spark.createDataFrame(data, "PurchaseInvNo string, PurchaseInvDate string, PartyName string, GSTNO string, Total string, _o long")
+    out = R.apply_rules(df)
+    assert out.columns == df.columns + ["issues"]
+    assert {r["_o"]: r["issues"] for r in out.collect()} == {
+        1: ["duplicate invoice number"], 4: [],
+        2: ["missing value in 'PurchaseInvDate'", "missing value in 'PartyName'", "duplicate invoice number", "invalid amount value"],
+        3: ["missing value in 'PurchaseInvNo'", "missing value in 'GSTNO'", "negative amount", "invalid date"]}
+    detail = RC.validation_detail(R.mark_rows(out), "PurchaseInvNo", "_o")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = RC.validation_detail(R.mark_rows(R.apply_rules(df)), "PurchaseInvNo", "_o")._jdf.queryExecution().executedPlan().toString()
+    # blank numbers are left out before, and the rows with their counts are not dealt a second time
+    assert "Union" not in plan and plan.count("Exchange hashpartitioning(") == 2
+    assert {r["_inv"]: r["Validation_Status"] for r in detail.collect()} == {"A": "FLAGGED", "B": "VALID"}
