@@ -23,3 +23,11 @@ def test_registered_queries_keep_methods_short(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
     registry.QUERIES["status_summary"](spark, SF_SMALL)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_small_measured_sides_are_broadcast_and_stages_have_several_tasks_a_core(spark):
+    from tallyspark.plans import catalog, registry  # noqa: F401
+    registry.QUERIES["status_summary"](spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")) == 64 << 20
+    for name in ("spark.sql.adaptive.coalescePartitions.minPartitionNum", "spark.sql.files.minPartitionNum"):
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
