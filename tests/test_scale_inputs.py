@@ -38,9 +38,12 @@ def test_ledger_of_mixed_files_is_derived_once(spark, monkeypatch, name):
     import datetime as dt
     from tallyspark.plans import catalog, fixtures as FX, registry  # noqa: F401
     derived = spark.sparkContext.accumulator(0)
-    rows = [(str(k * 100000 + k), f"INV-{k}", f"V{k}", "2001-07-20", "10.50", k, dt.date(2001, 7, 20)) for k in range(200)]
-    schema = "InvID string, PurchaseInvNo string, PartyName string, PurchaseInvDate string, Total string, order_key long, order_date date"
-    counted = spark.sparkContext.parallelize(rows, 2).map(lambda r: (derived.add(1), r)[1])
-    monkeypatch.setattr(FX, "ledger", lambda spark, sf, *more: spark.createDataFrame(counted, schema))
-    monkeypatch.setattr(FX, "invoices", None)
-    assert len(registry.QUERIES[name](spark, "none").collect()) == 200 and derived.value == 200
+
+    def counted(rows, schema):
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (derived.add(1), r)[1]), schema)
+
+    led = [(str(k * 100000 + k), f"INV-{k}", f"V{k}", "2001-07-20", "10.50") for k in range(200)]
+    inv = [(k * 100000 + k, k, dt.date(2001, 7, 20)) for k in range(200)]
+    monkeypatch.setattr(FX, "ledger", lambda spark, sf: counted(led, "InvID string, PurchaseInvNo string, PartyName string, PurchaseInvDate string, Total string"))
+    monkeypatch.setattr(FX, "invoices", lambda spark, sf: counted(inv, "invoice_id long, order_key long, order_date date"))
+    assert len(registry.QUERIES[name](spark, "none").collect()) == 200 and derived.value == (200 if name == "scan" else 400)
