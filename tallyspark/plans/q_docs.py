@@ -54,7 +54,7 @@ WITH keys AS (SELECT *, CASE WHEN length(key) >= 4 THEN substr(key, 1, length(ke
 
 def _match_ledger(spark, sf, *more):
     """The ledger's columns that texts are matched to, derived once for the probes and for the rows that won."""
-    return stage_table(FX.ledger(spark, sf).select(*K.MATCH_COLUMNS, *more), "ledger")
+    return stage_table(FX.ledger(spark, sf).select(*K.MATCH_COLUMNS, *more), "ledger", "zstd")
 
 
 @query("match_text_to_ledger", MATCH_SQL + """
